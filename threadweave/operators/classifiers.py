@@ -152,7 +152,7 @@ def fit_logreg(
         total = vectors.agg(F.sum("weight")).first()[0]
         model = LogisticRegression(
             family="multinomial", weightCol="weight", regParam=1.0 / (c * total), elasticNetParam=0.0,
-            standardization=False, maxIter=max_iter,
+            standardization=False, maxIter=max_iter, tol=FV.SOLVER_TOLERANCE,
         ).fit(vectors)
     finally:
         vectors.unpersist()
@@ -178,7 +178,8 @@ def fit_svm(
         )
         total = binary.agg(F.sum("weight")).first()[0]
         return LinearSVC(
-            weightCol="weight", regParam=1.0 / (c * total), maxIter=max_iter, standardization=False
+            weightCol="weight", regParam=1.0 / (c * total), maxIter=max_iter, standardization=False,
+            tol=FV.SOLVER_TOLERANCE,
         ).fit(binary)
 
     try:
