@@ -325,7 +325,7 @@ def _weak_rows(spark, folder):
 
 @query
 def stratified_split(spark, folder):
-    rows = L.stratified_split(_weak_rows(spark, folder), "weak_intent", "customer_tweet_id")
+    rows = L.stratified_split(_training_rows(spark, folder), "weak_intent", "customer_tweet_id")
     return rows.select("customer_tweet_id", "weak_intent", "split")
 
 

@@ -1,0 +1,77 @@
+"""The arithmetic of one pass of the SVM fit over a block of rows (M7).
+
+Runs inside Spark tasks; needs numpy only and travels with the task, so executors do not
+have to have this package installed.
+"""
+
+from __future__ import annotations
+
+import sys
+from collections import deque
+from collections.abc import Callable, Iterator
+from itertools import islice
+
+import numpy as np
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def row_blocks(rows: Iterator, size: int = 4096) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows as flat arrays: row number, column, value of every non-zero; label; weight."""
+    while chunk := list(islice(rows, size)):
+        lengths = [len(r["features"].indices) + 1 for r in chunk]
+        bias = chunk[0]["features"].size
+        columns = np.concatenate([np.append(r["features"].indices, bias) for r in chunk])
+        values = np.concatenate([np.append(r["features"].values, 1.0) for r in chunk])
+        yield (
+            np.repeat(np.arange(len(chunk)), lengths), columns, values,
+            np.array([int(r["label"]) for r in chunk]), np.array([r["weight"] for r in chunk]),
+        )
+
+
+def squared_hinge(block: tuple[np.ndarray, ...], weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """Loss and gradient of all labels over one block; ``weights`` is columns x labels."""
+    rows, columns, values, label, weight = block
+    loss, gradient = 0.0, np.zeros_like(weights)
+    for k in range(weights.shape[1]):
+        mine = label == k
+        sign, cost = np.where(mine, 1.0, -1.0), np.where(mine, weight, 1.0)
+        score = np.bincount(rows, values * weights[columns, k], len(label))
+        short = np.maximum(0.0, 1.0 - sign * score)
+        loss += float(cost @ short**2)
+        pull = -2.0 * cost * sign * short
+        gradient[:, k] = np.bincount(columns, values * pull[rows], len(weights))
+    return loss, gradient
+
+
+def lbfgs(f: Callable, size: int, max_iter: int, tolerance: float, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with a backtracking step, until the gradient has shrunk enough."""
+    x = np.zeros(size)
+    value, g = f(x)
+    goal = tolerance * max(1.0, float(np.linalg.norm(g)))
+    past: deque[tuple[np.ndarray, np.ndarray]] = deque(maxlen=memory)
+    for _ in range(max_iter):
+        if np.linalg.norm(g) <= goal:
+            break
+        d, alphas = -g, []
+        for s, y in reversed(past):
+            alphas.append((s @ d) / (s @ y))
+            d = d - alphas[-1] * y
+        if past:
+            s, y = past[-1]
+            d = d * ((s @ y) / (y @ y))
+        for (s, y), a in zip(past, reversed(alphas)):
+            d = d + (a - (y @ d) / (s @ y)) * s
+        step, slope = (1.0 if past else 1.0 / max(1.0, float(np.linalg.norm(g)))), float(g @ d)
+        while True:
+            trial = x + step * d
+            new_value, new_g = f(trial)
+            if new_value <= value + 1e-4 * step * slope or step < 1e-12:
+                break
+            step *= 0.5
+        s, y = trial - x, new_g - g
+        if s @ y > 1e-12 * (y @ y):
+            past.append((s, y))
+        x, value, g = trial, new_value, new_g
+    return x

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from threadweave import fixed_values as FV
 
@@ -55,7 +56,7 @@ def _fold_table() -> tuple[str, str, str]:
 _FOLD_FROM, _FOLD_TO, _FOLD_DROP = _fold_table()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd_fold(texts: pd.Series) -> pd.Series:
     """Whole-rule folding for characters that expand to several (ligatures, fractions, Hangul)."""
     return texts.str.normalize("NFKD").map(
@@ -105,8 +106,7 @@ def char_grams(c: Column | str, low: int = FV.CHAR_NGRAM_RANGE[0], high: int = F
     """
     words = F.filter(F.split(fold_accents(F.lower(_col(c))), r"(?U)\s+"), lambda w: w != "")
 
-    def of_word(word: Column) -> Column:
-        padded = F.concat(F.lit(" "), word, F.lit(" "))
+    def of_word(padded: Column) -> Column:
         size = F.length(padded)
         return F.flatten(
             F.transform(
@@ -118,4 +118,6 @@ def char_grams(c: Column | str, low: int = FV.CHAR_NGRAM_RANGE[0], high: int = F
             )
         )
 
-    return F.flatten(F.transform(words, of_word))
+    # Padding is a step of its own, so that it happens once per word and not once per gram.
+    padded_words = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    return F.flatten(F.transform(padded_words, of_word))

@@ -179,7 +179,8 @@ def accuracy_margin(df: DataFrame, true: str, pred: str) -> DataFrame:
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """E9. Count and share of every value, such as decisions or reason codes."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
+    # Counting rows needs none of their columns.
+    total = df.agg(F.count(F.lit(1))).scalar()
     return counts.withColumn("_total", total).select(
         column, "n", _ratio(100 * F.col("n"), F.col("_total")).alias("pct")
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadweave import fixed_values as FV
@@ -66,14 +66,11 @@ def weak_training_summary(pairs: DataFrame, reserved: DataFrame, labelled: DataF
 def class_weights(df: DataFrame, label: str, scheme: str = "balanced") -> DataFrame:
     """M11/M14. One weight per class: ``balanced`` n/(k*n_class), ``sqrt`` of it, or ``none``."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    # The class table has one row per label, so its total needs no second pass over the data.
-    totals = counts.agg(F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_classes"))
-    balanced = F.col("_all") / (F.col("_classes") * F.col("n"))
+    # One row per label from here on, so a window over all of them is a handful of rows.
+    whole = Window.partitionBy(F.lit(0))
+    balanced = F.sum("n").over(whole) / (F.count(F.lit(1)).over(whole) * F.col("n"))
     weight: Column = {"balanced": balanced, "sqrt": F.sqrt(balanced), "none": F.lit(1.0)}[scheme]
-    return counts.select(
-        label, "n",
-        totals.select("_all").scalar().alias("_all"), totals.select("_classes").scalar().alias("_classes"),
-    ).select(label, "n", weight.alias("weight"))
+    return counts.select(label, "n", weight.alias("weight"))
 
 
 def expand_labels(labelled: DataFrame, loose: PatternSet, text: str = "customer_text") -> DataFrame:
