@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from threadweave import fixed_values as FV
 from threadweave.sources.posts import normalize_posts
+from threadweave.sources.tables import spread
 
 BRAND = "helpdesk"
 EPOCH = 1_704_067_200  # 2024-01-01 00:00:00 UTC
@@ -90,6 +91,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """For views that feed patterns and tokenisers."""
+    return spread(table(spark, folder, name))
+
+
 def pick(words: list[str], position: Column) -> Column:
     return F.get(F.array(*[F.lit(w) for w in words]), (position % len(words)).cast("int"))
 
@@ -136,14 +142,14 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
 def messages(spark: SparkSession, folder: str) -> DataFrame:
     """Customer messages with a reply: events, whole documents, customer turns."""
     event = F.col("event_id")
-    from_events = table(spark, folder, "events").select(
+    from_events = spread_table(spark, folder, "events").select(
         F.concat(F.lit("e"), event.cast("string")).alias("customer_tweet_id"),
         F.concat(F.lit("a"), event.cast("string")).alias("agent_tweet_id"),
         F.concat(pick(MESSAGES, event), F.lit(" #"), F.col("user_id").cast("string")).alias("customer_text"),
         pick(REPLIES, event * 5 + F.col("user_id")).alias("agent_text"),
     )
     doc = F.col("doc_id")
-    from_documents = table(spark, folder, "documents").select(
+    from_documents = spread_table(spark, folder, "documents").select(
         F.concat(F.lit("d"), doc.cast("string")), F.concat(F.lit("ad"), doc.cast("string")),
         F.col("text"), pick(REPLIES, doc),
     )
@@ -189,25 +195,6 @@ def policy_inputs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def evidence_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Five ranked replies per event; sign-ups have none, views have replies without text."""
-    event = F.col("event_id")
-    exploded = table(spark, folder, "events").filter("event_type <> 'signup'").select(
-        event, "user_id", "event_type", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("r")
-    )
-    r = F.col("r")
-    return exploded.select(
-        event, r,
-        F.concat(F.lit("c"), event.cast("string"), F.lit("-"), r.cast("string")).alias("customer_tweet_id"),
-        F.concat(F.lit("a"), event.cast("string"), F.lit("-"), r.cast("string")).alias("agent_tweet_id"),
-        pick(MESSAGES, event + r).alias("customer_text"),
-        F.when(F.col("event_type") == "view", "").otherwise(
-            pick(REPLIES, event * 7 + r * r * 3 + F.col("user_id"))
-        ).alias("agent_text"),
-        ((event * 7 + r * 13) % 100 / 100.0).alias("similarity_score"),
-    )
-
-
 def drafting_inputs(spark: SparkSession, folder: str) -> DataFrame:
     """Messages with their evidence array. Five rows per message come from one event row,
     so the array is built in that row."""
@@ -226,7 +213,7 @@ def drafting_inputs(spark: SparkSession, folder: str) -> DataFrame:
 
     five = F.transform(F.sequence(F.lit(0), F.lit(4)), item)
     none = F.filter(five, lambda e: F.lit(False))
-    return table(spark, folder, "events").select(
+    return spread_table(spark, folder, "events").select(
         event.cast("string").alias("example_id"), pick(MESSAGES, event).alias("customer_text"),
         pick(FV.TAXONOMY, event).alias("predicted_intent"),
         F.when(F.col("event_type") == "signup", none).otherwise(five).alias("evidence"),
@@ -266,7 +253,7 @@ def judge_answers(spark: SparkSession, folder: str) -> DataFrame:
     cited = F.when(event % 5 == 0, F.concat(F.lit("bad"), event.cast("string"))).otherwise("ok1")
     template = pick(JUDGE_ANSWERS, F.floor(event / 2))
     answer = F.replace(F.replace(template, F.lit("{s}"), score), F.lit("{c}"), cited)
-    return table(spark, folder, "events").select(
+    return spread_table(spark, folder, "events").select(
         event.cast("string").alias("example_id"),
         F.when(F.col("event_type") != "signup", answer).alias("response"),
         F.when(event % 9 == 0, F.array().cast("array<string>"))

@@ -18,7 +18,7 @@ from threadweave.session import cut_lineage
 # Bounds compare sums taken in different orders; this covers their rounding.
 SLACK = 1e-9
 # Postings a query may touch in the first look, which only fixes a lower bound.
-FIRST_LOOK = 20_000
+FIRST_LOOK = 5_000
 
 
 @dataclass

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadweave import fixed_values as FV
 from threadweave.functions.tokens import char_grams, tfidf_tokens, word_grams
+from threadweave.operators.common import bind
 
 ANALYZERS = ("word", "char", "word+char")
 
@@ -32,11 +33,23 @@ def with_grams(df: DataFrame, text: str, analyzer: str = "word", out: str = "gra
     return words.withColumn(out, grams).drop("_tokens")
 
 
+def _word_terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Words and word pairs as rows: every word comes out beside its successor."""
+    words = bind(df.select(key, text), _words=tfidf_tokens(F.coalesce(F.col(text), F.lit(""))))
+    following = F.slice("_words", F.lit(2), F.greatest(F.size("_words"), F.lit(1)))
+    beside = words.select(key, F.inline(F.arrays_zip(F.col("_words").alias("word"), following.alias("next"))))
+    pair = F.concat(F.col("word"), F.lit(" "), F.col("next"))
+    return beside.select(key, F.explode(F.array("word", pair)).alias("term")).filter(F.col("term").isNotNull())
+
+
 def term_frequencies(df: DataFrame, key: str, text: str, analyzer: str = "word") -> DataFrame:
     """``(key, term, tf)``. Texts are spread by key before they are taken apart, so the
     many terms of a text are counted where they arise and only texts cross the network."""
-    spread = df.select(F.col(key), F.col(text)).repartition(F.col(key))
-    terms = with_grams(spread, text, analyzer).select(key, F.explode("grams").alias("term"))
+    texts = df.select(F.col(key), F.col(text)).repartition(F.col(key))
+    if analyzer == "word":
+        terms = _word_terms(texts, key, text)
+    else:
+        terms = with_grams(texts, text, analyzer).select(key, F.explode("grams").alias("term"))
     return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -19,6 +19,18 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return read_csv(spark, path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Enough tasks for row work that costs far more than reading the row.
+
+    A table of many files already has more splits than the cluster has cores and is left
+    alone; one of few splits (a single parquet row group is a single task) is dealt out
+    over the cores before patterns or tokenisers run on it. Column pruning and pushed
+    filters pass through.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def reserved_ids(spark: SparkSession, path: str | None) -> DataFrame:
     """S8. Ids set aside for evaluation; a missing path gives no ids."""
     try:
