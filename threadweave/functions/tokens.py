@@ -99,25 +99,29 @@ def word_grams(tokens: Column | str, max_n: int = FV.TFIDF_MAX_N) -> Column:
     return grams
 
 
-def char_grams(c: Column | str, low: int = FV.CHAR_NGRAM_RANGE[0], high: int = FV.CHAR_NGRAM_RANGE[1]) -> Column:
-    """M12. Character n-grams inside word boundaries: every word is padded with one blank.
-
-    A padded word that is shorter than n yields itself once.
-    """
+def padded_words(c: Column | str) -> Column:
+    """M12. The words of a text, lower-cased and folded, with one blank on either side."""
     words = F.filter(F.split(fold_accents(F.lower(_col(c))), r"(?U)\s+"), lambda w: w != "")
-
-    def of_word(padded: Column) -> Column:
-        size = F.length(padded)
-        return F.flatten(
-            F.transform(
-                F.sequence(F.lit(low), F.greatest(F.lit(low), F.least(F.lit(high), size))),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))),
-                    lambda i: F.substring(padded, i, n),
-                ),
-            )
+    return F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+
+
+def grams_of_padded_word(
+    padded: Column | str, low: int = FV.CHAR_NGRAM_RANGE[0], high: int = FV.CHAR_NGRAM_RANGE[1]
+) -> Column:
+    """M12. Character n-grams of one padded word; one shorter than n yields itself once."""
+    word = _col(padded)
+    size = F.length(word)
+    return F.flatten(
+        F.transform(
+            F.sequence(F.lit(low), F.greatest(F.lit(low), F.least(F.lit(high), size))),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))),
+                lambda i: F.substring(word, i, n),
+            ),
         )
+    )
 
-    # Padding is a step of its own, so that it happens once per word and not once per gram.
-    padded_words = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    return F.flatten(F.transform(padded_words, of_word))
+
+def char_grams(c: Column | str, low: int = FV.CHAR_NGRAM_RANGE[0], high: int = FV.CHAR_NGRAM_RANGE[1]) -> Column:
+    """M12. Character n-grams inside the word boundaries of a whole text."""
+    return F.flatten(F.transform(padded_words(c), lambda w: grams_of_padded_word(w, low, high)))

@@ -8,7 +8,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVCModel, LogisticRegression, LogisticRegressionModel, OneVsRestModel
+from pyspark.ml.classification import (
+    LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, OneVsRestModel,
+)
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -200,6 +202,8 @@ def fit_svm(
         for i in range(len(labels))
     ]
     model = OneVsRestModel(models)
+    # Saving asks for the kind of binary classifier the parts come from.
+    model.set(model.classifier, LinearSVC())
     model.setFeaturesCol("features").setPredictionCol("prediction").setRawPredictionCol("rawPrediction")
     return IntentModel("svm", analyzer, labels, features, model, {"train_size": n, "weighting": weighting})
 

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadweave import fixed_values as FV
-from threadweave.functions.tokens import char_grams, tfidf_tokens, word_grams
+from threadweave.functions.tokens import (
+    char_grams, grams_of_padded_word, padded_words, tfidf_tokens, word_grams,
+)
 from threadweave.operators.common import bind
+from threadweave.session import shuffle_partitions
 
 ANALYZERS = ("word", "char", "word+char")
 
@@ -42,10 +45,20 @@ def _word_terms(df: DataFrame, key: str, text: str) -> DataFrame:
     return beside.select(key, F.explode(F.array("word", pair)).alias("term")).filter(F.col("term").isNotNull())
 
 
+def _char_terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, term, n)`` of character n-grams; a word that recurs is taken apart once."""
+    words = df.select(key, F.explode(padded_words(F.coalesce(F.col(text), F.lit("")))).alias("word"))
+    counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(key, F.explode(grams_of_padded_word("word")).alias("term"), "n")
+
+
 def term_frequencies(df: DataFrame, key: str, text: str, analyzer: str = "word") -> DataFrame:
     """``(key, term, tf)``. Texts are spread by key before they are taken apart, so the
-    many terms of a text are counted where they arise and only texts cross the network."""
-    texts = df.select(F.col(key), F.col(text)).repartition(F.col(key))
+    many terms of a text are counted where they arise and only texts cross the network.
+    The number of parts is given, as few bytes of text are much work here."""
+    texts = df.select(F.col(key), F.col(text)).repartition(shuffle_partitions(df.sparkSession), F.col(key))
+    if analyzer == "char":
+        return _char_terms(texts, key, text).groupBy(key, "term").agg(F.sum("n").alias("tf"))
     if analyzer == "word":
         terms = _word_terms(texts, key, text)
     else:
