@@ -363,7 +363,6 @@ sn AS (SELECT *, {first_spellings('ss')} AS snippets, {first_spellings('qs')} AS
 
 
 def filled(template: str, **parts: str) -> str:
-    pieces = [q(template)]
     out = q(template)
     for name, value in parts.items():
         out = f"replace({out}, '{{{name}}}', {value})"
