@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,10 +51,35 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return named
 
 
+_WRITTEN: list[str] = []
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the shared checkpoint folder and go on from there.
+
+    Parquet rather than checkpointed rows: later reads take only the columns they need, have
+    sizes to plan with, and survive the loss of any executor. ``drop_written`` removes the
+    tables; a driver that ends normally does so by itself.
+    """
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    if not _WRITTEN:
+        atexit.register(drop_written)
+    _WRITTEN.append(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def drop_written(spark: SparkSession | None = None) -> int:
+    """Delete the tables ``cut_lineage`` has written so far and return their number."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return 0
+    dropped = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        dropped += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return dropped
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
