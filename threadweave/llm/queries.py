@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadweave.llm.bpe import decode_posts, encode_posts
+from threadweave.llm.token_counts import count_post_tokens
 from threadweave.llm.quality_rules import score_post_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +30,28 @@ def document_posts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(F.col("doc_id").alias("tweet_id"), "text")
 
 
+def tokenizer_path() -> str:
+    """Where the vocabulary file lies; it is installed on the driver and every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op5_bpe_round_trip(spark, folder):
+    path = tokenizer_path()
+    decoded = decode_posts(encode_posts(document_posts(spark, folder), path), path)
+    return decoded.select(
+        F.col("tweet_id").alias("doc_id"), "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op7_token_counts(spark, folder):
+    return count_post_tokens(document_posts(spark, folder), tokenizer_path()).withColumnRenamed("tweet_id", "doc_id")
+
+
 @query
 def op8_quality_rules(spark, folder):
     scored = score_post_quality(document_posts(spark, folder))
