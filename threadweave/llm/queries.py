@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadweave.llm.bpe import decode_posts, encode_posts
+from threadweave.llm.packing import pack_posts
 from threadweave.llm.token_counts import count_post_tokens
 from threadweave.llm.quality_rules import score_post_quality
+from threadweave.session import import_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -17,7 +19,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
+    QUERIES[build.__name__] = lambda spark, folder: build(import_on_workers(spark), folder)
     return build
 
 
@@ -37,6 +39,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op4_best_fit_packing(spark, folder):
+    return pack_posts(document_posts(spark, folder), tokenizer_path()).withColumnRenamed("tweet_id", "doc_id")
+
+
 @query
 def op5_bpe_round_trip(spark, folder):
     path = tokenizer_path()
