@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadweave.llm.pretokens import ChunkMemory, Vocabulary, slices, vocabulary
@@ -107,38 +107,19 @@ def _memory(path: str) -> tuple[Vocabulary, ChunkMemory]:
     )
 
 
-def encode_text(text: Column, tokenizer_path: str) -> Column:
-    """Token ids of a text as little-endian unsigned 32-bit numbers; a null text has none."""
+def encode_texts(tokenizer_path: str, texts: list[str]) -> list[bytes]:
+    """Token ids of each text as little-endian unsigned 32-bit numbers."""
+    vocab, memory = _memory(tokenizer_path)
+    return [b"".join(values) for values in memory.values(vocab, texts)]
 
-    @F.arrow_udf("binary")
-    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        vocab, memory = _memory(tokenizer_path)
-        for batch in batches:
-            done: list[bytes] = []
-            for part in slices(batch):
-                done.extend(map(b"".join, memory.values(vocab, [t or "" for t in part.to_pylist()])))
-            yield pa.array(done, pa.binary())
-
-    return encode(text)
-
-
-def decode_ids(token_ids: Column, tokenizer_path: str) -> Column:
-    """The text of token ids written by ``encode_text``, special tokens included.
-
-    Bytes that are no UTF-8 become replacement characters. Null ids give an empty text; an id the
-    vocabulary does not hold fails.
-    """
 
-    @F.arrow_udf("string")
-    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        by_id = vocabulary(tokenizer_path).token_bytes
-        for batch in batches:
-            yield pa.array(
-                [b"".join(map(by_id.__getitem__, np.frombuffer(row or b"", "<u4").tolist())).decode("utf-8", "replace")
-                 for row in (cell.as_py() for cell in batch)], pa.string(),
-            )
-
-    return decode(token_ids)
+def decode_texts(tokenizer_path: str, token_ids: list[bytes]) -> list[str]:
+    """The text of each row of ids, special tokens included; bytes that are no UTF-8 are replaced."""
+    by_id = vocabulary(tokenizer_path).token_bytes
+    return [
+        b"".join(map(by_id.__getitem__, np.frombuffer(row, "<u4").tolist())).decode("utf-8", "replace")
+        for row in token_ids
+    ]
 
 
 def encode_posts(
@@ -154,13 +135,46 @@ def encode_posts(
     read, whatever their names. An empty table gives an empty result. Each Python worker remembers a
     bounded number of words, so memory does not grow with the table.
     """
+    return round_trip_posts(posts, tokenizer_path, id_column, text_column, decode=False)
+
+
+def round_trip_posts(
+    posts: DataFrame, tokenizer_path: str, id_column: str = "tweet_id", text_column: str = "text", decode: bool = True
+) -> DataFrame:
+    """``encode_posts`` and, from the ids, ``decoded_text``, in one pass over the texts."""
     require_columns(posts, [id_column, text_column], "posts")
+    fields = "token_ids binary" + ", decoded_text string" * decode
+
+    @F.arrow_udf(f"struct<{fields.replace(' binary', ':binary').replace(' string', ':string')}>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            ids: list[bytes] = []
+            texts: list[str] = []
+            for part in slices(batch):
+                encoded = encode_texts(tokenizer_path, [t or "" for t in part.to_pylist()])
+                ids.extend(encoded)
+                if decode:
+                    texts.extend(decode_texts(tokenizer_path, encoded))
+            columns = [pa.array(ids, pa.binary()), *([pa.array(texts, pa.string())] if decode else [])]
+            yield pa.StructArray.from_arrays(columns, ["token_ids", "decoded_text"][: len(columns)])
+
     return posts.select(
-        F.col(id_column).alias(id_column), encode_text(F.col(text_column).cast("string"), tokenizer_path).alias("token_ids")
-    ).withColumn("n_tokens", F.expr("octet_length(token_ids) div 4"))
+        F.col(id_column).alias(id_column), encode(F.col(text_column).cast("string")).alias("_encoded")
+    ).select(
+        id_column, "_encoded.*", F.expr("octet_length(_encoded.token_ids) div 4").alias("n_tokens")
+    )
 
 
 def decode_posts(encoded: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Add ``text``, decoded from ``token_ids``, to rows of ``encode_posts``; a ``text`` column is replaced."""
+    """Add ``decoded_text``, the text of ``token_ids``, to rows of ``encode_posts``.
+
+    Null ids give an empty text; an id the vocabulary does not hold fails. A column of that name is replaced.
+    """
     require_columns(encoded, ["token_ids"], "encoded posts")
-    return encoded.withColumn("text", decode_ids(F.col("token_ids"), tokenizer_path))
+
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array(decode_texts(tokenizer_path, [ids or b"" for ids in batch.to_pylist()]), pa.string())
+
+    return encoded.withColumn("decoded_text", decode(F.col("token_ids")))

@@ -89,7 +89,7 @@ class ChunkMemory:
     worked out again, and long ones are never kept beyond their slice of texts.
     """
 
-    def __init__(self, specials: dict[str, object], solve: Callable, join: Callable, words: int = 600_000, chunks: int = 500_000):
+    def __init__(self, specials: dict[str, object], solve: Callable, join: Callable, words: int = 400_000, chunks: int = 400_000):
         self.specials, self.solve, self.join = specials, solve, join
         self.bounds = words, chunks
         self.words: dict[str, object] = {}

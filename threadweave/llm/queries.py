@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadweave.llm.bpe import decode_posts, encode_posts
+from threadweave.llm.bpe import round_trip_posts
 from threadweave.llm.packing import pack_posts
 from threadweave.llm.token_counts import count_post_tokens
 from threadweave.llm.quality_rules import score_post_quality
@@ -46,11 +46,9 @@ def op4_best_fit_packing(spark, folder):
 
 @query
 def op5_bpe_round_trip(spark, folder):
-    path = tokenizer_path()
-    decoded = decode_posts(encode_posts(document_posts(spark, folder), path), path)
-    return decoded.select(
+    return round_trip_posts(document_posts(spark, folder), tokenizer_path()).select(
         F.col("tweet_id").alias("doc_id"), "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded_text").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
