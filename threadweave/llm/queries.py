@@ -11,6 +11,7 @@ from threadweave.llm.bpe import round_trip_posts
 from threadweave.llm.packing import pack_posts
 from threadweave.llm.token_counts import count_post_tokens
 from threadweave.llm.quality_rules import score_post_quality
+from threadweave.llm.simhash import near_duplicate_posts
 from threadweave.session import import_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op1_simhash_near_dedup(spark, folder):
+    return near_duplicate_posts(document_posts(spark, folder)).withColumnRenamed("tweet_id", "doc_id")
+
+
 @query
 def op4_best_fit_packing(spark, folder):
     return pack_posts(document_posts(spark, folder), tokenizer_path()).withColumnRenamed("tweet_id", "doc_id")
