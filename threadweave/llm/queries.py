@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadweave.llm.bpe import round_trip_posts
 from threadweave.llm.packing import pack_posts
 from threadweave.llm.token_counts import count_post_tokens
+from threadweave.llm.quality_neighbours import NeighbourModel, fit_post_quality, score_post_neighbours
 from threadweave.llm.quality_rules import score_post_quality
 from threadweave.llm.simhash import near_duplicate_posts
 from threadweave.session import import_on_workers
@@ -45,6 +46,25 @@ def op1_simhash_near_dedup(spark, folder):
     return near_duplicate_posts(document_posts(spark, folder)).withColumnRenamed("tweet_id", "doc_id")
 
 
+def held_out(id_column: str) -> Column:
+    """Whether a row is kept back from learning: one in five, by a checksum of its id."""
+    return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 5 == 0, F.lit(False))
+
+
+def quality_model(spark: SparkSession, folder: str) -> NeighbourModel:
+    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("tweet_id"), "quality")
+    return fit_post_quality(document_posts(spark, folder), labels.filter(~held_out("tweet_id")))
+
+
+@query
+def op3_quality_classifier(spark, folder):
+    scored = score_post_neighbours(document_posts(spark, folder), quality_model(spark, folder))
+    return scored.select(
+        F.col("tweet_id").alias("doc_id"), held_out("tweet_id").alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op4_best_fit_packing(spark, folder):
     return pack_posts(document_posts(spark, folder), tokenizer_path()).withColumnRenamed("tweet_id", "doc_id")
