@@ -91,7 +91,10 @@ def _merge_rounds(table: MergeTable, words: list[bytes], out: list[bytes], first
         keep[merge + 1] = False
         at = merge - np.arange(len(merge))  # where the merged symbols stand afterwards
         symbols, ends, ranks, places = symbols[keep], ends[keep], ranks[keep], places[keep]
-        changed = np.unique(np.concatenate((at, at[at > 0] - 1)))
+        touched = np.zeros(len(symbols), bool)
+        touched[at] = True
+        touched[at[at > 0] - 1] = True
+        changed = np.flatnonzero(touched)
         live = changed[~ends[changed]]
         ranks[changed] = NONE
         ranks[live], places[live] = table.look_up(symbols[live], symbols[live + 1])

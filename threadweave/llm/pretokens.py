@@ -81,55 +81,74 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def cut_words(chunk: str) -> list[str]:
+    """The words of a chunk; the two commonest forms are told without the pattern."""
+    body = chunk[1:] if chunk[:1] == " " else chunk
+    if body.isalpha():
+        return [chunk]
+    if body[-1:] in (".", ",") and body[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return WORDS.findall(chunk)
+
+
 class ChunkMemory:
     """What each chunk of text becomes, worked out once per distinct word and remembered.
 
     ``solve`` turns a list of distinct words into their values, ``join`` puts the values of a
-    chunk's words together. Memory is bounded: chunks and words beyond the bounds are forgotten and
-    worked out again, and long ones are never kept beyond their slice of texts.
+    chunk's words together. Memory is bounded: there are two generations of at most ``most`` chunks and
+    words each and what the last slice of texts needed; what neither holds is worked out again. Long
+    chunks are not kept beyond their slice.
     """
 
-    def __init__(self, specials: dict[str, object], solve: Callable, join: Callable, words: int = 400_000, chunks: int = 400_000):
-        self.specials, self.solve, self.join = specials, solve, join
-        self.bounds = words, chunks
-        self.words: dict[str, object] = {}
-        self.chunks: dict[str, object] = dict(specials)  # no other chunk can equal a special string
+    def __init__(self, specials: dict[str, object], solve: Callable, join: Callable, most: int = 350_000):
+        self.specials, self.solve, self.join, self.most = specials, solve, join, most
+        self.known: dict[str, object] = dict(specials)  # no other chunk can equal a special string
+        self.older: dict[str, object] = {}
+
+    def _recall(self, wanted: set[str]) -> list[str]:
+        """Those not known yet, after taking over what the older generation has."""
+        missing = []
+        known, older = self.known, self.older.get
+        for chunk in wanted.difference(known):
+            value = older(chunk)
+            if value is None:
+                missing.append(chunk)
+            else:
+                known[chunk] = value
+        return missing
 
     def learn(self, texts: list[list[str]]) -> dict[str, object]:
         """Make every chunk of these texts known; returns the values by chunk."""
-        if len(self.words) > self.bounds[0]:
-            self.words = {}
-        if len(self.chunks) > self.bounds[1]:
-            self.chunks = dict(self.specials)
+        if len(self.known) > self.most:
+            self.older, self.known = self.known, dict(self.specials)
         wanted: set[str] = set()
         for chunks in texts:
             wanted.update(chunks)
-        missing = [c for c in wanted if c not in self.chunks]
-        cut = [WORDS.findall(c) for c in missing]
-        unknown: set[str] = set()
-        for words in cut:
-            unknown.update(words)
-        unknown = [w for w in unknown if w not in self.words]
-        self.words.update(zip(unknown, self.solve(unknown)))
-        known = self.words.__getitem__
-        self.chunks.update((c, self.join(map(known, words))) for c, words in zip(missing, cut))
-        found = self.chunks
-        long_chunks = [c for c in missing if len(c) > LONGEST_KEPT]
-        if long_chunks:
-            found = dict(found)
-            for c in long_chunks:
-                del self.chunks[c]
-        for w in unknown:
-            if len(w) > LONGEST_KEPT:
-                del self.words[w]
+        missing = self._recall(wanted)
+        parted = [(c, w) for c, w in zip(missing, map(cut_words, missing)) if len(w) != 1]
+        single = set(missing).difference(c for c, _ in parted)
+        unknown = [*single, *self._recall({w for _, words in parted for w in words}.difference(single))]
+        self.known.update(zip(unknown, self.solve(unknown)))
+        value = self.known.__getitem__
+        self.known.update([(c, self.join(map(value, words))) for c, words in parted])
+        found = self.known
+        lengthy = [c for c in (*missing, *unknown) if len(c) > LONGEST_KEPT]
+        if lengthy:
+            self.known = dict(found)
+            for c in lengthy:
+                self.known.pop(c, None)
         return found
 
     def values(self, vocab: Vocabulary, texts: list[str]) -> Iterator[list]:
         """For each text the list of its chunks' values in order."""
         cut = []
         for text in texts:
+            segments = vocab.segments(text)
+            if len(segments) == 1 and text not in self.specials:
+                cut.append(CHUNK_START.split(text))
+                continue
             parts: list[str] = []
-            for segment in vocab.segments(text):
+            for segment in segments:
                 parts.extend([segment] if segment in self.specials else CHUNK_START.split(segment))
             cut.append(parts)
         found = self.learn(cut)

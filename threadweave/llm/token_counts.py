@@ -74,7 +74,7 @@ def _memory(path: str) -> tuple[Vocabulary, ChunkMemory]:
             counts.append(len(raw) - count_merges([symbols[b] for b in raw], pairs, vocab.base))
         return counts
 
-    return vocab, ChunkMemory(dict.fromkeys(vocab.specials, 1), solve, sum, words=600_000)
+    return vocab, ChunkMemory(dict.fromkeys(vocab.specials, 1), solve, sum, most=450_000)
 
 
 def token_count(text: Column, tokenizer_path: str) -> Column:
