@@ -13,6 +13,7 @@ from threadweave.llm.token_counts import count_post_tokens
 from threadweave.llm.quality_neighbours import NeighbourModel, fit_post_quality, score_post_neighbours
 from threadweave.llm.quality_rules import score_post_quality
 from threadweave.llm.simhash import near_duplicate_posts
+from threadweave.llm.url_filter import LinkRule, filter_links
 from threadweave.session import import_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,18 @@ def op1_simhash_near_dedup(spark, folder):
     return near_duplicate_posts(document_posts(spark, folder)).withColumnRenamed("tweet_id", "doc_id")
 
 
+LINK_RULES = (
+    LinkRule("allow", "com", "/"), LinkRule("block", "example.com", "/en/"), LinkRule("allow", "www.example.com", "/en/"),
+    LinkRule("block", "net", "/es/"), LinkRule("block", "net", "/fr/"),
+)
+
+
+@query
+def op2_url_filters(spark, folder):
+    links = table(spark, folder, "pages").select(F.col("page_id").alias("tweet_id"), "url")
+    return filter_links(links, LINK_RULES).withColumnRenamed("tweet_id", "page_id")
+
+
 def held_out(id_column: str) -> Column:
     """Whether a row is kept back from learning: one in five, by a checksum of its id."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 5 == 0, F.lit(False))
