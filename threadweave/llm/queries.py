@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ from threadweave.llm.quality_neighbours import NeighbourModel, fit_post_quality,
 from threadweave.llm.quality_rules import score_post_quality
 from threadweave.llm.simhash import near_duplicate_posts
 from threadweave.llm.url_filter import LinkRule, filter_links
-from threadweave.session import import_on_workers
+from threadweave.llm.warc import archive_pages, read_archives
+from threadweave.session import checkpoint_folder, import_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,3 +102,24 @@ def op7_token_counts(spark, folder):
 def op8_quality_rules(spark, folder):
     scored = score_post_quality(document_posts(spark, folder))
     return scored.withColumnRenamed("tweet_id", "doc_id").withColumn("votes", F.array_join("votes", ","))
+
+
+@query
+def op9_warc(spark, folder):
+    archive = f"{checkpoint_folder(spark)}/archives/{uuid.uuid4().hex}"
+    archive_pages(table(spark, folder, "pages"), archive)
+    return read_archives(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op9_warc"] = """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex FROM p),
+    f AS (SELECT hex, min(page_id) AS first_id FROM d GROUP BY hex)
+    SELECT page_id, payload_bytes,
+        list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            1 + CAST(((CAST('0x' || substr(d.hex, 1 + CAST(5 * i // 4 AS INT), 2) AS INT) >> CAST(3 - 5 * i % 4 AS INT)) & 31) AS INT),
+            1)), 'string_agg', '') AS payload_digest,
+        CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM d JOIN f USING (hex)
+"""
