@@ -15,6 +15,7 @@ from threadweave.llm.quality_neighbours import NeighbourModel, fit_post_quality,
 from threadweave.llm.quality_rules import score_post_quality
 from threadweave.llm.simhash import near_duplicate_posts
 from threadweave.llm.url_filter import LinkRule, filter_links
+from threadweave.llm.vector_dedup import near_duplicate_vectors
 from threadweave.llm.warc import archive_pages, read_archives
 from threadweave.session import checkpoint_folder, import_on_workers
 
@@ -123,3 +124,26 @@ ORACLES["op9_warc"] = """
         CASE WHEN page_id <> first_id THEN first_id END AS refers_to
     FROM d JOIN f USING (hex)
 """
+
+
+@query
+def op10_embedding_near_dedup(spark, folder):
+    return near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+ORACLES["op10_embedding_near_dedup"] = """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+        ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98
+    ),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+    FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
+    LEFT JOIN n ON n.a = e.vec_id
+"""
