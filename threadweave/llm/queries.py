@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadweave.llm.bpe import round_trip_posts
+from threadweave.llm.html_text import extract_main_text
 from threadweave.llm.packing import pack_posts
 from threadweave.llm.token_counts import count_post_tokens
 from threadweave.llm.quality_neighbours import NeighbourModel, fit_post_quality, score_post_neighbours
@@ -94,6 +95,11 @@ def op5_bpe_round_trip(spark, folder):
     )
 
 
+@query
+def op6_html_extraction(spark, folder):
+    return extract_main_text(table(spark, folder, "pages"))
+
+
 @query
 def op7_token_counts(spark, folder):
     return count_post_tokens(document_posts(spark, folder), tokenizer_path()).withColumnRenamed("tweet_id", "doc_id")
