@@ -5,16 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from threadweave.llm.bpe import round_trip_posts
+from threadweave.llm.given import KEEP_FROM, document_posts, held_out, quality_model, table, tokenizer_path
 from threadweave.llm.html_text import extract_main_text
 from threadweave.llm.packing import pack_posts
-from threadweave.llm.token_counts import count_post_tokens
-from threadweave.llm.quality_neighbours import NeighbourModel, fit_post_quality, score_post_neighbours
+from threadweave.llm.quality_neighbours import score_post_neighbours
 from threadweave.llm.quality_rules import score_post_quality
 from threadweave.llm.simhash import near_duplicate_posts
+from threadweave.llm.token_counts import count_post_tokens
 from threadweave.llm.url_filter import LinkRule, filter_links
 from threadweave.llm.vector_dedup import near_duplicate_vectors
 from threadweave.llm.warc import archive_pages, read_archives
@@ -24,61 +26,34 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+LINK_RULES = (
+    LinkRule("allow", "com", "/"), LinkRule("block", "example.com", "/en/"), LinkRule("allow", "www.example.com", "/en/"),
+    LinkRule("block", "net", "/es/"), LinkRule("block", "net", "/fr/"),
+)
+
 
 def query(build: Query) -> Query:
     QUERIES[build.__name__] = lambda spark, folder: build(import_on_workers(spark), folder)
     return build
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def document_posts(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as posts: the id and the whole text."""
-    return table(spark, folder, "documents").select(F.col("doc_id").alias("tweet_id"), "text")
-
-
-def tokenizer_path() -> str:
-    """Where the vocabulary file lies; it is installed on the driver and every executor."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query
 def op1_simhash_near_dedup(spark, folder):
     return near_duplicate_posts(document_posts(spark, folder)).withColumnRenamed("tweet_id", "doc_id")
 
 
-LINK_RULES = (
-    LinkRule("allow", "com", "/"), LinkRule("block", "example.com", "/en/"), LinkRule("allow", "www.example.com", "/en/"),
-    LinkRule("block", "net", "/es/"), LinkRule("block", "net", "/fr/"),
-)
-
-
 @query
 def op2_url_filters(spark, folder):
     links = table(spark, folder, "pages").select(F.col("page_id").alias("tweet_id"), "url")
     return filter_links(links, LINK_RULES).withColumnRenamed("tweet_id", "page_id")
 
 
-def held_out(id_column: str) -> Column:
-    """Whether a row is kept back from learning: one in five, by a checksum of its id."""
-    return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 5 == 0, F.lit(False))
-
-
-def quality_model(spark: SparkSession, folder: str) -> NeighbourModel:
-    labels = table(spark, folder, "labels").select(F.col("doc_id").alias("tweet_id"), "quality")
-    return fit_post_quality(document_posts(spark, folder), labels.filter(~held_out("tweet_id")))
-
-
 @query
 def op3_quality_classifier(spark, folder):
     scored = score_post_neighbours(document_posts(spark, folder), quality_model(spark, folder))
     return scored.select(
         F.col("tweet_id").alias("doc_id"), held_out("tweet_id").alias("held_out"), "score",
-        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        (F.col("score") >= KEEP_FROM).cast("int").alias("predicted"),
     )
 
 
@@ -118,6 +93,16 @@ def op9_warc(spark, folder):
     return read_archives(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op10_embedding_near_dedup(spark, folder):
+    return near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)
+
+
 ORACLES["op9_warc"] = """
     WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
     d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS hex FROM p),
@@ -131,12 +116,6 @@ ORACLES["op9_warc"] = """
     FROM d JOIN f USING (hex)
 """
 
-
-@query
-def op10_embedding_near_dedup(spark, folder):
-    return near_duplicate_vectors(table(spark, folder, "embeddings"))
-
-
 ORACLES["op10_embedding_near_dedup"] = """
     WITH RECURSIVE v AS (
         SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -153,3 +132,6 @@ ORACLES["op10_embedding_near_dedup"] = """
     FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
     LEFT JOIN n ON n.a = e.vec_id
 """
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
