@@ -142,12 +142,18 @@ def archive_pages(
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first_id is not null")
         .select("digest", "first_id")
     )
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    laid_out = rows.join(shared, "digest", "left").select(
-        shard_of(facts, "page_id", "payload_bytes", shard_bytes).alias("shard"), "page_id", "url",
-        F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "digest",
-        F.when(again, F.col("first_id")).alias("refers_to"),
-    ).repartition("shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    # Payloads are shuffled once: which page is a revisit travels as narrow rows to the same shard, each
+    # sorted right before the page it is about.
+    revisits = facts.join(shared, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(
+        "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "payload_bytes",
+        "digest", F.col("first_id").alias("refers_to"),
+    )
+    shard = shard_of(facts, "page_id", "payload_bytes", shard_bytes).alias("shard")
+    laid_out = (
+        rows.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(revisits).select("*", shard)
+        .repartition("shard")
+        .sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").asc_nulls_last(), "url")
+    )
     manifest = cut_lineage(laid_out.mapInArrow(_writer(folder, file_bytes, archived_at), MANIFEST_FIELDS))
     committed = cut_lineage(manifest.repartition("name").mapInArrow(_committer(folder), MANIFEST_FIELDS))
     listed = committed.drop("temporary")
@@ -175,10 +181,15 @@ def _writer(folder: str, file_bytes: int, archived_at: str):
             seen.update(data)
             entry["bytes"] += len(data)
 
+        revisit = None
         names = ("shard", "page_id", "url", "payload", "payload_bytes", "digest", "refers_to")
         for batch in batches:
             for row in zip(*(batch.column(n) for n in names)):
                 at, page_id, url, payload, size, digest, refers_to = (v.as_py() for v in row)
+                if refers_to is not None:
+                    revisit = page_id, digest, refers_to
+                    continue
+                refers_to = revisit[2] if revisit and revisit[:2] == (page_id, digest) else None
                 if at != shard:
                     close()
                     shard, sequence = at, 0
