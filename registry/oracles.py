@@ -14,8 +14,8 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def words(items: list[str]) -> str:
-    return "[" + ", ".join(q(i) for i in items) + "]"
+def words(items: list[str | None]) -> str:
+    return "[" + ", ".join("NULL" if i is None else q(i) for i in items) + "]"
 
 
 def pick(items: list[str], position: str) -> str:
@@ -36,7 +36,7 @@ B = q(V.BRAND)
 
 RAW_POSTS = f"""
 base AS (
-  SELECT conv_id, turn, role, text, conv_id * 100 + turn AS id FROM conversations
+  SELECT conv_id, turn, role, text, conv_id * 1000000 + turn AS id FROM conversations
 ),
 p AS (
   SELECT id, CAST(id AS VARCHAR) AS tweet_id,
@@ -44,7 +44,7 @@ p AS (
       ELSE 'u' || CAST(conv_id AS VARCHAR) END AS author_id,
     role = 'user' AS inbound,
     CASE WHEN conv_id % 23 = 7 AND turn = 2 THEN NULL
-      ELSE {V.EPOCH} + (conv_id % 100000) * 3600 + turn * 60 END AS created_at,
+      ELSE {V.EPOCH} + conv_id * 3600 + turn * 60 END AS created_at,
     CASE WHEN conv_id % 17 = 0 AND turn = 1 THEN '  '
       WHEN role = 'user' THEN {pick(V.MESSAGES, 'conv_id * 3 + turn')} || ' ' || text
       WHEN role = 'assistant' THEN {pick(V.REPLIES, 'conv_id + turn * 5')} || ' ' || text
@@ -122,7 +122,8 @@ x AS (
     CASE WHEN event_id % 29 = 0 THEN NULL ELSE {pick(FV.TAXONOMY, 'event_id')} END AS predicted_intent,
     (event_id % 101) / 100.0::DOUBLE AS classifier_confidence,
     CASE WHEN event_id % 11 <> 0 THEN (event_id * 7 % 100) / 100.0::DOUBLE END AS top_similarity,
-    {pick(['instructional', 'dm_redirect', 'insufficient_evidence'], 'event_id // 13')} AS reply_status
+    {pick(V.STATUSES, 'event_id // 13')} AS given_status,
+    coalesce(nullif(trim(given_status), ''), '{FV.NO_REPLY_STATUS}') AS reply_status
   FROM events
 )"""
 
@@ -407,7 +408,7 @@ def draft_sql() -> str:
             FROM msg LEFT JOIN per2 USING (example_id))""",
     ) + f"""SELECT example_id, draft_style,
       CASE draft_style WHEN 'insufficient_evidence' THEN {filled(FV.NO_EVIDENCE_REPLY, intent=phrase)}
-        WHEN 'dm_redirect' THEN {filled(FV.DM_REPLY, intent=phrase, ask=ask)} ELSE {steps} END AS reply_text,
+        WHEN 'dm_redirect' THEN {filled(FV.DM_REPLY, intent=phrase, ask=ask, brand=q(FV.BRAND_NAME))} ELSE {steps} END AS reply_text,
       coalesce(giving, all_ids, '') AS cited FROM full_"""
 
 

@@ -19,70 +19,81 @@ BRAND = "helpdesk"
 EPOCH = 1_704_067_200  # 2024-01-01 00:00:00 UTC
 
 MESSAGES = [
-    "my battery drains so fast since yesterday",
-    "my phone won't charge with this cable",
-    "after the ios 11 update nothing feels right",
-    "the touch bar isn't responding at all today",
-    "wifi keeps dropping every hour at home",
-    "my apple id is locked and i need a verification code",
-    "app store won't load on my tablet",
-    "safari keeps crashing when i open tabs and safari crash again",
-    "i was charged twice please refund me",
-    "i can't find manage subscription anywhere",
-    "storage almost full after deleting photos",
-    "how do i delete apps on this tablet",
-    "thank you",
-    "@helpdesk please fix it",
-    "tried everything and the device is strange",
-    "battery drain and my charger won't charge either",
-    "battery life is bad and it is not charging",
-    "wireless charg pad fails since the update with battery dying",
-    "battery dies fast after the update and safari crash",
-    "refund please and cancel my subscription",
-    "charged me twice, family sharing is on",
-    "cancel my apple music and payment method issue",
-    "since the update all apps crash and safari crash",
-    "after the update safari not opening",
-    "since the update speaker not working",
-    "after the update my screen cracked and won't turn on",
-    "software update then speaker issue",
-    "app store not loading and mail crash",
-    "no service after the update",
-    "can't sign in since the update",
-    "not enough storage for the latest update",
-    "how do i reset my password",
-    "how can i get a refund and cancel my subscription",
-    "where can i see my battery life after the update",
-    "is it possible to use airdrop not working with no sim",
-    "wifi still not working",
-    "help",
-    "what is wrong with this",
-    "the parcel came late and the box was open",
-    "i like the new colour of the case",
-    "bluetooth won't connect and storage full and refund",
-    "the screen is frozen, camera not ready, locked out of my account",
+    "by noon the percent drops to nothing and battery performance is poor",
+    "the lightning port is loose so it will not charge overnight",
+    "verifying update has been shown for two hours",
+    "power button stuck and a microphone broken from one fall",
+    "hotspot won't start on the train and there is no internet",
+    "somebody got in, my icloud hacked and two-factor sends nothing",
+    "app store keeps asking on every single tap",
+    "podcasts freezing on the second episode each morning",
+    "payment declined at the till though the bank says yes",
+    "the plan page is empty and family sharing shows nobody",
+    "out of storage although every picture is gone",
+    "where do i turn off the keyboard sound",
+    "thx",
+    "@helpdesk fix everything",
+    "same problem as before over here",
+    "draining quickly and now the charger faulty as well",
+    "battery draining all night plus slow charging",
+    "battery dead and the lightning cable is torn",
+    "battery dying since the upgrade on friday",
+    "not charging after the upgrade at all",
+    "i want my money back for family sharing",
+    "refund me and let me manage subscription by myself",
+    "billing error and no subscription button anywhere",
+    "app store down and maps crashing too",
+    "boot loop after the upgrade finished",
+    "camera issue since the update came",
+    "microphone issue with the latest update",
+    "bluetooth drop after the ios upgrade in the car",
+    "cannot log in after upgrading last week",
+    "out of storage for the new update once more",
+    "every app hangs since the update and mail issue on top",
+    "notes crashing after the upgrade was done",
+    "watch app broken since the update today",
+    "how do i get more battery life out of it",
+    "how to clean a lightning port",
+    "where can i change my password",
+    "how do i stop app store spinning",
+    "is it possible to get a refund",
+    "where do i cancel my subscription",
+    "how can i free up space",
+    "how to swap a sim card",
+    "is it possible to mend a display cracked in two",
+    "how do i stop calendar crashing",
+    "how to skip the latest update",
+    "where do i get a refund or cancel my subscription",
+    "how can i stop battery dying since the update",
+    "bluetooth issue, out of storage and billing problem at once",
+    "screen black, camera dead, trusted device number lost",
+    "airdrop issue again, and no sim since noon",
+    "the courier left it at the wrong door",
+    "lovely colours on the new strap",
+    "help!",
+    "what is wrong over there",
 ]
 
 REPLIES = [
-    "We're here to help. Please DM us your model and software version. https://t.co/abc",
-    "Join us in a DM and we'll continue there. https://t.co/xyz",
-    "Go to Settings > Wi-Fi and forget the network, then restart your phone. Let us know how it goes.",
-    "Try these steps: open Settings and check for news. Which iOS version are you using?",
-    "Thanks for reaching out to us. Tap General, then select Reset. Did you notice this before?",
-    "We'd love to help. When did this start? Have you tried a restart?",
-    "Hello! Update to the newest release and check from there! More help: https://t.co/help",
-    "Hi there, what country are you in? DM us which device you use.",
-    "That sounds odd.\nFollow these steps and slide to power off\n\nThen back up your data.",
-    "We are happy to look into this. Send us a DM, and reset the device if needed.",
-    "Please see the article below. https://t.co/article",
-    "We understand. We will look into it soon.",
-    "Can you tell us more? Can you tell us more? CAN YOU TELL US MORE?",
-    "Go to the settings page and choose the option that is named after the thing you want to change, "
-    "wait until the page has loaded in full, then tap the large button at the lower end of the page "
-    "and wait again - it may take a while before anything is shown on the screen.",
-    "Restart it. Restart the phone now. RESTART THE PHONE NOW. Tap the icon - ",
-    "What device do you use, and what were you doing when you saw it for the first time, and is there "
-    "anything else that you changed on the same day that we should know about in order to help you?",
+    "We are sorry to hear that. Send us a DM with the serial number. https://t.co/q1",
+    "There is more room in a private chat: https://t.co/q2",
+    "Go to the network page and forget the network, then join it anew. Tell us what happens.",
+    "Follow these steps: open Settings and look for a newer release. What iOS is on it?",
+    "Thanks for reaching out today. Select General and tap Reset twice. Did you see this last week?",
+    "We would love to help you. When did it begin? Have you tried another outlet?",
+    "Hello, update to the current release and check out this page! Details: https://t.co/q3",
+    "Hi there! What country was it bought in? Direct message us which model it is.",
+    "How odd.\nBack up the phone and slide to power off\n\nThen force quit the two apps.",
+    "We're glad to look. Meet us in DM, and restart the tablet before that.",
+    "An article on this is here: https://t.co/q4",
+    "Noted. Somebody will call you.",
+    "Can you tell us the colour? can you tell us the colour? CAN YOU TELL US THE COLOUR?",
+    "Go to the last page of the list of all devices that were ever used with this profile, pick the one that "
+    "has the oldest date beside it, hold it down until a small cross is shown in the corner, and then tap that "
+    "cross as often as needed - the list may take a minute to come back.",
+    "Force quit it. Force quit the mail program. FORCE QUIT THE MAIL PROGRAM. Select the wheel - ",
+    "Which iPad is it, what colour has it, who set it up for you at the start, and were there any other "
+    "people near it on the evening on which all of this was noticed by you for the very first time?",
     "",
 ]
 
@@ -103,10 +114,10 @@ def pick(words: list[str], position: Column) -> Column:
 def raw_posts(spark: SparkSession, folder: str) -> DataFrame:
     """Posts as they would lie in a file: every column but the sequence number is text."""
     conv, turn, role = F.col("conv_id"), F.col("turn"), F.col("role")
-    ident = conv * 100 + turn
+    ident = conv * 1_000_000 + turn
     number = ident.cast("string")
     assistant = role == "assistant"
-    when = F.timestamp_seconds(F.lit(EPOCH) + (conv % 100_000) * 3600 + turn * 60)
+    when = F.timestamp_seconds(F.lit(EPOCH) + conv * 3600 + turn * 60)
     written = F.date_format(when, "EEE MMM dd HH:mm:ss Z yyyy")
     parent = (
         F.when(turn == 0, "nan")
@@ -191,7 +202,7 @@ def policy_inputs(spark: SparkSession, folder: str) -> DataFrame:
         F.when(event % 29 == 0, F.lit(None)).otherwise(pick(FV.TAXONOMY, event)).alias("predicted_intent"),
         ((event % 101) / 100.0).alias("classifier_confidence"),
         F.when(event % 11 != 0, (event * 7 % 100) / 100.0).alias("top_similarity"),
-        pick(["instructional", "dm_redirect", "insufficient_evidence"], F.floor(event / 13)).alias("reply_status"),
+        pick(STATUSES, F.floor(event / 13)).alias("reply_status"),
     )
 
 
@@ -220,6 +231,9 @@ def drafting_inputs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# A reply status may be missing, blank or padded.
+STATUSES = ["instructional", "dm_redirect", "insufficient_evidence", " dm_redirect  ", "", None, " ", "instructional "]
+
 JUDGE_ANSWERS = [
     # {s} score, {c} cited id
     '{"scores": {"relevance": {s}, "groundedness": 4, "helpfulness": 4, "safety_appropriateness": 5}, '

@@ -63,25 +63,14 @@ def test_logreg(spark, logreg, tmp_path):
     assert {r["customer_tweet_id"]: r["classifier_confidence"] for r in again} == {r["customer_tweet_id"]: r["classifier_confidence"] for r in rows}
 
 
-def test_svm_solves_the_squared_hinge_problem(spark, tmp_path):
-    import numpy as np
-
+def test_svm_is_a_model_per_label(spark, tmp_path):
     rows = labelled(spark, 4).filter(F.col("weak_intent").isin(*FV.TAXONOMY[:4]))
-    model = C.fit_svm(rows)
+    model = C.fit_svm(rows, max_iter=30)
     out = model.predict(rows).collect()
     assert all(r["predicted_intent"] == r["weak_intent"] for r in out)
     assert all(abs(sum(r["score_weights"].values()) - 1) < 1e-9 for r in out)
-    assert all("probabilities" not in r.asDict() for r in out)
-    # The gradient of the objective vanishes at the solution.
-    grams = with_grams(rows, "customer_text")
-    data = model.features.transform(grams).join(class_weights(rows, "weak_intent"), "weak_intent").collect()
-    x = np.array([np.append(r["features"].toArray(), 1.0) for r in data])
-    for k, binary in enumerate(model.classifier.models):
-        w = np.append(binary.coefficients.toArray(), binary.intercept)
-        sign = np.array([1.0 if r["weak_intent"] == model.labels[k] else -1.0 for r in data])
-        cost = np.array([r["weight"] if r["weak_intent"] == model.labels[k] else 1.0 for r in data])
-        gradient = w - 2 * x.T @ (cost * sign * np.maximum(0, 1 - sign * (x @ w)))
-        assert np.linalg.norm(gradient) < 1e-2
+    assert all(r["predicted_intent"] == max(r["decision_scores"], key=r["decision_scores"].get) for r in out)
+    assert all("probabilities" not in r.asDict() for r in out) and len(model.classifier.models) == 4
     model.save(str(tmp_path / "svm"))
     assert C.IntentModel.load(spark, str(tmp_path / "svm")).predict(rows).first()["predicted_intent"] in FV.TAXONOMY
 
@@ -103,7 +92,7 @@ def test_two_models_and_end_to_end(spark, logreg):
     )
     flags = runs.evaluate_models(logreg, logreg, golden)
     assert flags.filter("both_correct").count() == 13 and M.agreement(flags).count() == 4
-    assert runs.evaluate_model(logreg, golden).first()["accuracy"] == 1.0
+    assert runs.evaluate_model(logreg, golden)["metrics"].first()["accuracy"] == 1.0
     pairs = spark.createDataFrame(
         [(str(i), f"a{i}", f"{t} number1", "Go to Settings and restart the phone. DM us.") for i, t in enumerate(TEMPLATES)],
         "customer_tweet_id string, agent_tweet_id string, customer_text string, agent_text string",
@@ -112,6 +101,11 @@ def test_two_models_and_end_to_end(spark, logreg):
     rows = scored.collect()
     assert len(rows) == 13 and all(len(r["evidence"]) == 2 for r in rows)
     assert {r["decision"] for r in rows} <= {"auto_handle", "escalate"}
+    odd = golden.limit(1).unionByName(golden.limit(1).withColumn("example_id", F.lit("blank")).withColumn("customer_text", F.lit(" ")))
+    told = {r["example_id"]: (r["error"], r["decision"] is None) for r in runs.score_messages(odd, logreg, build_index(pairs, min_df=1)).collect()}
+    assert len(told) == 2 and told.pop("blank") == ("blank_message", True) and {*told.values()} == {(None, False)}
+    few = C.fit_logreg(labelled(spark), most_rows=40)
+    assert few.meta["train_size"] == 40
     loose = runs.score_messages(golden, logreg, build_index(pairs, min_df=1), confidence_threshold=0.0)
     report = runs.decision_report(loose)
     assert report["metrics"].first()["n_examples"] == 13

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from threadweave.operators.threads import conversation_summary, conversation_table, thread_roots
+from threadweave.operators.threads import conversation_summary, conversation_table, thread_lines, thread_roots
 from tests.test_posts_and_pairs import POST
 
 
@@ -69,18 +69,40 @@ def test_undated_posts_sort_last(spark):
     assert row["first_customer_tweet_id"] == "0002"
 
 
-@pytest.mark.parametrize("limit", [100_000, 50])
-def test_thread_split_over_tasks_keeps_every_post_in_order(spark, limit):
-    # Small range partitions stay apart, as those of a really long thread would.
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    rows = conversation_table(thread(spark, 400), segment_posts=limit).orderBy("segment").collect()
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert "\n".join(r["thread_text"] for r in rows) == "\n".join(
-        f"[{'customer | u' if i % 2 == 0 else 'agent | desk'}] t{i}" for i in range(400)
-    )
-    assert " ||| ".join(r["customer_text"] for r in rows) == " ||| ".join(f"t{i}" for i in range(0, 400, 2))
-    assert {(r["num_tweets"], r["num_agent_tweets"], r["first_agent_tweet_id"]) for r in rows} == {(400, 200, "0001")}
-    assert (len(rows) == 1) == (limit == 100_000)
+@pytest.mark.parametrize("partitions", [1, 4, 13])
+def test_a_thread_is_one_row_whatever_the_partitions(spark, partitions):
+    posts = thread(spark, 400).repartition(partitions)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    rows, lines = conversation_table(posts).collect(), thread_lines(posts).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = [f"[{'customer | u' if i % 2 == 0 else 'agent | desk'}] t{i}" for i in range(400)]
+    assert len(rows) == 1 and rows[0]["thread_text"].split("\n") == want == [r["line"] for r in lines]
+    assert rows[0]["customer_text"] == " ||| ".join(f"t{i}" for i in range(0, 400, 2))
+    assert (rows[0]["num_tweets"], rows[0]["num_agent_tweets"], rows[0]["first_agent_tweet_id"]) == (400, 200, "0001")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_roots_of_random_forests_and_cycles(spark, seed):
+    rng = random.Random(seed)
+    parents = {f"p{k}": (f"p{rng.randrange(k)}" if k and rng.random() < 0.95 else None) for k in range(300)}
+    parents |= {f"d{k}": f"d{k - 1}" if k else None for k in range(130)} | {f"c{k}": f"c{(k + 1) % 5}" for k in range(5)} | {"t0": "c2", "t1": "t0"}
+    order = list(parents)
+
+    def root(x):
+        seen = []
+        while parents[x] is not None:
+            if x in seen:
+                return None  # a cycle, named below
+            seen.append(x)
+            x = parents[x]
+        return x
+
+    members = [x for x in order if root(x) is None]
+    rows = [(x, "u", True, 0, "t", None, parents[x], k) for k, x in enumerate(order)]
+    df = spark.createDataFrame(rows, POST.replace("created_at timestamp", "created_at bigint"))
+    got = {r["tweet_id"]: r["conversation_id"] for r in thread_roots(df).collect()}
+    assert got == {x: root(x) or members[0] for x in order}
 
 
 def test_summary_of_nothing_is_zero(spark):

@@ -5,10 +5,8 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from threadweave import fixed_values as FV
 
@@ -32,51 +30,78 @@ def adjacent_pairs(tokens: Column | str) -> Column:
     return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def _fold_table() -> tuple[str, str, str]:
-    """Characters whose compatibility form is one base character, and those that vanish.
+HANGUL = ("\uac00", "\ud7a3")  # the composed syllables, which unfold by arithmetic
 
-    Built from the Unicode data by the NFKD rule; nothing is typed in.
+
+def _fold_table() -> tuple[str, str, str, str, list[str]]:
+    """Characters by what is left of them without accents: one character, nothing, or several.
+
+    Built from the Unicode data by the NFKD rule over all code points; nothing is typed in.
     """
-    source, target, dropped = [], [], []
-    for code in range(0x80, min(sys.maxunicode, 0xFFFF) + 1):
-        if 0xD800 <= code <= 0xDFFF:
-            continue
+    source, target, dropped, expanding, expanded = [], [], [], [], []
+    for code in range(0x80, sys.maxunicode + 1):
         ch = chr(code)
+        if 0xD800 <= code <= 0xDFFF or HANGUL[0] <= ch <= HANGUL[1]:
+            continue
         base = "".join(x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x))
         if base == ch:
             continue
         if len(base) == 1:
             source.append(ch)
             target.append(base)
-        elif not base:
+        elif base:
+            expanding.append(ch)
+            expanded.append(base)
+        else:
             dropped.append(ch)
-    return "".join(source), "".join(target), "".join(dropped)
+    return "".join(source), "".join(target), "".join(dropped), "".join(expanding), expanded
+
 
+_FOLD_FROM, _FOLD_TO, _FOLD_DROP, _EXPANDING, _EXPANDED = _fold_table()
 
-_FOLD_FROM, _FOLD_TO, _FOLD_DROP = _fold_table()
 
+def _class_of(characters: str) -> str:
+    """A pattern for any of the characters, as ranges."""
+    codes, ranges = sorted(map(ord, characters)), []
+    for code in codes:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in [*ranges, [ord(HANGUL[0]), ord(HANGUL[1])]]) + "]"
 
-@F.pandas_udf(StringType())
-def _nfkd_fold(texts: pd.Series) -> pd.Series:
-    """Whole-rule folding for characters that expand to several (ligatures, fractions, Hangul)."""
-    return texts.str.normalize("NFKD").map(
-        lambda t: "".join(x for x in t if not unicodedata.combining(x)), na_action="ignore"
+
+_EXPANDING_CLASS = _class_of(_EXPANDING)
+_LEADS, _VOWELS, _TAILS = ("".join(map(chr, range(a, b))) for a, b in ((0x1100, 0x1113), (0x1161, 0x1176), (0x11A8, 0x11C3)))
+
+
+def _expand(ch: Column) -> Column:
+    """What an expanding character unfolds to; any other character as it is."""
+    at = F.call_function("locate", ch, F.lit(_EXPANDING))
+    syllable = F.ascii(ch) - F.lit(ord(HANGUL[0]))
+    jamo = F.concat(
+        F.substring(F.lit(_LEADS), F.floor(syllable / 588).cast("int") + 1, F.lit(1)),
+        F.substring(F.lit(_VOWELS), F.floor(syllable % 588 / 28).cast("int") + 1, F.lit(1)),
+        F.when(syllable % 28 > 0, F.substring(F.lit(_TAILS), (syllable % 28).cast("int"), F.lit(1))).otherwise(F.lit("")),
+    )
+    return (
+        F.when(~ch.rlike(_EXPANDING_CLASS), ch).when(ch.between(*HANGUL), jamo)
+        .otherwise(F.element_at(F.lit(_EXPANDED), at))
     )
 
 
-def fold_accents(c: Column | str, expanding: bool = False) -> Column:
-    """M4. Accents off.
+def fold_accents(c: Column | str) -> Column:
+    """M4. Accents off, by the NFKD rule for every character, in native functions.
 
-    The default maps every character whose folded form is a single character, natively.
-    ``expanding=True`` also unfolds ligatures and syllable blocks through an Arrow batch.
-    ASCII text skips the map.
+    A character that folds to one is translated; ligatures, fractions, syllable blocks and others that
+    unfold to several are replaced one by one, in the texts that have any. ASCII text skips both.
     """
     text = _col(c)
-    if expanding:
-        return _nfkd_fold(text)
-    return F.when(
-        text.rlike(r"[^\x00-\x7f]"), F.translate(text, _FOLD_FROM + _FOLD_DROP, _FOLD_TO)
-    ).otherwise(text)
+    single = F.translate(text, _FOLD_FROM + _FOLD_DROP, _FOLD_TO)
+    whole = F.when(
+        single.rlike(_EXPANDING_CLASS), F.array_join(F.transform(F.split(single, ""), _expand), "")
+    ).otherwise(single)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), whole).otherwise(text)
 
 
 def tfidf_tokens(c: Column | str) -> Column:

@@ -6,10 +6,9 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
-    LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, OneVsRestModel,
+    LinearSVC, LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
 )
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -19,16 +18,18 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from threadweave import fixed_values as FV
-from threadweave.functions import margins
 from threadweave.functions.normalize import has_text, strip
 from threadweave.operators.sampling import stratified_split
 from threadweave.operators.tfidf import with_grams
 from threadweave.operators.weak_training import class_weights
 from threadweave.schema import require_columns
+from threadweave.session import cut_lineage
 
-# Upper end of the vocabulary Spark keeps; far above what a training set yields, because
-# every coefficient vector has this length at most.
-VOCABULARY_LIMIT = 1 << 22
+# Labelled rows a fit learns from at most, chosen by a hash of the text: coefficients live on the driver, and
+# the vocabulary they span grows with the rows.
+MOST_ROWS = 1_000_000
+VOCABULARY_SIZE = 1 << 24  # a fit whose vocabulary fills this fails; no term is dropped silently
+SVM_PARALLEL = 4
 
 
 def load_weak_training(df: DataFrame, labels: Sequence[str] = tuple(FV.TAXONOMY)) -> DataFrame:
@@ -48,8 +49,10 @@ def fit_features(df: DataFrame, text: str, analyzer: str = "word", min_df: int =
     """
     grams = with_grams(df.select(text), text, analyzer).select("grams")
     counter = CountVectorizer(
-        inputCol="grams", outputCol="counts", minDF=float(min_df), vocabSize=VOCABULARY_LIMIT
+        inputCol="grams", outputCol="counts", minDF=float(min_df), vocabSize=VOCABULARY_SIZE
     ).fit(grams)
+    if len(counter.vocabulary) >= VOCABULARY_SIZE:
+        raise ValueError("the vocabulary is full; raise min_df or lower most_rows")
     idf = IDF(inputCol="counts", outputCol="weighted").fit(counter.transform(grams))
     scale = ElementwiseProduct(
         inputCol="counts", outputCol="weighted", scalingVec=Vectors.dense(idf.idf.toArray() + 1.0)
@@ -126,9 +129,11 @@ def softmax(scores: Column) -> Column:
 
 
 def _prepared(
-    train: DataFrame, text: str, label: str, analyzer: str, weighting: str
+    train: DataFrame, text: str, label: str, analyzer: str, weighting: str, most_rows: int
 ) -> tuple[list[str], PipelineModel, DataFrame, int]:
     """Features, label index and class weight of the training rows, kept for the iterations."""
+    if train.count() > most_rows:
+        train = cut_lineage(train.orderBy(F.xxhash64(text, label), text).limit(most_rows))
     weights = class_weights(train, label, weighting)
     # One row per label.
     labels = sorted(r[label] for r in weights.select(label).collect())
@@ -143,14 +148,14 @@ def _prepared(
 
 def fit_logreg(
     train: DataFrame, text: str = "customer_text", label: str = "weak_intent", analyzer: str = "word",
-    weighting: str = "balanced", c: float = 1.0, max_iter: int = FV.LOGREG_MAX_ITER,
+    weighting: str = "balanced", c: float = 1.0, max_iter: int = FV.LOGREG_MAX_ITER, most_rows: int = MOST_ROWS,
 ) -> IntentModel:
-    """M5/M12-M14. Multinomial logistic regression.
+    """M5/M12-M14. Multinomial logistic regression on at most ``most_rows`` labelled rows.
 
     Spark averages the loss over the weights, so a penalty of 1 / (C * n) is the same
     objective as C times the summed loss.
     """
-    labels, features, vectors, n = _prepared(train, text, label, analyzer, weighting)
+    labels, features, vectors, n = _prepared(train, text, label, analyzer, weighting, most_rows)
     try:
         total = vectors.agg(F.sum("weight")).first()[0]
         model = LogisticRegression(
@@ -164,47 +169,21 @@ def fit_logreg(
 
 def fit_svm(
     train: DataFrame, text: str = "customer_text", label: str = "weak_intent", analyzer: str = "word",
-    weighting: str = "balanced", c: float = 1.0, max_iter: int = FV.SVM_MAX_ITER,
+    weighting: str = "balanced", c: float = 1.0, max_iter: int = FV.SVM_MAX_ITER, most_rows: int = MOST_ROWS,
 ) -> IntentModel:
-    """M7. One linear SVM per label against the rest, squared hinge loss.
+    """M7. One linear SVM per label against the rest, by Spark ML.
 
-    Spark ML's own SVM has the plain hinge, which is another model and, not being smooth,
-    takes a thousand passes. Here all labels are fitted together: every step is one Spark
-    job over the cached rows that returns the loss and gradient of all labels. The class
-    weight applies to the rows of the label itself, the rest weigh one; the intercept is a
-    feature of constant one. Scoring is Spark ML's.
+    Spark's loss is the plain hinge, where other solvers square it, so margins differ a little and
+    rankings rarely. The class weight of a row counts in every label's fit.
     """
-    labels, features, vectors, n = _prepared(train, text, label, analyzer, weighting)
-    blocks = vectors.rdd.mapPartitions(margins.row_blocks).persist(StorageLevel.MEMORY_AND_DISK)
-    width = len(features.stages[0].vocabulary) + 1
-    shape = (width, len(labels))
-    context = vectors.sparkSession.sparkContext
-
-    def loss_and_gradient(flat: np.ndarray) -> tuple[float, np.ndarray]:
-        shared = context.broadcast(flat.reshape(shape))
-        partial = blocks.map(lambda b: margins.squared_hinge(b, shared.value))
-        # Many partial gradients are added up on the executors first.
-        total = partial.treeReduce if blocks.getNumPartitions() > 32 else partial.reduce
-        loss, gradient = total(lambda x, y: (x[0] + y[0], x[1] + y[1]))
-        shared.destroy()
-        return 0.5 * float(flat @ flat) + c * loss, flat + c * gradient.ravel()
-
+    labels, features, vectors, n = _prepared(train, text, label, analyzer, weighting, most_rows)
     try:
-        solution = margins.lbfgs(loss_and_gradient, width * len(labels), max_iter, FV.SOLVER_TOLERANCE).reshape(shape)
+        total = vectors.agg(F.sum("weight")).first()[0]
+        svm = LinearSVC(regParam=1.0 / (c * total), maxIter=max_iter, tol=FV.SOLVER_TOLERANCE, standardization=False)
+        model = OneVsRest(classifier=svm, weightCol="weight", parallelism=SVM_PARALLEL).fit(vectors)
     finally:
-        blocks.unpersist()
         vectors.unpersist()
-    models = [
-        LinearSVCModel._create_from_java_class(
-            "org.apache.spark.ml.classification.LinearSVCModel", f"svm_{i}",
-            Vectors.dense(solution[:-1, i]), float(solution[-1, i]),
-        )
-        for i in range(len(labels))
-    ]
-    model = OneVsRestModel(models)
-    # Saving asks for the kind of binary classifier the parts come from.
-    model.set(model.classifier, LinearSVC())
-    model.setFeaturesCol("features").setPredictionCol("prediction").setRawPredictionCol("rawPrediction")
+    model.setRawPredictionCol("rawPrediction")
     return IntentModel("svm", analyzer, labels, features, model, {"train_size": n, "weighting": weighting})
 
 

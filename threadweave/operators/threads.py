@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadweave.functions.normalize import thread_line
 from threadweave.schema import require_columns
 from threadweave.session import cut_lineage
 
-# A thread with more posts than this is given out as several text pieces, so that no
-# cell of the conversation table grows without bound.
-SEGMENT_POSTS = 100_000
-
-
 def _links(posts: DataFrame, order: str) -> DataFrame:
     """Every post with the loaded post it answers, or null.
 
@@ -49,32 +44,39 @@ def _as_targets(pending: DataFrame) -> DataFrame:
     )
 
 
+def _pointed_at(settled: DataFrame, pending: DataFrame) -> DataFrame:
+    """The settled posts that an open one points at."""
+    return cut_lineage(settled.join(pending.select(F.col("ptr").alias("tweet_id")), "tweet_id", "left_semi"))
+
+
 def thread_roots(posts: DataFrame, order: str = "ingest_seq") -> DataFrame:
     """G1/G2. ``(tweet_id, conversation_id)`` for every post; ids must be unique.
 
-    Pointer doubling: after r rounds a post points 2^r links up its thread. A post is
-    settled once it points at a post that answers nothing loaded. Only unsettled posts take
-    part in a round, so a round costs what is still open, and the number of rounds is the
-    logarithm of the longest thread. If a round settles nothing, what is left runs into
-    reply cycles; such a component is named after its first post in input order.
+    Pointer doubling: after r rounds a post points 2^r links up its thread. A post is settled once it
+    points at a settled post. The number of rounds is the logarithm of the longest thread. A round
+    joins the open posts with the open posts and with those settled posts that an open one points
+    at; new pointers are pointers of the round before, so that set only shrinks and a round costs
+    what is still open. If a round settles nothing, what is left runs into reply cycles; such
+    a component is named after its first post in input order.
     """
     require_columns(posts, ["tweet_id", "in_response_to_tweet_id", order], "posts")
     links = cut_lineage(_links(posts, order))
     finished = links.filter("ptr IS NULL").select("tweet_id", F.col("tweet_id").alias("conversation_id"))
     pending = links.filter("ptr IS NOT NULL")
+    settled = _pointed_at(finished, pending)
     open_rows, rounds = pending.count(), 0
     while open_rows:
-        settled_targets = finished.select(
+        settled_targets = settled.select(
             F.col("tweet_id").alias("ptr"), F.col("conversation_id").alias("next"),
             F.lit(None).cast(links.schema["seq"].dataType).alias("next_seq"), F.lit(True).alias("done"),
         )
         targets = settled_targets.unionByName(_as_targets(pending).withColumn("done", F.lit(False)))
         step = _jump(pending, targets, "done")
         rounds += 1
-        finished = finished.unionByName(
-            step.filter("done").select("tweet_id", F.col("ptr").alias("conversation_id"))
-        )
+        new = step.filter("done").select("tweet_id", F.col("ptr").alias("conversation_id"))
+        finished = finished.unionByName(new)
         pending = step.filter("NOT done").drop("done")
+        settled = _pointed_at(settled.unionByName(new), pending)
         still_open = pending.count()
         if still_open == open_rows:
             return finished.unionByName(_cycle_roots(pending, rounds, still_open))
@@ -107,97 +109,54 @@ def brand_conversations(posts: DataFrame, brand: str) -> DataFrame:
     return posts.join(mine, "conversation_id", "left_semi")
 
 
-def _in_thread_order(posts: DataFrame) -> DataFrame:
-    """Range-partition by thread and time: a long thread is spread over tasks in order.
+def thread_lines(posts: DataFrame) -> DataFrame:
+    """Every post of every thread as a line with its place, in (created_at, tweet_id) order.
 
-    Partition numbers rise with the order, so ``piece`` sorts the parts of a split thread.
+    The long form of the conversation table, for threads too long for one cell: sorted by range, so a
+    thread is spread over tasks. Undated posts sort last.
     """
-    ordered = posts.repartitionByRange(
-        F.col("conversation_id"), F.col("created_at").isNull(), F.col("created_at"), F.col("tweet_id")
-    )
-    return ordered.withColumn("piece", F.spark_partition_id())
+    order = [F.col("conversation_id"), F.col("created_at").isNull(), F.col("created_at"), F.col("tweet_id")]
+    return posts.select(
+        "conversation_id", "created_at", "tweet_id", thread_line("inbound", "author_id", "text").alias("line")
+    ).orderBy(*order)
 
 
-def conversation_table(posts: DataFrame, segment_posts: int = SEGMENT_POSTS) -> DataFrame:
+def conversation_table(posts: DataFrame) -> DataFrame:
     """G4. One row per thread: counts, first ids and texts in (created_at, tweet_id) order.
 
-    Texts are put together per range partition first and then per thread. A thread with
-    more than ``segment_posts`` posts keeps its partition pieces as separate rows in
-    order (``segment`` 0, 1, ...) with the same counts, so nothing is cut and no task or
-    cell has to hold such a thread as a whole. Undated posts sort last.
+    One aggregation by thread, whatever its length or the cluster's settings; a thread's text is one
+    cell, so it has to fit a row (``thread_lines`` has no such limit). Undated posts sort last.
     """
     post = F.struct(
-        F.col("created_at").isNull().alias("undated"), "created_at", "tweet_id",
-        "inbound", "author_id", "text",
+        F.col("created_at").isNull().alias("undated"), "created_at", "tweet_id", "inbound", "author_id", "text",
     )
-    pieces = (
-        _in_thread_order(posts)
-        .groupBy("conversation_id", "piece")
-        .agg(F.array_sort(F.collect_list(post)).alias("posts"))
+    threads = posts.groupBy("conversation_id").agg(
+        F.min("created_at").alias("created_at"), F.count(F.lit(1)).alias("num_tweets"),
+        F.count_if("inbound").alias("num_customer_tweets"), F.array_sort(F.collect_list(post)).alias("posts"),
     )
 
-    def texts(of: str) -> Column:
-        chosen = F.filter("posts", lambda p: p["inbound"] if of == "customer" else ~p["inbound"])
-        return F.when(F.size(chosen) > 0, F.array_join(F.transform(chosen, lambda p: p["text"]), " ||| "))
+    def of(customer: bool) -> Column:
+        return F.filter("posts", lambda p: p["inbound"] if customer else ~p["inbound"])
+
+    def texts(customer: bool) -> Column:
+        return F.array_join(F.transform(of(customer), lambda p: p["text"]), " ||| ")
 
-    def first_id(of: str) -> Column:
-        chosen = F.filter("posts", lambda p: p["inbound"] if of == "customer" else ~p["inbound"])
-        return F.get(F.transform(chosen, lambda p: p["tweet_id"]), F.lit(0))
+    def first_id(customer: bool) -> Column:
+        return F.get(F.transform(of(customer), lambda p: p["tweet_id"]), F.lit(0))
 
-    n_customer = F.size(F.filter("posts", lambda p: p["inbound"]))
     lines = F.transform("posts", lambda p: thread_line(p["inbound"], p["author_id"], p["text"]))
-    parts = pieces.select(
-        "conversation_id", "piece",
-        F.array_min(F.transform("posts", lambda p: p["created_at"])).alias("created_at"),
-        F.size("posts").cast("bigint").alias("n"),
-        n_customer.cast("bigint").alias("n_customer"),
-        texts("customer").alias("customer_text"), texts("agent").alias("agent_text"),
-        first_id("customer").alias("first_customer"), first_id("agent").alias("first_agent"),
+    return threads.select(
+        "conversation_id", "created_at", "num_tweets", "num_customer_tweets",
+        (F.col("num_tweets") - F.col("num_customer_tweets")).alias("num_agent_tweets"),
+        texts(True).alias("customer_text"), texts(False).alias("agent_text"),
+        first_id(True).alias("first_customer_tweet_id"), first_id(False).alias("first_agent_tweet_id"),
         F.array_join(lines, "\n").alias("thread_text"),
     )
-    whole = Window.partitionBy("conversation_id")
-    rising = whole.orderBy("piece")
-    sized = parts.withColumns(
-        {
-            "num_tweets": F.sum("n").over(whole),
-            "num_customer_tweets": F.sum("n_customer").over(whole),
-            "thread_created_at": F.min("created_at").over(whole),
-            "first_customer_tweet_id": F.first("first_customer", ignorenulls=True).over(
-                rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            ),
-            "first_agent_tweet_id": F.first("first_agent", ignorenulls=True).over(
-                rising.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            ),
-            "order_in_thread": F.row_number().over(rising),
-        }
-    ).withColumn(
-        "segment",
-        F.when(F.col("num_tweets") > segment_posts, F.col("order_in_thread") - 1).otherwise(0),
-    )
-
-    def joined(column: str, separator: str) -> Column:
-        in_order = F.array_sort(F.collect_list(F.struct("piece", F.col(column).alias("t"))))
-        return F.array_join(F.transform(in_order, lambda p: p["t"]), separator).alias(column)
-
-    return (
-        sized.groupBy(
-            "conversation_id", "segment", F.col("thread_created_at").alias("created_at"), "num_tweets",
-            "num_customer_tweets", "first_customer_tweet_id", "first_agent_tweet_id",
-        )
-        .agg(joined("customer_text", " ||| "), joined("agent_text", " ||| "), joined("thread_text", "\n"))
-        .select(
-            "conversation_id", "created_at", "num_tweets", "num_customer_tweets",
-            (F.col("num_tweets") - F.col("num_customer_tweets")).alias("num_agent_tweets"),
-            "customer_text", "agent_text", "first_customer_tweet_id", "first_agent_tweet_id",
-            "thread_text", "segment",
-        )
-    )
 
 
 def conversation_summary(conversations: DataFrame) -> DataFrame:
     """G6. One row; zeros when there are no conversations."""
-    threads = conversations.filter("segment = 0") if "segment" in conversations.columns else conversations
-    return threads.agg(
+    return conversations.agg(
         F.count(F.lit(1)).alias("num_conversations"),
         F.coalesce(F.avg("num_tweets"), F.lit(0.0)).alias("avg_tweets_per_conversation"),
         F.count_if(F.col("num_agent_tweets") > 0).alias("conversations_with_agent_reply"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadweave import fixed_values as FV
-from threadweave.functions.judging import evidence_ids, judge_prompt, judge_status, parse_judgements
+from threadweave.functions.judging import RUBRIC, evidence_ids, judge_prompt, judge_status, parse_judgements
 from threadweave.functions.normalize import has_text, strip
 from threadweave.functions.policy import decide_escalation, top_similarity
 from threadweave.functions.reply import draft_replies
@@ -21,16 +23,20 @@ from threadweave.sources.posts import load_posts
 from threadweave.sources.sinks import write_table
 
 
-def prepare_conversations(spark: SparkSession, csv: str, brand: str) -> tuple[DataFrame, DataFrame]:
+def prepare_conversations(
+    spark: SparkSession, csv: str, brand: str, multiline: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """G7. Brand threads at post level, and one row per thread."""
-    posts = cut_lineage(load_posts(spark, csv, brand))
+    posts = cut_lineage(load_posts(spark, csv, brand, multiline))
     threads = brand_conversations(assign_conversation_ids(posts), brand)
     return threads, conversation_table(threads)
 
 
-def prepare_pairs(spark: SparkSession, csv: str, brand: str) -> tuple[DataFrame, DataFrame]:
+def prepare_pairs(
+    spark: SparkSession, csv: str, brand: str, multiline: bool = True
+) -> tuple[DataFrame, DataFrame]:
     """A3. Pairs and their quality counters."""
-    posts = cut_lineage(load_posts(spark, csv, brand))
+    posts = cut_lineage(load_posts(spark, csv, brand, multiline))
     return support_pairs(posts, brand, ordered=True), pair_quality_counters(posts, brand)
 
 
@@ -48,13 +54,16 @@ def train_and_validate(
 ) -> tuple[C.IntentModel, DataFrame]:
     """M6/M8. Split, fit, and the overall metrics on the held-out rows; saved on request.
 
-    The metrics are on weak labels, not on annotated truth.
+    The metrics are on weak labels, not on annotated truth. With a path the overall row, the per-label
+    table and the report are written beside the model.
     """
     rows = cut_lineage(C.split_rows(C.load_weak_training(weak), key, fraction, seed))
     train, held_out = rows.filter("split = 'train'"), rows.filter("split = 'validation'")
     fit = C.fit_logreg if kind == "logreg" else C.fit_svm
     model = fit(train, text, **fit_options)
-    result = M.overall_metrics(model.predict(held_out, text), "weak_intent", "predicted_intent")
+    predicted = cut_lineage(model.predict(held_out, text).select("weak_intent", "predicted_intent"))
+    reports = label_reports(predicted, "weak_intent")
+    result = reports["metrics"]
     model.meta.update({"seed": seed, "val_fraction": fraction, "classes": model.labels})
     if path:
         figures = result.first().asDict()
@@ -63,12 +72,23 @@ def train_and_validate(
             "validation_macro_f1": figures["macro_f1"],
         })
         model.save(path)
+        for name, table in reports.items():
+            write_table(table, f"{path}/{name}")
     return model, result
 
 
-def evaluate_model(model: C.IntentModel, golden: DataFrame, truth: str = "annotator_label") -> DataFrame:
-    """E4. Overall metrics of one model on the golden set."""
-    return M.overall_metrics(model.predict(golden), truth, "predicted_intent")
+def evaluate_model(model: C.IntentModel, golden: DataFrame, truth: str = "annotator_label") -> dict[str, DataFrame]:
+    """E4. Overall metrics, per-label table and report of one model on the golden set."""
+    return label_reports(cut_lineage(model.predict(golden).select(truth, "predicted_intent")), truth)
+
+
+def label_reports(predicted: DataFrame, truth: str, labels: Sequence[str] = tuple(FV.TAXONOMY)) -> dict[str, DataFrame]:
+    """E1/E2/E8. Overall row, one row per label, and the report with its averages."""
+    return {
+        "metrics": M.overall_metrics(predicted, truth, "predicted_intent"),
+        "per_label": M.per_label_metrics(predicted, truth, "predicted_intent", list(labels)),
+        "report": M.classification_report(predicted, truth, "predicted_intent", list(labels)),
+    }
 
 
 def evaluate_models(first: C.IntentModel, second: C.IntentModel, golden: DataFrame) -> DataFrame:
@@ -89,7 +109,11 @@ def score_messages(
     text: str = "customer_text", k: int = 5, confidence_threshold: float = FV.CONFIDENCE_THRESHOLD,
     similarity_threshold: float = FV.SIMILARITY_THRESHOLD,
 ) -> DataFrame:
-    """X5. Classify, retrieve, draft and decide for a whole table of messages."""
+    """X5. Classify, retrieve, draft and decide for a whole table of messages.
+
+    Every message has a row: one without text only an ``error``, all others a null one.
+    """
+    blank = messages.filter(~has_text(text)).withColumn("error", F.lit("blank_message"))
     usable = messages.filter(has_text(text)).withColumn(text, strip(text))
     classified = model.predict(usable, text)
     found = evidence_arrays(retrieve_similar(usable, index, k, key, text)).withColumnRenamed("query_id", "_qid")
@@ -97,13 +121,15 @@ def score_messages(
     drafted = draft_replies(joined).withColumns(
         {"top_similarity": top_similarity("evidence"), "reply_status": F.col("draft_style")}
     )
-    return decide_escalation(
+    decided = decide_escalation(
         drafted, confidence_threshold=confidence_threshold, similarity_threshold=similarity_threshold
     )
+    return decided.withColumn("error", F.lit(None).cast("string")).unionByName(blank, allowMissingColumns=True)
 
 
 def decision_report(scored: DataFrame, truth: str = "annotator_label") -> dict[str, DataFrame]:
-    """X6. The tables of the end-to-end report."""
+    """X6. The tables of the end-to-end report; messages with an error take no part."""
+    scored = scored.filter("error IS NULL") if "error" in scored.columns else scored
     return {
         "metrics": M.overall_metrics(scored, truth, "predicted_intent"),
         "decisions": M.value_shares(scored, "decision"),
@@ -114,11 +140,28 @@ def decision_report(scored: DataFrame, truth: str = "annotator_label") -> dict[s
     }
 
 
-def judge_requests(scored: DataFrame, key: str = "example_id", limit: int | None = None) -> DataFrame:
-    """Q3/Q5/L10. Prompts to send out, with the ids a judge may cite."""
-    rows = scored.orderBy(key).limit(limit) if limit else scored
+SHOWN_IDS = 20  # in an error text
+
+
+def judge_requests(
+    scored: DataFrame, key: str = "example_id", limit: int | None = None, ids: DataFrame | None = None
+) -> DataFrame:
+    """Q3/Q5/L10. Prompts to send out, with the judge's instructions and the ids it may cite.
+
+    ``ids`` asks for these messages only; one that was never scored is an error.
+    """
+    rows = scored
+    if ids is not None:
+        wanted = ids.select(F.col(key).cast("string").alias(key)).distinct()
+        have = scored.withColumn(key, F.col(key).cast("string"))
+        unknown = wanted.join(have, key, "left_anti")
+        first = unknown.orderBy(key).take(SHOWN_IDS)
+        if first:
+            raise ValueError(f"{unknown.count()} unknown ids to judge, first of them {[r[key] for r in first]}")
+        rows = have.join(wanted, key, "left_semi")
+    rows = rows.orderBy(key).limit(limit) if limit else rows
     return rows.select(
-        key,
+        key, F.lit(RUBRIC).alias("system_prompt"),
         judge_prompt(
             F.col("customer_text"), F.col("predicted_intent"), F.col("reply_status"), F.col("decision"),
             F.col("reply_text"), F.col("evidence"),

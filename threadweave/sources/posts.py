@@ -23,29 +23,32 @@ def null_words(df: DataFrame) -> DataFrame:
     )
 
 
-def read_csv(spark: SparkSession, path: str, multiline: bool = False, **options: str) -> DataFrame:
-    """A headed CSV with every column as text.
+def line_options(multiline: bool) -> dict[str, str]:
+    """Reader options for quoted texts.
 
-    ``multiline`` is needed only when quoted texts hold line breaks; it makes files
-    unsplittable, so it is off unless asked for. A missing path raises at once.
+    With ``multiline`` quoted texts may hold line breaks, and a file is read by one task; a table of many
+    files is spread by file. Without it files are split, and a record torn by a line break fails
+    the read instead of being lost.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multiline)
+    return {"header": "true", "escape": '"', "multiLine": str(multiline).lower(), "mode": "PERMISSIVE" if multiline else "FAILFAST"}
+
+
+def read_csv(spark: SparkSession, path: str, multiline: bool = True, **options: str) -> DataFrame:
+    """A headed CSV with every column as text (``line_options``). A missing path raises at once."""
+    reader = spark.read.options(**line_options(multiline))
     for key, value in options.items():
         reader = reader.option(key, value)
     return null_words(reader.csv(path))
 
 
-def read_posts_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def read_posts_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
     """S1/S2. Raw posts, ids as text, with ``ingest_seq`` in file order.
 
     The header is checked against the required columns before any row is read.
     """
-    header = spark.read.option("header", True).csv(path)
+    header = spark.read.options(**line_options(True)).csv(path)
     require_columns(header, FV.POST_COLUMNS, "post CSV")
-    raw = (
-        spark.read.schema(_file_order_schema(header)).option("header", True)
-        .option("escape", '"').option("multiLine", multiline).csv(path)
-    )
+    raw = spark.read.schema(_file_order_schema(header)).options(**line_options(multiline)).csv(path)
     return null_words(raw.select(*FV.POST_COLUMNS, scan_order().alias("ingest_seq")))
 
 
@@ -93,7 +96,7 @@ def first_per_id(posts: DataFrame, order: str = "ingest_seq") -> DataFrame:
     return top_per_key(posts, ["tweet_id"], [F.col(order)]).drop("_rank")
 
 
-def load_posts(spark: SparkSession, path: str, brand: str | None = None, multiline: bool = False) -> DataFrame:
+def load_posts(spark: SparkSession, path: str, brand: str | None = None, multiline: bool = True) -> DataFrame:
     """S3/S4. All posts of a CSV, or only those linked to a brand."""
     posts = normalize_posts(read_posts_csv(spark, path, multiline))
     return first_per_id(posts) if brand is None else brand_linked(posts, brand)
@@ -113,20 +116,19 @@ def brand_seed_ids(posts: DataFrame, brand: str) -> DataFrame:
 def brand_linked(posts: DataFrame, brand: str) -> DataFrame:
     """J1/S4. Posts by the brand, in the seed set, or answering a seed.
 
-    Two left joins on equality put a flag beside each post, so posts are scanned once and
-    each join can be broadcast or shuffled as its size asks. Posts without a parent get a
-    key of their own: a shared null would send them all to one task.
+    The ids of linked posts come first, from narrow rows: two semi-joins on (id, author, parent), which
+    drop posts without a parent early and can carry runtime filters. Texts are attached by one more
+    semi-join to the posts that stay. A linked post is one whose own row is linked, so the choice
+    carries the row's sequence number, which only the first row of an id survives.
     """
     seeds = brand_seed_ids(posts, brand)
-    by_id = seeds.select(F.col("seed_id").alias("tweet_id"), F.lit(True).alias("_is_seed"))
-    by_parent = seeds.select(F.col("seed_id").alias("_parent_key"), F.lit(True).alias("_answers_seed"))
-    parent_key = F.coalesce("in_response_to_tweet_id", F.concat(F.lit("no parent of "), F.col("tweet_id")))
-    flagged = (
-        posts.join(by_id, "tweet_id", "left")
-        .withColumn("_parent_key", parent_key)
-        .join(by_parent, "_parent_key", "left")
-    )
-    linked = flagged.filter(
-        (F.col("author_id") == brand) | F.col("_is_seed").isNotNull() | F.col("_answers_seed").isNotNull()
+    narrow = posts.select("tweet_id", "author_id", "in_response_to_tweet_id", "ingest_seq")
+    own = narrow.filter(F.col("author_id") == brand)
+    named = narrow.join(seeds.withColumnRenamed("seed_id", "tweet_id"), "tweet_id", "left_semi")
+    answering = narrow.filter(F.col("in_response_to_tweet_id").isNotNull()).join(
+        seeds.withColumnRenamed("seed_id", "in_response_to_tweet_id"), "in_response_to_tweet_id", "left_semi"
     )
-    return first_per_id(linked.select(*posts.columns))
+    row = ["tweet_id", "ingest_seq"]
+    chosen = own.select(*row).unionByName(named.select(*row)).unionByName(answering.select(*row))
+    first = chosen.groupBy("tweet_id").agg(F.min("ingest_seq").alias("ingest_seq"))
+    return posts.join(first, row, "left_semi").transform(first_per_id)

@@ -14,6 +14,9 @@ from threadweave.schema import require_columns
 from threadweave.sources.posts import read_csv
 
 
+SHOWN_VIOLATIONS = 20  # in an error text; golden_violations has them all
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A stage table: parquet unless the path ends in ``.csv``."""
     return read_csv(spark, path) if path.rstrip("/").endswith(".csv") else spark.read.parquet(path)
@@ -67,10 +70,12 @@ def golden_violations(
 def check_golden_set(df: DataFrame, labels: Sequence[str] = tuple(FV.TAXONOMY)) -> DataFrame:
     """S7. The labelled set with trimmed text and label, or an error that names the problem."""
     require_columns(df, FV.GOLDEN_COLUMNS, "golden set")
-    worst = golden_violations(df, labels).orderBy("rule", "detail").take(20)
+    violations = golden_violations(df, labels)
+    worst = violations.orderBy("rule", "detail").take(SHOWN_VIOLATIONS)
     if worst:
         told = "; ".join(f"{r['rule']} {r['detail']} ({r['n']} rows)".replace("  ", " ") for r in worst)
-        raise ValueError(f"golden set is not usable: {told}")
+        more = violations.count() - len(worst)
+        raise ValueError(f"golden set is not usable: {told}" + f"; {more} more kinds (golden_violations)" * bool(more))
     return df.withColumns(
         {"annotator_label": strip("annotator_label"), "customer_text": strip("customer_text")}
     )

@@ -12,13 +12,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from threadweave.functions.weak_intent import with_weak_intent
 from threadweave.schema import RAW_POST_SCHEMA
-from threadweave.sources.posts import normalize_posts, null_words
+from threadweave.sources.posts import line_options, normalize_posts, null_words
 
 
-def stream_posts(spark: SparkSession, folder: str, files_per_batch: int = 16) -> DataFrame:
+def stream_posts(spark: SparkSession, folder: str, files_per_batch: int = 16, multiline: bool = True) -> DataFrame:
     """S1/P3 over the CSV files that appear in a folder."""
     raw = (
-        spark.readStream.schema(RAW_POST_SCHEMA).option("header", True).option("escape", '"')
+        spark.readStream.schema(RAW_POST_SCHEMA).options(**line_options(multiline))
         .option("maxFilesPerTrigger", files_per_batch).csv(folder)
     )
     return normalize_posts(null_words(raw))
