@@ -359,13 +359,13 @@ def folded_text(spark, folder):
 
 @query
 def tfidf_vocabulary(spark, folder):
-    docs = V.table(spark, folder, "documents")
+    docs = V.spread_table(spark, folder, "documents")
     return rounded(TF.fit_tfidf(docs, "doc_id", "text")[0], "idf")
 
 
 @query
 def tfidf_weights(spark, folder):
-    docs = V.table(spark, folder, "documents")
+    docs = V.spread_table(spark, folder, "documents")
     return rounded(TF.fit_tfidf(docs, "doc_id", "text")[1], "w")
 
 
@@ -377,12 +377,12 @@ def char_gram_counts(spark, folder):
 
 @query
 def char_tfidf_vocabulary(spark, folder):
-    return rounded(TF.fit_tfidf(V.table(spark, folder, "documents"), "doc_id", "text", "char")[0], "idf")
+    return rounded(TF.fit_tfidf(V.spread_table(spark, folder, "documents"), "doc_id", "text", "char")[0], "idf")
 
 
 def _corpus(spark, folder):
     doc = F.col("doc_id").cast("string")
-    return V.table(spark, folder, "documents").select(
+    return V.spread_table(spark, folder, "documents").select(
         doc.alias("customer_tweet_id"), F.concat(F.lit("a"), doc).alias("agent_tweet_id"),
         F.col("text").alias("customer_text"), F.col("source").alias("agent_text"),
     )
@@ -391,7 +391,7 @@ def _corpus(spark, folder):
 @query
 def tfidf_topk(spark, folder):
     """The five most similar documents of every benchmark text, over whole texts."""
-    asked = V.table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+    asked = V.spread_table(spark, folder, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
     found = RT.retrieve_similar(asked, RT.build_index(_corpus(spark, folder)), 5)
     return rounded(
         found.select("query_id", F.col("rank").cast("bigint"), "customer_tweet_id", "similarity_score"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadweave import fixed_values as FV
 from threadweave.functions.normalize import has_text
 from threadweave.operators.common import top_per_key
-from threadweave.operators.tfidf import term_frequencies, unit_weights, vocabulary
+from threadweave.operators.tfidf import hashed_frequencies, unit_weights, vocabulary
 from threadweave.operators.weak_training import exclude_ids
 from threadweave.schema import require_columns
 from threadweave.session import cut_lineage
@@ -23,7 +23,10 @@ FIRST_LOOK = 5_000
 
 @dataclass
 class RetrievalIndex:
-    """``docs``: one row per pair; ``vocab``: term, df, idf; ``postings``: term, id, w."""
+    """``docs``: one row per pair; ``vocab``: term, df, idf, top_w; ``postings``: term, id, w.
+
+    A term is the 64-bit hash of a word or word pair.
+    """
 
     docs: DataFrame
     vocab: DataFrame
@@ -32,7 +35,7 @@ class RetrievalIndex:
 
     TABLES = {
         "docs": FV.RETRIEVAL_COLUMNS,
-        "vocab": ["term", "df", "idf"],
+        "vocab": ["term", "df", "idf", "top_w"],
         "postings": ["doc_id", "term", "w"],
         "meta": ["n_documents", "n_features", "method", "max_ngram", "min_df", "excluded_golden"],
     }
@@ -58,12 +61,17 @@ def build_index(
     pairs: DataFrame, reserved: DataFrame | None = None, min_df: int = FV.TFIDF_MIN_DF
 ) -> RetrievalIndex:
     """R2. Index tables of a pair table."""
-    docs = pairs_for_retrieval(pairs, reserved).withColumn("doc_id", _doc_id())
-    frequencies = cut_lineage(term_frequencies(docs, "doc_id", "customer_text"))
-    vocab = cut_lineage(vocabulary(frequencies, docs.agg(F.count(F.lit(1)).alias("n")).scalar(), min_df))
+    docs = cut_lineage(pairs_for_retrieval(pairs, reserved).withColumn("doc_id", _doc_id()))
+    n_documents = docs.count()
+    if not n_documents:
+        raise ValueError("no support pairs left to index")
+    frequencies = cut_lineage(hashed_frequencies(docs, "doc_id", "customer_text"))
+    vocab = cut_lineage(vocabulary(frequencies, F.lit(n_documents), min_df))
     postings = cut_lineage(unit_weights(frequencies, vocab, "doc_id").select("doc_id", "term", "w"))
+    # The largest weight of each term in any document bounds what it can add to a score.
+    vocab = cut_lineage(vocab.join(postings.groupBy("term").agg(F.max("w").alias("top_w")), "term"))
     meta = vocab.agg(F.count(F.lit(1)).alias("n_features")).select(
-        docs.agg(F.count(F.lit(1)).alias("n")).scalar().alias("n_documents"), "n_features",
+        F.lit(n_documents).cast("bigint").alias("n_documents"), "n_features",
         F.lit("tfidf_cosine").alias("method"), F.lit(FV.TFIDF_MAX_N).alias("max_ngram"),
         F.lit(min_df).alias("min_df"), F.lit(reserved is not None).alias("excluded_golden"),
     )
@@ -92,17 +100,17 @@ def load_index(spark: SparkSession, path: str) -> RetrievalIndex:
 
 
 def _scored(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Sum of weight products per (query, document) over the given query terms."""
+    """Sum of weight products per (question, document) over the given terms."""
     return (
-        terms.select("query_id", "term", "qw").join(postings, "term")
-        .groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
+        terms.select("question", "term", "qw").join(postings, "term")
+        .groupBy("question", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
     )
 
 
 def _kth_best(scored: DataFrame, k: int) -> DataFrame:
-    """Per query the k-th best score so far; no row when fewer documents were met."""
-    best = top_per_key(scored, ["query_id"], [F.desc("score")], k)
-    return best.filter(F.col("_rank") == k).select("query_id", F.col("score").alias("kth"))
+    """Per question the k-th best score so far; no row when fewer documents were met."""
+    best = top_per_key(scored, ["question"], [F.desc("score")], k)
+    return best.filter(F.col("_rank") == k).select("question", F.col("score").alias("kth"))
 
 
 def retrieve_scores(
@@ -111,75 +119,81 @@ def retrieve_scores(
 ) -> DataFrame:
     """R3. ``(query_id, doc_id, score, rank)``: the exact k best documents of every query.
 
-    Common words make up most postings and the least of a score, so they must not generate
-    candidates. Weights have length one, so what the terms left out can still add is at
-    most the length of the query's part in those terms. Two looks make use of that:
+    Equal texts are one question, scored once. Common words make up most postings and the least of a
+    score, so they must not generate candidates. What terms left out can still add is bounded twice: by
+    the length of the question's part in them, as weights have length one, and by their
+    largest weight in any document (``top_w`` of the vocabulary). Two looks make use of that:
 
-    1. a query's rarest terms, up to ``first_look`` postings, give a k-th best score, a
+    1. a question's rarest terms, up to ``first_look`` postings, give a k-th best score, a
        lower bound of the true one;
     2. terms are taken in, rarest first, until what is left over cannot lift a document
        met by none of them to that bound. Documents that can still reach the k-th place
        then get their missing terms added.
 
-    A query without such a bound takes in all its terms; no document is left out of the
-    result by the procedure. Queries with fewer than k matches are filled with score 0 in
+    A question without such a bound takes in all its terms; no document is left out of the
+    result by the procedure. Questions with fewer than k matches are filled with score 0 in
     id order.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
     named = queries.select(F.col(query_id).cast("string").alias("query_id"), F.col(text).alias("text"))
     named = named.filter(has_text("text"))
-    frequencies = term_frequencies(named, "query_id", "text")
-    weighted = unit_weights(frequencies, index.vocab, "query_id")
-    rare_first = Window.partitionBy("query_id").orderBy("df", "term")
+    asked = cut_lineage(named.groupBy("text").agg(F.min("query_id").alias("question")))
+    weighted = unit_weights(hashed_frequencies(asked, "question", "text"), index.vocab, "question", "top_w")
+    rare_first = Window.partitionBy("question").orderBy("df", "term")
     before = rare_first.rowsBetween(Window.unboundedPreceding, -1)
     onward = rare_first.rowsBetween(0, Window.unboundedFollowing)
     terms = cut_lineage(
         weighted.select(
-            "query_id", "term", F.col("w").alias("qw"),
+            "question", "term", F.col("w").alias("qw"),
             F.coalesce(F.sum("df").over(before), F.lit(0)).alias("postings_before"),
-            # Length of the query from this term on: the most these terms can add.
-            F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward)).alias("reach"),
+            # The most this term and the ones after it can add.
+            F.least(
+                F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward)), F.sum(F.col("w") * F.col("top_w")).over(onward)
+            ).alias("reach"),
         )
     )
     postings = index.postings.select("term", "doc_id", "w")
 
     bound = _kth_best(_scored(terms.filter(F.col("postings_before") < first_look), postings), k)
-    planned = terms.join(bound, "query_id", "left").withColumn(
+    planned = terms.join(bound, "question", "left").withColumn(
         "generates", F.col("reach") >= F.coalesce("kth", F.lit(0.0)) - SLACK
     ).drop("kth")
     planned = cut_lineage(planned)
     met = cut_lineage(_scored(planned.filter("generates"), postings))
 
     late = planned.filter("NOT generates")
-    late_reach = late.groupBy("query_id").agg(F.max("reach").alias("late_reach"))
+    late_reach = late.groupBy("question").agg(F.max("reach").alias("late_reach"))
     hopeful = (
-        met.join(late_reach, "query_id", "left").join(_kth_best(met, k), "query_id", "left")
+        met.join(late_reach, "question", "left").join(_kth_best(met, k), "question", "left")
         .filter(
             F.col("score") + F.coalesce("late_reach", F.lit(0.0))
             >= F.coalesce("kth", F.lit(0.0)) - SLACK
         )
-        .select("query_id", "doc_id", "score", F.col("late_reach").isNotNull().alias("incomplete"))
+        .select("question", "doc_id", "score", F.col("late_reach").isNotNull().alias("incomplete"))
     )
     missing = (
-        hopeful.filter("incomplete").select("query_id", "doc_id")
-        .join(late.select("query_id", "term", "qw"), "query_id")
+        hopeful.filter("incomplete").select("question", "doc_id")
+        .join(late.select("question", "term", "qw"), "question")
         .join(postings, ["term", "doc_id"])
-        .select("query_id", "doc_id", (F.col("qw") * F.col("w")).alias("score"))
+        .select("question", "doc_id", (F.col("qw") * F.col("w")).alias("score"))
     )
     smallest_ids = (
         index.docs.select("doc_id").orderBy("doc_id").limit(k).agg(F.collect_list("doc_id")).scalar()
     )
-    filler = named.select("query_id", smallest_ids.alias("ids")).select(
-        "query_id", F.explode("ids").alias("doc_id"), F.lit(0.0).alias("score")
+    filler = asked.select("question", smallest_ids.alias("ids")).select(
+        "question", F.explode("ids").alias("doc_id"), F.lit(0.0).alias("score")
     )
     complete = (
-        hopeful.select("query_id", "doc_id", "score").unionByName(missing).unionByName(filler)
-        .groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+        hopeful.select("question", "doc_id", "score").unionByName(missing).unionByName(filler)
+        .groupBy("question", "doc_id").agg(F.sum("score").alias("score"))
     )
-    return top_per_key(
-        complete, ["query_id"], [F.round("score", 12).desc(), F.col("doc_id")], k, "rank"
+    best = top_per_key(
+        complete, ["question"], [F.round("score", 12).desc(), F.col("doc_id")], k, "rank"
     )
+    # Back from questions to the queries that asked them.
+    askers = named.join(asked, "text").select("query_id", "question")
+    return askers.join(best, "question").select("query_id", "doc_id", "score", "rank")
 
 
 def retrieve_similar(

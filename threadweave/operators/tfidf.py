@@ -10,7 +10,6 @@ from threadweave.functions.tokens import (
     char_grams, grams_of_padded_word, padded_words, tfidf_tokens, word_grams,
 )
 from threadweave.operators.common import bind
-from threadweave.session import shuffle_partitions
 
 ANALYZERS = ("word", "char", "word+char")
 
@@ -26,7 +25,7 @@ def with_grams(df: DataFrame, text: str, analyzer: str = "word", out: str = "gra
     body = F.coalesce(F.col(text), F.lit(""))
     if analyzer == "char":
         return df.withColumn(out, char_grams(body))
-    words = df.withColumn("_tokens", tfidf_tokens(body))
+    words = bind(df, _tokens=tfidf_tokens(body))
     grams: Column = word_grams("_tokens")
     if analyzer == "word+char":
         grams = F.concat(
@@ -36,34 +35,49 @@ def with_grams(df: DataFrame, text: str, analyzer: str = "word", out: str = "gra
     return words.withColumn(out, grams).drop("_tokens")
 
 
-def _word_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Words and word pairs as rows: every word comes out beside its successor."""
-    words = bind(df.select(key, text), _words=tfidf_tokens(F.coalesce(F.col(text), F.lit(""))))
-    following = F.slice("_words", F.lit(2), F.greatest(F.size("_words"), F.lit(1)))
-    beside = words.select(key, F.inline(F.arrays_zip(F.col("_words").alias("word"), following.alias("next"))))
-    pair = F.concat(F.col("word"), F.lit(" "), F.col("next"))
-    return beside.select(key, F.explode(F.array("word", pair)).alias("term")).filter(F.col("term").isNotNull())
+def _counted(rows: DataFrame, key: str, grams: str) -> DataFrame:
+    """``(key, term, tf)`` of rows with a term array, counted inside each row: no shuffle."""
+    ordered = bind(rows.select(key, F.col(grams).alias("_unsorted")), _terms=F.sort_array("_unsorted"))
+    begins = F.expr("filter(sequence(1, size(_terms)), i -> i = 1 or _terms[i - 1] <> _terms[i - 2])")
+    marked = bind(
+        ordered.select(key, "_terms"),
+        _begins=F.when(F.size("_terms") > 0, begins).otherwise(F.expr("cast(array() as array<int>)")),
+    )
+    runs = F.expr(
+        "transform(_begins, (b, k) -> named_struct('term', _terms[b - 1],"
+        " 'tf', cast(coalesce(get(_begins, k + 1), size(_terms) + 1) - b as bigint)))"
+    )
+    return marked.select(key, F.inline(runs))
 
 
 def _char_terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, term, n)`` of character n-grams; a word that recurs is taken apart once."""
-    words = df.select(key, F.explode(padded_words(F.coalesce(F.col(text), F.lit("")))).alias("word"))
-    counted = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(key, F.explode(grams_of_padded_word("word")).alias("term"), "n")
+    """Character n-grams; a word that recurs in a text is taken apart once."""
+    words = bind(df.select(key, text), _words=padded_words(F.coalesce(F.col(text), F.lit(""))))
+    grams = _counted(words, key, "_words").select(key, F.explode(grams_of_padded_word("term")).alias("term"), "tf")
+    return grams.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
 
 
 def term_frequencies(df: DataFrame, key: str, text: str, analyzer: str = "word") -> DataFrame:
-    """``(key, term, tf)``. Texts are spread by key before they are taken apart, so the
-    many terms of a text are counted where they arise and only texts cross the network.
-    The number of parts is given, as few bytes of text are much work here."""
-    texts = df.select(F.col(key), F.col(text)).repartition(shuffle_partitions(df.sparkSession), F.col(key))
+    """``(key, term, tf)``; a key is one row, so its terms are counted where the text is read."""
     if analyzer == "char":
-        return _char_terms(texts, key, text).groupBy(key, "term").agg(F.sum("n").alias("tf"))
-    if analyzer == "word":
-        terms = _word_terms(texts, key, text)
-    else:
-        terms = with_grams(texts, text, analyzer).select(key, F.explode("grams").alias("term"))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+        return _char_terms(df, key, text)
+    grams = with_grams(df.select(key, text), text, analyzer, "_grams")
+    return _counted(bind(grams.select(key, "_grams"), _grams=F.col("_grams")), key, "_grams")
+
+
+def hashed_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, term, tf)`` of words and word pairs, each named by its 64-bit hash.
+
+    For tables that only ever compare terms: no pair is put together as text, and counting, joining and
+    storing work on numbers. Two of a million terms share a hash with a chance of some 1 in 40 million.
+    """
+    words = bind(df.select(key, text), _words=tfidf_tokens(F.coalesce(F.col(text), F.lit(""))))
+    pairs = F.expr(
+        "case when size(_words) > 1 then transform(sequence(1, size(_words) - 1), i -> xxhash64(_words[i - 1], _words[i]))"
+        " else cast(array() as array<bigint>) end"
+    )
+    singles = F.transform("_words", lambda w: F.xxhash64(w))
+    return _counted(bind(words.select(key, "_words"), _terms=F.concat(singles, pairs)), key, "_terms")
 
 
 def vocabulary(frequencies: DataFrame, n_documents: Column, min_df: int = FV.TFIDF_MIN_DF) -> DataFrame:
@@ -79,13 +93,16 @@ def vocabulary(frequencies: DataFrame, n_documents: Column, min_df: int = FV.TFI
     )
 
 
-def unit_weights(frequencies: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """M1/M3. ``(key, term, w)``: tf * idf over in-vocabulary terms, scaled to length one."""
-    raw = frequencies.join(vocab.select("term", "df", "idf"), "term").select(
-        key, "term", "df", (F.col("tf") * F.col("idf")).alias("_raw")
+def unit_weights(frequencies: DataFrame, vocab: DataFrame, key: str, *carried: str) -> DataFrame:
+    """M1/M3. ``(key, term, w)``: tf * idf over in-vocabulary terms, scaled to length one.
+
+    ``carried`` columns of the vocabulary come along.
+    """
+    raw = frequencies.join(vocab.select("term", "df", "idf", *carried), "term").select(
+        key, "term", "df", *carried, (F.col("tf") * F.col("idf")).alias("_raw")
     )
     length = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "df", (F.col("_raw") / length).alias("w"))
+    return raw.select(key, "term", "df", *carried, (F.col("_raw") / length).alias("w"))
 
 
 def fit_tfidf(

@@ -63,7 +63,7 @@ def thread_roots(posts: DataFrame, order: str = "ingest_seq") -> DataFrame:
     links = cut_lineage(_links(posts, order))
     finished = links.filter("ptr IS NULL").select("tweet_id", F.col("tweet_id").alias("conversation_id"))
     pending = links.filter("ptr IS NOT NULL")
-    settled = _pointed_at(finished, pending)
+    settled = finished.join(pending.select(F.col("ptr").alias("tweet_id")), "tweet_id", "left_semi")
     open_rows, rounds = pending.count(), 0
     while open_rows:
         settled_targets = settled.select(
@@ -76,11 +76,12 @@ def thread_roots(posts: DataFrame, order: str = "ingest_seq") -> DataFrame:
         new = step.filter("done").select("tweet_id", F.col("ptr").alias("conversation_id"))
         finished = finished.unionByName(new)
         pending = step.filter("NOT done").drop("done")
-        settled = _pointed_at(settled.unionByName(new), pending)
         still_open = pending.count()
         if still_open == open_rows:
             return finished.unionByName(_cycle_roots(pending, rounds, still_open))
         open_rows = still_open
+        if open_rows:
+            settled = _pointed_at(settled.unionByName(new), pending)
     return finished
 
 
