@@ -285,15 +285,18 @@ def weights_of(name: str, vocab: str) -> str:
 {name}_w AS (SELECT k, term, r / len AS w FROM {name}_raw JOIN {name}_len USING (k))"""
 
 
-def topk(corpus: str, corpus_key: str, corpus_text: str, asked: str, asked_key: str, asked_text: str, k: int) -> str:
+def topk(corpus: str, corpus_key: str, corpus_text: str, asked: str, asked_key: str, asked_text: str, k: int, own: str | None = None) -> str:
+    """``own``: the column of ``asked`` with the customer message whose pairs must not be found."""
+    foreign = "WHERE NOT starts_with(doc, own || chr(31))" if own else ""
+    asker = f"JOIN (SELECT {asked_key} AS query_id, {own} AS own FROM {asked}) USING (query_id)" if own else ""
     return ", ".join(x.strip() for x in [
         grams_of("c", corpus, corpus_key, corpus_text), vocab_of("c", corpus), weights_of("c", "c_v"),
         grams_of("a", asked, asked_key, asked_text), weights_of("a", "c_v"),
         f"""hit AS (SELECT a_w.k AS query_id, c_w.k AS doc, sum(a_w.w * c_w.w) AS score
           FROM a_w JOIN c_w USING (term) GROUP BY ALL)""",
         f"""fill AS (SELECT {asked_key} AS query_id, d.k AS doc, 0.0 AS score FROM {asked},
-          (SELECT {corpus_key} AS k FROM {corpus} ORDER BY 1 LIMIT {k}) d)""",
-        "best AS (SELECT query_id, doc, max(score) AS score FROM (SELECT * FROM hit UNION ALL SELECT * FROM fill) GROUP BY ALL)",
+          (SELECT {corpus_key} AS k FROM {corpus} ORDER BY 1 LIMIT {20 * k}) d)""",
+        "best AS (SELECT query_id, doc, max(score) AS score FROM (SELECT * FROM hit UNION ALL SELECT * FROM fill) " + asker + " " + foreign + " GROUP BY ALL)",
         f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc) AS rank
           FROM best QUALIFY rank <= {k})""",
     ])
@@ -638,7 +641,7 @@ def build() -> dict[str, str]:
       'tfidf_cosine' AS method, true AS excluded_golden"""
     out["retrieved_evidence"] = with_(
         RAW_POSTS, SECONDS_PAIRS, "corpus AS (SELECT customer_tweet_id || chr(31) || agent_tweet_id AS did, customer_text FROM pairs)",
-        topk("corpus", "did", "customer_text", "pairs", "agent_tweet_id", "customer_text", 3),
+        topk("corpus", "did", "customer_text", "pairs", "agent_tweet_id", "customer_text", 3, "customer_tweet_id"),
     ) + """SELECT query_id, string_agg(string_split(doc, chr(31))[2], ',' ORDER BY rank) AS agent_ids,
       round(max(score), 6) AS top_similarity FROM ranked GROUP BY query_id"""
 

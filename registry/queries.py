@@ -407,10 +407,10 @@ def retrieval_index_meta(spark, folder):
 
 @query
 def retrieved_evidence(spark, folder):
-    """Evidence arrays for customer turns of the conversations over the reply pairs."""
+    """Evidence arrays for customer turns of the conversations over the pairs of all other turns."""
     pairs = cut_lineage(A.support_pairs(V.posts(spark, folder), V.BRAND))
-    asked = pairs.select(F.col("agent_tweet_id").alias("query_id"), F.col("customer_text").alias("text"))
-    rows = RT.evidence_arrays(RT.retrieve_similar(asked, RT.build_index(pairs), 3))
+    asked = pairs.select(F.col("agent_tweet_id").alias("query_id"), F.col("customer_text").alias("text"), "customer_tweet_id")
+    rows = RT.evidence_arrays(RT.retrieve_similar(asked, RT.build_index(pairs), 3, own="customer_tweet_id"))
     ids = F.array_join(F.transform("evidence", lambda e: e["agent_tweet_id"]), ",")
     return rows.select("query_id", ids.alias("agent_ids"), F.round(top_similarity("evidence"), 6).alias("top_similarity"))
 
@@ -594,11 +594,16 @@ def lowest_similarity(spark, folder):
 
 
 def _scored(spark, folder):
-    """Conversation messages through the whole chain; the model comes from the weak labels."""
+    """Conversation messages through the whole chain, none retrieving itself.
+
+    The model learns from weak labels of other rows, but by the same rules that give the truth here, so
+    the figures say how well it imitates the rules.
+    """
     pairs = cut_lineage(A.support_pairs(V.posts(spark, folder), V.BRAND))
     model = C.fit_logreg(C.load_weak_training(_training_rows(spark, folder)))
     truth = W.weak_labels(pairs).filter("weak_intent IS NOT NULL").select(
-        F.col("agent_tweet_id").alias("example_id"), "customer_text", F.col("weak_intent").alias("annotator_label")
+        F.col("agent_tweet_id").alias("example_id"), "customer_tweet_id", "customer_text",
+        F.col("weak_intent").alias("annotator_label"),
     )
     return runs.score_messages(truth, model, RT.build_index(pairs))
 

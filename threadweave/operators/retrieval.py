@@ -19,6 +19,7 @@ from threadweave.session import cut_lineage
 SLACK = 1e-9
 # Postings a query may touch in the first look, which only fixes a lower bound.
 FIRST_LOOK = 5_000
+SEPARATOR = "\x1f"  # between the ids of a pair
 
 
 @dataclass
@@ -54,7 +55,7 @@ def pairs_for_retrieval(pairs: DataFrame, reserved: DataFrame | None = None) ->
 
 def _doc_id() -> Column:
     """Ranking key: customer id first, then agent id (a customer may have several replies)."""
-    return F.concat_ws("\x1f", "customer_tweet_id", "agent_tweet_id")
+    return F.concat_ws(SEPARATOR, "customer_tweet_id", "agent_tweet_id")
 
 
 def build_index(
@@ -100,13 +101,27 @@ def load_index(spark: SparkSession, path: str) -> RetrievalIndex:
 
 
 def _scored(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Sum of weight products per (question, document) over the given terms."""
+    """Sum of weight products per (question, document) over the given terms, without the asker's own documents."""
     return (
-        terms.select("question", "term", "qw").join(postings, "term")
+        terms.select("question", "own", "term", "qw").join(postings, "term").filter(_foreign())
         .groupBy("question", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
     )
 
 
+def _foreign() -> Column:
+    """Whether a document is not of the customer message that asks."""
+    return F.col("own").isNull() | (F.substring_index("doc_id", SEPARATOR, 1) != F.col("own"))
+
+
+def _filler(docs: DataFrame, k: int) -> Column:
+    """The smallest ids, enough for k of them to be of other messages than any one asker's.
+
+    More than k pairs of one message are never needed, so 2k of the first k per message do.
+    """
+    first = top_per_key(docs.select("customer_tweet_id", "doc_id"), ["customer_tweet_id"], [F.col("doc_id")], k)
+    return first.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id")).scalar()
+
+
 def _kth_best(scored: DataFrame, k: int) -> DataFrame:
     """Per question the k-th best score so far; no row when fewer documents were met."""
     best = top_per_key(scored, ["question"], [F.desc("score")], k)
@@ -115,11 +130,13 @@ def _kth_best(scored: DataFrame, k: int) -> DataFrame:
 
 def retrieve_scores(
     queries: DataFrame, index: RetrievalIndex, k: int = 5, query_id: str = "query_id", text: str = "text",
-    first_look: int = FIRST_LOOK,
+    first_look: int = FIRST_LOOK, own: str | None = None,
 ) -> DataFrame:
     """R3. ``(query_id, doc_id, score, rank)``: the exact k best documents of every query.
 
-    Equal texts are one question, scored once. Common words make up most postings and the least of a
+    ``own`` names a column with the customer message a query comes from: its pairs are never found, so
+    a message does not retrieve itself. Equal texts (of one message, with ``own``) are one question,
+    scored once. Common words make up most postings and the least of a
     score, so they must not generate candidates. What terms left out can still add is bounded twice: by
     the length of the question's part in them, as weights have length one, and by their
     largest weight in any document (``top_w`` of the vocabulary). Two looks make use of that:
@@ -136,16 +153,21 @@ def retrieve_scores(
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    named = queries.select(F.col(query_id).cast("string").alias("query_id"), F.col(text).alias("text"))
-    named = named.filter(has_text("text"))
-    asked = cut_lineage(named.groupBy("text").agg(F.min("query_id").alias("question")))
-    weighted = unit_weights(hashed_frequencies(asked, "question", "text"), index.vocab, "question", "top_w")
+    named = queries.select(
+        F.col(query_id).cast("string").alias("query_id"), F.col(text).alias("text"),
+        (F.col(own).cast("string") if own else F.lit(None).cast("string")).alias("own"),
+    ).filter(has_text("text"))
+    asked = cut_lineage(named.groupBy("text", "own").agg(F.min("query_id").alias("question")))
+    owners = asked.select("question", "own")
+    weighted = unit_weights(
+        hashed_frequencies(asked, "question", "text"), index.vocab, "question", "top_w"
+    ).join(owners, "question")
     rare_first = Window.partitionBy("question").orderBy("df", "term")
     before = rare_first.rowsBetween(Window.unboundedPreceding, -1)
     onward = rare_first.rowsBetween(0, Window.unboundedFollowing)
     terms = cut_lineage(
         weighted.select(
-            "question", "term", F.col("w").alias("qw"),
+            "question", "own", "term", F.col("w").alias("qw"),
             F.coalesce(F.sum("df").over(before), F.lit(0)).alias("postings_before"),
             # The most this term and the ones after it can add.
             F.least(
@@ -178,12 +200,9 @@ def retrieve_scores(
         .join(postings, ["term", "doc_id"])
         .select("question", "doc_id", (F.col("qw") * F.col("w")).alias("score"))
     )
-    smallest_ids = (
-        index.docs.select("doc_id").orderBy("doc_id").limit(k).agg(F.collect_list("doc_id")).scalar()
-    )
-    filler = asked.select("question", smallest_ids.alias("ids")).select(
-        "question", F.explode("ids").alias("doc_id"), F.lit(0.0).alias("score")
-    )
+    filler = asked.select("question", "own", _filler(index.docs, k).alias("ids")).select(
+        "question", "own", F.explode("ids").alias("doc_id"), F.lit(0.0).alias("score")
+    ).filter(_foreign()).drop("own")
     complete = (
         hopeful.select("question", "doc_id", "score").unionByName(missing).unionByName(filler)
         .groupBy("question", "doc_id").agg(F.sum("score").alias("score"))
@@ -192,16 +211,17 @@ def retrieve_scores(
         complete, ["question"], [F.round("score", 12).desc(), F.col("doc_id")], k, "rank"
     )
     # Back from questions to the queries that asked them.
-    askers = named.join(asked, "text").select("query_id", "question")
+    same = (named["text"] == asked["text"]) & named["own"].eqNullSafe(asked["own"])
+    askers = named.join(asked, same).select("query_id", "question")
     return askers.join(best, "question").select("query_id", "doc_id", "score", "rank")
 
 
 def retrieve_similar(
     queries: DataFrame, index: RetrievalIndex, k: int = 5, query_id: str = "query_id", text: str = "text",
-    first_look: int = FIRST_LOOK,
+    first_look: int = FIRST_LOOK, own: str | None = None,
 ) -> DataFrame:
-    """R3/L6. Ranked rows with the texts of the found pairs."""
-    scores = retrieve_scores(queries, index, k, query_id, text, first_look)
+    """R3/L6. Ranked rows with the texts of the found pairs; ``own`` as in ``retrieve_scores``."""
+    scores = retrieve_scores(queries, index, k, query_id, text, first_look, own)
     return scores.join(index.docs, "doc_id").select(
         "query_id", "rank", *FV.RETRIEVAL_COLUMNS, F.col("score").alias("similarity_score")
     )

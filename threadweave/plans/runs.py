@@ -111,12 +111,14 @@ def score_messages(
 ) -> DataFrame:
     """X5. Classify, retrieve, draft and decide for a whole table of messages.
 
-    Every message has a row: one without text only an ``error``, all others a null one.
+    Every message has a row: one without text only an ``error``, all others a null one. Messages with a
+    ``customer_tweet_id`` never retrieve their own pairs.
     """
     blank = messages.filter(~has_text(text)).withColumn("error", F.lit("blank_message"))
     usable = messages.filter(has_text(text)).withColumn(text, strip(text))
     classified = model.predict(usable, text)
-    found = evidence_arrays(retrieve_similar(usable, index, k, key, text)).withColumnRenamed("query_id", "_qid")
+    own = "customer_tweet_id" if "customer_tweet_id" in messages.columns else None
+    found = evidence_arrays(retrieve_similar(usable, index, k, key, text, own=own)).withColumnRenamed("query_id", "_qid")
     joined = classified.join(found, F.col(key).cast("string") == F.col("_qid"), "left").drop("_qid")
     drafted = draft_replies(joined).withColumns(
         {"top_similarity": top_similarity("evidence"), "reply_status": F.col("draft_style")}
