@@ -13,26 +13,34 @@ from threadweave.operators import weak_training as W
 from threadweave.sources.tables import check_golden_set
 
 LABELS = {
-    "@AcmeHelp my battery drains so fast since yesterday": "battery_drain",
-    "@AcmeHelp my iPhone won't charge with this cable": "charging_issue",
-    "@AcmeHelp App Store won't load and I can't download any apps": "app_store_issue",
-    "@AcmeHelp my Apple ID is locked and I need a verification code": "account_access",
-    "@AcmeHelp storage almost full after deleting photos": "storage_issue",
-    "how do I delete apps on iOS?": "howto_or_feature",
-    "@AcmeHelp thank you": "other_or_unclear",
-    "@AcmeHelp since the iOS update my battery life is terrible": "battery_drain",
-    "@AcmeHelp battery drain and my charger won't charge either help": None,
-    "@AcmeHelp please refund this unauthorized charge": "payment_or_refund",
-    "@AcmeHelp I can't find the manage subscription button": "subscription_management",
-    "@AcmeHelp fix your music": "other_or_unclear",
-    "@AcmeHelp please fix it": "other_or_unclear",
-    "@AcmeHelp I tried everything": "other_or_unclear",
-    "@AcmeHelp tried restarting, still not working": "other_or_unclear",
-    "@AcmeHelp wifi not working": "network_connectivity",
-    "@AcmeHelp wifi still not working": None,
-    "@AcmeHelp battery still not working": None,
-    "hello world no intent here": None,
-    "   ": None,
+    "@AcmeHelp percent drops all morning": "battery_drain",
+    "@AcmeHelp the lightning port is loose": "charging_issue",
+    "@AcmeHelp verifying update for two hours": "software_update_issue",
+    "Power button stuck, who mends it": "hardware_issue",
+    "@AcmeHelp no internet in the whole house": "network_connectivity",
+    "@AcmeHelp icloud hacked last night": "account_access",
+    "@AcmeHelp app store spinning": "app_store_issue",
+    "@AcmeHelp maps crashing at every turn": "app_issue",
+    "@AcmeHelp payment declined once more": "payment_or_refund",
+    "@AcmeHelp where is the subscription button": "subscription_management",
+    "@AcmeHelp out of storage": "storage_issue",
+    "hello, where can I see my points": "howto_or_feature",
+    "@AcmeHelp ok.": "other_or_unclear",
+    "@AcmeHelp fix everything!": "other_or_unclear",
+    "@AcmeHelp nothing helps": "other_or_unclear",
+    "@AcmeHelp same problem as before": "other_or_unclear",
+    "@AcmeHelp same problem as before with the camera": None,
+    "@AcmeHelp battery dying since the upgrade": "battery_drain",
+    "@AcmeHelp not charging after the upgrade": "charging_issue",
+    "@AcmeHelp draining quickly and the charger faulty": None,
+    "@AcmeHelp battery draining plus slow charging": "battery_drain",
+    "@AcmeHelp battery dead, lightning cable torn": "charging_issue",
+    "@AcmeHelp boot loop after the upgrade": "hardware_issue",
+    "@AcmeHelp camera issue since the update": "software_update_issue",
+    "@AcmeHelp notes crashing after the upgrade": "app_issue",
+    "@AcmeHelp every app hangs since the update, mail issue": "software_update_issue",
+    "the courier came early": None,
+    " \n ": None,
 }
 
 
@@ -111,17 +119,13 @@ def test_patterns_behave_like_python_ignorecase(spark):
 
 
 def pairs_frame(spark, extra=10):
-    texts = {
-        "battery_drain": "my battery drains so fast since yesterday", "charging_issue": "my iPhone won't charge with this cable",
-        "software_update_issue": "after the iOS 11 update nothing is right", "hardware_issue": "my touch bar isn't responding",
-        "network_connectivity": "wifi keeps dropping and bluetooth fails", "account_access": "my apple id is locked, verification code",
-        "app_store_issue": "the app store won't load on my phone", "app_issue": "safari keeps crashing",
-        "payment_or_refund": "I was charged twice please refund", "subscription_management": "I can't find manage subscription button",
-        "storage_issue": "storage almost full after deleting photos", "howto_or_feature": "how do I delete apps on iOS",
-        "other_or_unclear": "please help",
-    }
-    bodies = [f"@AcmeHelp {t} #{i}" for t in texts.values() for i in range(20)]
-    bodies += [f"@AcmeHelp after the iOS update my battery drains and safari keeps crashing #{i}" for i in range(extra)]
+    texts = [  # one for each label, in the order of the labels
+        "battery performance got poor", "slow charging by any plug", "stuck since the update", "boot loop every morning",
+        "hotspot gone on the train", "two-factor sends me nothing", "app store spinning for hours", "the podcast list is empty",
+        "an invoice without a number", "renewal shows the wrong day", "out of storage once more", "where do i turn off the sounds", "help please",
+    ]
+    bodies = [f"@AcmeHelp {t} #{i}" for t in texts for i in range(20)]
+    bodies += [f"@AcmeHelp since the update the battery dies fast and my calendar is gone #{i}" for i in range(extra)]
     bodies += [f"the weather is fine #{i}" for i in range(40)]
     rows = [(str(1000 + i), str(2000 + i), b, "@user ok") for i, b in enumerate(bodies)]
     return spark.createDataFrame(rows, "customer_tweet_id string, agent_tweet_id string, customer_text string, agent_text string")

@@ -12,11 +12,11 @@ from threadweave.operators.weak_training import class_weights
 from threadweave.plans import runs
 from threadweave.streaming.incremental import label_stream, stream_posts
 
-TEMPLATES = [t for t in (
-    "my battery drains so fast", "won't charge with this cable", "after the update nothing works", "touch bar is broken now",
-    "wifi keeps dropping at home", "apple id is locked out", "app store will not load", "safari keeps crashing again",
-    "please refund me the money", "cancel my subscription plan", "storage is almost full", "how do i change ringtone", "thank you very much",
-)]
+TEMPLATES = [  # one per label, in the order of the labels
+    "battery performance got poor", "slow charging by any plug", "the upgrade keeps failing at verifying update", "boot loop every morning",
+    "hotspot issue on the train", "two-factor sends me nothing", "app store spinning for hours", "podcasts freezing midway",
+    "billing error on my card", "family sharing shows nobody", "out of storage once more", "where do i turn off the sounds", "thx",
+]
 
 
 def labelled(spark, copies=8):
@@ -80,7 +80,7 @@ def test_training_run_char_features_and_self_training(spark, tmp_path):
     row = figures.first()
     assert row["n_examples"] == 26 and row["accuracy"] >= 0.9
     assert C.IntentModel.load(spark, str(tmp_path / "m")).meta["validation_size"] == 26
-    unlabelled = spark.createDataFrame([("u", "my battery drains so fast number1", None)], labelled(spark).schema)
+    unlabelled = spark.createDataFrame([("u", "battery performance got poor number1", None)], labelled(spark).schema)
     assert [r["weak_intent"] for r in C.pseudo_labels(model, unlabelled, threshold=0.2).collect()] == ["battery_drain"]
     with pytest.raises(ValueError):
         C.load_weak_training(labelled(spark).filter("false"))
@@ -115,7 +115,7 @@ def test_two_models_and_end_to_end(spark, logreg):
 def test_labels_on_a_file_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text(
-        ",".join(FV.POST_COLUMNS) + "\n1.0,u,True,,my battery drains so fast,,\n2,d,False,,ok,,1\n3,u,True,,nothing here,,\n"
+        ",".join(FV.POST_COLUMNS) + "\n1.0,u,True,,battery performance got poor,,\n2,d,False,,ok,,1\n3,u,True,,nothing here,,\n"
     )
     query = label_stream(stream_posts(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
     query.awaitTermination(120)

@@ -1,8 +1,8 @@
-import sys
-import unicodedata
 import math
 import random
 import re
+import sys
+import unicodedata
 from collections import Counter
 
 import pytest
@@ -13,13 +13,13 @@ from threadweave.operators import retrieval as R
 from threadweave.operators.tfidf import fit_tfidf, term_frequencies
 
 PAIRS = [
-    ("10", "11", "my battery drains so fast overnight on iphone", "Which iOS version are you using?"),
-    ("20", "21", "app store will not load and cannot download apps", "Try restarting."),
-    ("30", "31", "wifi keeps dropping and bluetooth will not connect", "Forget the network."),
-    ("40", "41", "iphone battery life is terrible and drains quickly", "Check battery usage."),
-    ("50", "51", "my battery drains quickly during the day on iphone", "We can look into it."),
-    ("60", "61", "cannot download apps because app store is broken", "Confirm connectivity."),
-    ("70", "71", "   ", "blank"),
+    ("k1", "s1", "the lamp in the hall hums at night", "Is it the round one?"),
+    ("k2", "s2", "two parcels arrived, both empty", "We send them again."),
+    ("k3", "s3", "the kettle leaks at the lid", "Please send a picture."),
+    ("k4", "s4", "a lamp in the kitchen hums", "Unplug it, then plug it in."),
+    ("k5", "s5", "my lamp hums at night and flickers in the hall", "A fitter will come."),
+    ("k6", "s6", "both parcels were empty, two of two", "Sorry about that."),
+    ("k7", "s7", " \t ", "nothing was asked"),
 ]
 SCHEMA = "customer_tweet_id string, agent_tweet_id string, customer_text string, agent_text string"
 
@@ -73,25 +73,53 @@ def test_top_k_equals_brute_force_with_hot_words(spark, first_look):
 
 def test_index_round_trip_and_reserved_ids(spark, tmp_path):
     pairs = spark.createDataFrame(PAIRS, SCHEMA)
-    reserved = spark.createDataFrame([("10",)], "customer_tweet_id string")
-    index = R.build_index(pairs, reserved)
+    index = R.build_index(pairs, spark.createDataFrame([("k1",)], "customer_tweet_id string"))
     assert index.meta.first()["n_documents"] == 5
     R.save_index(index, str(tmp_path / "index"))
     loaded = R.load_index(spark, str(tmp_path / "index"))
-    asked = spark.createDataFrame([("q", "battery drains overnight on my iphone"), ("z", "zebra"), ("b", " ")], "query_id string, text string")
+    asked = spark.createDataFrame([("q", "which lamp hums at night in the hall"), ("z", "zebra"), ("b", "\n")], "query_id string, text string")
     rows = R.retrieve_similar(asked, loaded, 3).orderBy("query_id", "rank").collect()
-    first = [r for r in rows if r["query_id"] == "q"]
-    assert [r["customer_tweet_id"] for r in first][:1] == ["50"] and len(first) == 3
+    assert [r["customer_tweet_id"] for r in rows if r["query_id"] == "q"][:2] == ["k5", "k4"]
     assert all(0 <= r["similarity_score"] <= 1 + 1e-6 for r in rows)
-    assert [(r["customer_tweet_id"], r["similarity_score"]) for r in rows if r["query_id"] == "z"] == [("20", 0.0), ("30", 0.0), ("40", 0.0)]
+    assert [(r["customer_tweet_id"], r["similarity_score"]) for r in rows if r["query_id"] == "z"] == [("k2", 0.0), ("k3", 0.0), ("k4", 0.0)]
     assert not [r for r in rows if r["query_id"] == "b"]
     arrays = {r["query_id"]: r["evidence"] for r in R.evidence_arrays(R.retrieve_similar(asked, loaded, 9)).collect()}
-    assert len(arrays["q"]) == 5 and arrays["q"][0]["agent_text"] == "We can look into it."
+    assert len(arrays["q"]) == 5 and arrays["q"][0]["agent_text"] == "A fitter will come."
     with pytest.raises(ValueError):
         R.retrieve_scores(asked, loaded, 0)
     R.save_index(R.RetrievalIndex(loaded.docs, loaded.vocab.drop("idf"), loaded.postings, loaded.meta), str(tmp_path / "other"))
     with pytest.raises(ValueError, match="idf"):
         R.load_index(spark, str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="no support pairs"):
+        R.build_index(pairs.filter("customer_tweet_id = 'k7'"))
+
+
+def test_a_message_never_finds_itself(spark):
+    pairs = spark.createDataFrame([*PAIRS, ("k1", "s9", PAIRS[0][2], "A second answer."), ("k0", "s0", PAIRS[0][2], "Same words.")], SCHEMA)
+    asked = pairs.select(F.concat_ws("/", "customer_tweet_id", "agent_tweet_id").alias("query_id"), F.col("customer_text").alias("text"), "customer_tweet_id")
+    rows = R.retrieve_similar(asked, R.build_index(pairs, min_df=1), 3, own="customer_tweet_id").collect()
+    assert all(r["query_id"].split("/")[0] != r["customer_tweet_id"] for r in rows)
+    assert {sum(r["query_id"] == q for r in rows) for q in {r["query_id"] for r in rows}} == {3}
+    best = {r["query_id"]: (r["customer_tweet_id"], round(r["similarity_score"], 9)) for r in rows if r["rank"] == 1}
+    assert best["k1/s1"] == best["k1/s9"] == ("k0", 1.0) and best["k0/s0"] == ("k1", 1.0)
+
+
+def test_equal_common_questions_are_scored_once(spark):
+    dice = random.Random(8)
+    pairs = spark.createDataFrame(
+        [(f"{k:04d}", "a", " ".join(["thank", "you", "so", *dice.choices(["much", "all", "again", "now"], k=3)]), "r") for k in range(600)], SCHEMA)
+    index = R.build_index(pairs)
+    asked = spark.createDataFrame([(f"q{k}", "thank you so much all") for k in range(100)], "query_id string, text string")
+    seen = []
+    original = R.cut_lineage
+    R.cut_lineage = lambda df: seen.append(original(df)) or seen[-1]
+    try:
+        rows = R.retrieve_scores(asked, index, 4).collect()
+    finally:
+        R.cut_lineage = original
+    assert len(rows) == 400 and len({(r["doc_id"], r["rank"]) for r in rows}) == 4
+    scored = [df for df in seen if df.columns == ["question", "doc_id", "score"]]
+    assert len(scored) == 1 and scored[0].count() <= 600
 
 
 def test_vocabulary_and_weights(spark):
