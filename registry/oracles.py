@@ -501,6 +501,8 @@ def build() -> dict[str, str]:
       (SELECT count(*) FROM v1 WHERE v = 'ok') AS added_via_agent_parent,
       CAST(0 AS BIGINT) AS added_via_customer_response_id, (SELECT count(*) FROM p) AS brand_linked_tweet_rows"""
     out["thread_roots"] = with_(RAW_POSTS, roots("p"), recursive=True) + "SELECT tweet_id, conversation_id FROM root"
+    out["cycle_roots"] = """SELECT CAST(conv_id * 1000000 + turn AS VARCHAR) AS tweet_id,
+      CAST(conv_id * 1000000 + min(turn) OVER (PARTITION BY conv_id) AS VARCHAR) AS conversation_id FROM conversations"""
     mine = f"conversation_id IN (SELECT conversation_id FROM z WHERE author_id = {B})"
     out["brand_conversations"] = with_(
         RAW_POSTS, roots("p"), "z AS (SELECT p.*, conversation_id FROM p JOIN root USING (tweet_id))", recursive=True
@@ -520,6 +522,11 @@ def build() -> dict[str, str]:
         recursive=True,
     )
     out["conversation_table"] = conv + "SELECT * FROM ct"
+    out["thread_lines_in_order"] = with_(
+        RAW_POSTS, LINKED, roots("linked"), "z AS (SELECT linked.*, conversation_id FROM linked JOIN root USING (tweet_id))",
+        recursive=True,
+    ) + f"""SELECT conversation_id, tweet_id, '[' || CASE WHEN inbound THEN 'customer' ELSE 'agent' END || ' | ' || author_id || '] ' || text AS line,
+      row_number() OVER (PARTITION BY conversation_id {order}) AS place FROM z WHERE {mine}"""
     out["conversation_summary"] = conv + """SELECT count(*) AS num_conversations, round(avg(num_tweets), 6) AS avg_tweets_per_conversation,
       count(*) FILTER (WHERE num_agent_tweets > 0) AS conversations_with_agent_reply,
       count(*) FILTER (WHERE num_customer_tweets > 0) AS conversations_with_customer_message FROM ct"""
@@ -631,6 +638,11 @@ def build() -> dict[str, str]:
     out["char_gram_counts"] = with_(chars_of("c", "benchmark", "item_id")) + "SELECT k AS item_id, term, tf FROM c_tf"
     out["char_tfidf_vocabulary"] = with_(chars_of("c", "documents", "doc_id"), vocab_of("c", "documents")) + \
         "SELECT term, df, round(idf, 6) AS idf FROM c_v"
+    union = """c_tf AS (SELECT k, 'w:' || term AS term, tf FROM w_tf UNION ALL SELECT k, 'c:' || term, tf FROM g_tf)"""
+    out["word_and_char_vocabulary"] = with_(
+        grams_of("w", "benchmark", "item_id"), chars_of("g", "benchmark", "item_id"), union, vocab_of("c", "benchmark")
+    ) + "SELECT term, df, round(idf, 6) AS idf FROM c_v"
+    out["unfolded_ligatures"] = "SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents"
     out["tfidf_topk"] = with_(topk("(SELECT CAST(doc_id AS VARCHAR) AS did, text FROM documents)", "did", "text",
                                    "(SELECT CAST(item_id AS VARCHAR) AS qid, text FROM benchmark)", "qid", "text", 5)) + \
         "SELECT query_id, rank, doc AS customer_tweet_id, round(score, 6) AS similarity_score FROM ranked"

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from registry import views as V
@@ -118,6 +118,20 @@ def thread_roots(spark, folder):
     return G.thread_roots(V.posts(spark, folder))
 
 
+@query
+def cycle_roots(spark, folder):
+    """Threads whose first post answers the last one: named after their first post."""
+    return G.thread_roots(V.circular_posts(spark, folder))
+
+
+@query
+def thread_lines_in_order(spark, folder):
+    """The long form of the conversation table, with each line's place in its thread."""
+    posts = G.brand_conversations(cut_lineage(S.brand_linked(V.posts(spark, folder), V.BRAND)), V.BRAND)
+    place = Window.partitionBy("conversation_id").orderBy(F.col("created_at").isNull(), "created_at", "tweet_id")
+    return G.thread_lines(posts).select("conversation_id", "tweet_id", "line", F.row_number().over(place).cast("bigint").alias("place"))
+
+
 @query
 def brand_conversations(spark, folder):
     return G.brand_conversations(V.posts(spark, folder), V.BRAND).select(
@@ -357,6 +371,21 @@ def folded_text(spark, folder):
     return V.table(spark, folder, "documents").select("doc_id", fold_accents(F.lower("text")).alias("folded"))
 
 
+@query
+def unfolded_ligatures(spark, folder):
+    """Whole texts written with characters that unfold to several or lie beyond 16 bits: folding takes them back."""
+    text = F.lower("text")
+    for plain, odd in V.LIGATURES:
+        text = F.replace(text, F.lit(plain), F.lit(odd))
+    return V.spread_table(spark, folder, "documents").select("doc_id", fold_accents(text).alias("folded"))
+
+
+@query
+def word_and_char_vocabulary(spark, folder):
+    """Terms of the union of words, word pairs and character n-grams of every benchmark text."""
+    return rounded(TF.fit_tfidf(V.spread_table(spark, folder, "benchmark"), "item_id", "text", "word+char")[0], "idf")
+
+
 @query
 def tfidf_vocabulary(spark, folder):
     docs = V.spread_table(spark, folder, "documents")

@@ -146,6 +146,22 @@ def raw_posts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Letters and what unfolds to them: ligatures, an ellipsis, a mathematical letter.
+LIGATURES = [("ffi", "\ufb03"), ("fi", "\ufb01"), ("st", "\ufb06"), ("...", "\u2026"), ("a", "\U0001d41a")]
+
+
+def circular_posts(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation turns as a chain of replies; in every third one the first turn answers the last."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    ident = F.col("conv_id") * 1_000_000
+    parent = F.when(F.col("turn") > 0, ident + F.col("turn") - 1).when(F.col("conv_id") % 3 == 0, ident + F.col("last"))
+    return turns.join(last, "conv_id").select(
+        (ident + F.col("turn")).cast("string").alias("tweet_id"), parent.cast("string").alias("in_response_to_tweet_id"),
+        (ident + F.col("turn")).alias("ingest_seq"),
+    )
+
+
 def posts(spark: SparkSession, folder: str) -> DataFrame:
     return normalize_posts(raw_posts(spark, folder))
 
