@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadweave.llm.salting import salted_join
 from threadweave.schema import require_columns
 from threadweave.session import cut_lineage
 
@@ -91,7 +92,7 @@ def filter_links(
 
     Null urls and those without ``://`` have empty host and path, no rule, and are allowed. Null ids and
     repeated rows stay; other columns are not read; an empty table gives an empty result. Rows of a
-    hot host are counted by segment before they are shuffled; only counts are joined back.
+    hot host are counted by segment before they are shuffled; what is joined back is salted.
     """
     require_columns(links, [id_column, url_column], "links")
     url = F.col(url_column).cast("string")
@@ -110,7 +111,7 @@ def filter_links(
         ((blocked + smoothing / 2) / (labelled + smoothing)).alias("purity"),
         (labelled >= labelled_share * F.count(F.lit(1))).alias("_known"),
     )
-    judged = rows.join(purity, ["host", "template"])
+    judged = salted_join(rows, purity, ["host", "template"], ["_id", "path"])
     by_template = F.when((F.col("host") != "") & (F.col("purity") >= reject_from) & F.col("_known"), BLOCK).otherwise(ALLOW)
     return judged.select(
         F.col("_id").alias(id_column), "host", "path", "rule", F.coalesce("label", by_template).alias("verdict"),
@@ -127,7 +128,7 @@ def _grow(rows: DataFrame, literal_urls: int, literal_share: float, z: float) ->
         F.sum("urls").alias("all_urls"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
     )
     literal = (F.col("urls") >= literal_urls) & (F.col("urls") >= literal_share * F.col("all_urls"))
-    named = segments.join(parents, at).withColumn(
+    named = salted_join(segments, parents, at, ["_segment"]).withColumn(
         "branch", F.when((F.col("_segment") == END) | literal, F.col("_segment")).otherwise(segment_kind(F.col("_segment")))
     )
     pooled = F.col("all_blocked") / F.col("all_labelled")
@@ -141,11 +142,12 @@ def _grow(rows: DataFrame, literal_urls: int, literal_share: float, z: float) ->
         F.when((F.col("branch") != END) & (F.col("all_labelled") > 0) & (F.col("labelled") > 0), similar)
         .otherwise(F.lit(False)).alias("merged"),
     )
-    steps = named.join(branches, [*at, "branch"]).select(
+    steps = salted_join(named, branches, [*at, "branch"], ["_segment"]).select(
         *at, "_segment", F.when(F.col("merged"), F.lit(ANY)).otherwise(F.col("branch")).alias("_step")
     )
     # A link that ended above keeps its template.
     grown = F.when(F.col("template").endswith("/" + END), F.col("template")).otherwise(
         F.concat("template", F.lit("/"), "_step")
     )
-    return rows.join(steps, [*at, "_segment"]).withColumn("template", grown).drop("_segment", "_step")
+    joined = salted_join(rows, steps, [*at, "_segment"], ["_id", "path"])
+    return joined.withColumn("template", grown).drop("_segment", "_step")
