@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from threadweave.llm import components, simhash
+from threadweave.llm import components, shingle_dedup, simhash
 from threadweave.llm import vector_dedup as VD
 
 
@@ -157,3 +157,41 @@ def test_vector_rows(posts):
     alone = [(k, 0, k, True) for k in (3, 4, 5, 6, 7, 8, 9, 10, 11, 12)]
     assert found == sorted([(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (0, 3, 1, False), *alone], key=str)
     assert VD.near_duplicate_vectors(posts([], "vec_id bigint, embedding array<float>, label int")).collect() == []
+
+
+def shingle_set(text):
+    words = (text or "").lower().split()
+    return frozenset(" ".join(words[k: k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_texts_equal_brute_force_by_shingle_similarity(posts):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    rows = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(3, 200))
+        rows.append(" ".join(base))
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randint(1, 4)):
+                copy[rng.randrange(len(copy))] = "changed"
+            rows.append("\n".join(copy))
+    crowd = rng.choices(words, k=60)
+    rows += [" ".join(crowd[:k] + ["odd"] + crowd[k + 1:]) for k in range(60)]  # many within 0.8, many not
+    rows += rows[:5] + ["", None, " \t", "one", "ONE", "one two"]
+    sets = [shingle_set(t) for t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if not sets[a] | sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    table = posts(list(enumerate(rows)), "tweet_id bigint, text string").repartition(3)
+    got = {r["tweet_id"]: r["component_id"] for r in shingle_dedup.near_duplicate_texts(table).collect()}
+    assert got == smallest_reachable(range(len(rows)), near)
+    assert shingle_dedup.near_duplicate_texts(posts([])).collect() == []
+
+
+def test_bands_find_pairs_at_similarity_of_eight_tenths():
+    rng = random.Random(9)
+    found = 0
+    for _ in range(1000):
+        common, a, b = ([rng.getrandbits(64) for _ in range(n)] for n in (80, 10, 10))
+        left, right = shingle_dedup.band_codes([common + a, common + b], 20, 4)
+        found += any(x == y for x, y in zip(left, right))
+    assert found >= 998

@@ -76,3 +76,9 @@ def test_near_dedup_stage_keeps_one_of_each_group_whatever_the_ids(spark):
     got = corpus_pipeline.simhash_near_dedup(spark, docs, "").collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == [("3", text), ("None", other)]
     assert corpus_pipeline.simhash_near_dedup(spark, docs.limit(0), "").collect() == []
+
+
+def test_near_dedup_stage_drops_a_planted_near_copy(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id in (1, 2, 300, 301)")
+    got = {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, folder).collect()}
+    assert got == {1, 2}
