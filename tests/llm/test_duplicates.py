@@ -195,3 +195,28 @@ def test_bands_find_pairs_at_similarity_of_eight_tenths():
         left, right = shingle_dedup.band_codes([common + a, common + b], 20, 4)
         found += any(x == y for x, y in zip(left, right))
     assert found >= 998
+
+
+@pytest.mark.parametrize("exact_rows", [0, 32_768])
+def test_pairs_inside_a_crowd_are_found(posts, exact_rows):
+    """Planted pairs in one label whose vectors all have a mutual cosine of about 0.95; fixed passes find a part."""
+    rng = np.random.default_rng(12)
+    dims, n = 64, 3000
+
+    def direction(m):
+        rows = rng.standard_normal((m, dims))
+        return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+    crowd = direction(1) + direction(n) * np.sqrt(1 / 0.95 - 1)
+    crowd /= np.linalg.norm(crowd, axis=1, keepdims=True)
+    crowd = np.concatenate((crowd, crowd[:300] + direction(300) * 0.17))
+    table = posts([(k, v.tolist(), 1) for k, v in enumerate(crowd)], "vec_id bigint, embedding array<double>, label int").repartition(4)
+    unit = crowd / np.linalg.norm(crowd, axis=1, keepdims=True)
+    near = np.argwhere(np.triu(unit @ unit.T >= 0.98, 1))
+    want = smallest_reachable(range(len(crowd)), near.tolist())
+    got = VD.near_duplicate_vectors(table, passes=4, window=4, exact_rows=exact_rows).collect()
+    linked = [r for r in got if want[r["vec_id"]] != r["vec_id"]]
+    assert len(linked) >= 250
+    found = sum(want[r["vec_id"]] == r["component_id"] for r in linked)
+    print("crowd recall", found, len(linked))
+    assert found >= 0.99 * len(linked) if exact_rows == 0 else found == len(linked)
