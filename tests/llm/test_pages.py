@@ -71,6 +71,13 @@ def test_sibling_branches_merge_only_when_alike(posts):
     assert UF.filter_links(posts([], "tweet_id string, url string"), rules).collect() == []
 
 
+def test_few_labels_of_many_links_reject_a_pure_template(posts):
+    rules = [UF.LinkRule("block", "h.org", f"/p/{k}") for k in range(10, 20)]
+    urls = [f"http://h.org/p/{k}" for k in range(10, 100)]
+    got = UF.filter_links(posts([(u, u) for u in urls], "tweet_id string, url string"), rules).collect()
+    assert {(r["verdict"], round(r["purity"], 3)) for r in got} == {("block", round(12 / 14, 3))}
+
+
 def test_links_of_posts(posts):
     got = UF.post_links(posts([("1", "see https://t.co/x1 and http://a.b/c?d now"), ("2", None), ("3", "none")])).collect()
     assert [tuple(r) for r in got] == [("1", "https://t.co/x1"), ("1", "http://a.b/c?d")]

@@ -76,7 +76,7 @@ def segment_kind(segment: Column) -> Column:
 def filter_links(
     links: DataFrame, rules: Sequence[LinkRule], id_column: str = "tweet_id", url_column: str = "url",
     levels: int = 3, literal_urls: int = 20, literal_share: float = 0.01, smoothing: float = 4.0,
-    reject_from: float = 0.8, labelled_share: float = 0.5, z: float = 1.96,
+    reject_from: float = 0.8, z: float = 1.96,
 ) -> DataFrame:
     """One row per link: the id, ``host, path, rule, verdict, template, purity``.
 
@@ -86,9 +86,8 @@ def filter_links(
     become wildcards of their kind. Sibling branches whose labelled block rates do not differ from
     their parent's pooled rate (two-sided test at ``z``) merge; branches without labels do not. A template
     is rejected if its purity, the share of blocks among its labelled links smoothed towards one half
-    with weight ``smoothing``, reaches ``reject_from``, and labelled links are at least ``labelled_share`` of
-    its links: labels of one kind of page shall not speak for others that happen to share a wildcard. A
-    template without labels is allowed. Below ``levels`` segments links share their template.
+    with weight ``smoothing``, reaches ``reject_from``, whatever share of its links has labels: the smoothing
+    guards against few labels. A template without labels is allowed. Below ``levels`` segments links share their template.
 
     Null urls and those without ``://`` have empty host and path, no rule, and are allowed. Null ids and
     repeated rows stay; other columns are not read; an empty table gives an empty result. Rows of a
@@ -109,10 +108,9 @@ def filter_links(
     labelled, blocked = F.count("label"), F.count_if(F.col("label") == BLOCK)
     purity = rows.groupBy("host", "template").agg(
         ((blocked + smoothing / 2) / (labelled + smoothing)).alias("purity"),
-        (labelled >= labelled_share * F.count(F.lit(1))).alias("_known"),
     )
     judged = salted_join(rows, purity, ["host", "template"], ["_id", "path"])
-    by_template = F.when((F.col("host") != "") & (F.col("purity") >= reject_from) & F.col("_known"), BLOCK).otherwise(ALLOW)
+    by_template = F.when((F.col("host") != "") & (F.col("purity") >= reject_from), BLOCK).otherwise(ALLOW)
     return judged.select(
         F.col("_id").alias(id_column), "host", "path", "rule", F.coalesce("label", by_template).alias("verdict"),
         "template", "purity",
