@@ -78,6 +78,18 @@ def test_few_labels_of_many_links_reject_a_pure_template(posts):
     assert {(r["verdict"], round(r["purity"], 3)) for r in got} == {("block", round(12 / 14, 3))}
 
 
+@pytest.mark.parametrize("levels", [3, 8])
+def test_links_that_differ_from_the_fourth_segment_on_are_judged_apart(posts, levels):
+    stem = "http://h.org/en/blog/2024"
+    rules = [UF.LinkRule("block", "h.org", f"/en/blog/2024/casino/x/{k}") for k in range(5)]
+    rules += [UF.LinkRule("allow", "h.org", f"/en/blog/2024/news2/y/{k}") for k in range(5)]
+    urls = [f"{stem}/{kind}/{k}" for kind in ("casino/x", "news2/y") for k in range(60)] + [f"{stem}/$/deep/" + "/".join("abcdefghijkl")]
+    got = UF.filter_links(posts([(u, u) for u in urls], "tweet_id string, url string"), rules, levels=levels).collect()
+    assert len(got) == len(urls)
+    assert {(r["path"].split("/")[4], r["verdict"]) for r in got} == {("casino", "block"), ("news2", "allow"), ("$", "allow")}
+    assert all(r["template"].endswith("/" + UF.END) for r in got)
+
+
 def test_links_of_posts(posts):
     got = UF.post_links(posts([("1", "see https://t.co/x1 and http://a.b/c?d now"), ("2", None), ("3", "none")])).collect()
     assert [tuple(r) for r in got] == [("1", "https://t.co/x1"), ("1", "http://a.b/c?d")]

@@ -75,7 +75,7 @@ def segment_kind(segment: Column) -> Column:
 
 def filter_links(
     links: DataFrame, rules: Sequence[LinkRule], id_column: str = "tweet_id", url_column: str = "url",
-    levels: int = 3, literal_urls: int = 20, literal_share: float = 0.01, smoothing: float = 4.0,
+    levels: int = 8, literal_urls: int = 20, literal_share: float = 0.01, smoothing: float = 4.0,
     reject_from: float = 0.8, z: float = 1.96,
 ) -> DataFrame:
     """One row per link: the id, ``host, path, rule, verdict, template, purity``.
@@ -87,7 +87,8 @@ def filter_links(
     their parent's pooled rate (two-sided test at ``z``) merge; branches without labels do not. A template
     is rejected if its purity, the share of blocks among its labelled links smoothed towards one half
     with weight ``smoothing``, reaches ``reject_from``, whatever share of its links has labels: the smoothing
-    guards against few labels. A template without labels is allowed. Below ``levels`` segments links share their template.
+    guards against few labels. A template without labels is allowed. The tree grows until no link
+    has a segment left; after ``levels`` levels all remaining segments become wildcards of their kinds in one step.
 
     Null urls and those without ``://`` have empty host and path, no rule, and are allowed. Null ids and
     repeated rows stay; other columns are not read; an empty table gives an empty result. Rows of a
@@ -101,9 +102,19 @@ def filter_links(
         "_id", "host", "path", F.col("_rule.name").alias("rule"), F.col("_rule.verdict").alias("label"),
         F.expr("array_remove(split(path, '/'), '')").alias("_segments"), F.lit("").alias("template"),
     )
-    for level in range(levels):
+    parts, level = [], 0
+    while level < levels:
         rows = cut_lineage(rows.withColumn("_segment", F.coalesce(F.get("_segments", F.lit(level)), F.lit(END))))
-        rows = _grow(rows, literal_urls, literal_share, z)
+        rows = cut_lineage(_grow(rows, literal_urls, literal_share, z))
+        parts.append(rows.filter(F.size("_segments") <= level))
+        rows = rows.filter(F.size("_segments") > level)
+        level += 1
+        if rows.isEmpty():
+            break
+    tail = F.transform(F.slice("_segments", level + 1, F.greatest(F.size("_segments"), F.lit(1))), segment_kind)
+    rows = rows.withColumn("template", F.concat_ws("/", "template", tail, F.lit(END)))
+    for part in parts:
+        rows = rows.unionByName(part)
     rows = cut_lineage(rows)
     labelled, blocked = F.count("label"), F.count_if(F.col("label") == BLOCK)
     purity = rows.groupBy("host", "template").agg(
@@ -143,9 +154,5 @@ def _grow(rows: DataFrame, literal_urls: int, literal_share: float, z: float) ->
     steps = salted_join(named, branches, [*at, "branch"], ["_segment"]).select(
         *at, "_segment", F.when(F.col("merged"), F.lit(ANY)).otherwise(F.col("branch")).alias("_step")
     )
-    # A link that ended above keeps its template.
-    grown = F.when(F.col("template").endswith("/" + END), F.col("template")).otherwise(
-        F.concat("template", F.lit("/"), "_step")
-    )
     joined = salted_join(rows, steps, [*at, "_segment"], ["_id", "path"])
-    return joined.withColumn("template", grown).drop("_segment", "_step")
+    return joined.withColumn("template", F.concat("template", F.lit("/"), "_step")).drop("_segment", "_step")
