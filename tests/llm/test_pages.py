@@ -141,6 +141,14 @@ def test_long_and_broken_pages_are_read_whole():
     assert HT.main_text('<a "' * 20_000) == ('<a "' * 20_000).strip()
 
 
+def test_long_attributes_and_many_attributes_hold_any_character():
+    for value in ("<p>x</p> " * 3000, "a > b"):
+        many = " ".join(f'a{k}="v"' for k in range(300))
+        assert HT.main_text(f"<article><p {many} data-props='{value}'>Only this text is shown.</p></article>") == "Only this text is shown."
+    assert HT.main_text('<p title="open>Shown to all readers.</p>') == "Shown to all readers."
+    assert "".join(b.text for b in HT.blocks_of("<p>" + '<i ">"' * 20_000 + "'")) == '"' * 20_000 + "'"
+
+
 def test_extract_rows(posts):
     rows = [(1, "u", PAGE, "t"), (2, None, None, "t"), (None, "u", "", "t"), (1, "u", PAGE, "t")]
     got = HT.extract_main_text(posts(rows, "page_id bigint, url string, html string, text string")).collect()

@@ -35,12 +35,9 @@ BOILERPLATE_WORDS = frozenset(
 )
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-# A tag whose quotes do not close near by ends at the next >, so that broken markup is read in one pass.
-TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'){0,128}+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.DOTALL,
-)
+# Comments and the like as a whole; of a tag only its start, its attributes are read by TagEnds.
+TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.DOTALL)
+STOPS = re.compile("[>\"']")
 HINTS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 WORD_PARTS = re.compile(r"[a-z]+")
 
@@ -65,6 +62,34 @@ class Block:
     boilerplate: bool
 
 
+class TagEnds:
+    """Where tags end: at the first > outside quotes. A quote that never closes is a plain character.
+
+    Once a tag has no such > up to the end of the page, it and later ones end at their first >, so that broken
+    markup is read in linear time.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.broken = page, {c: page.rfind(c) for c in ">\"'"}, False
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag whose attributes start at ``at``; -1 without one."""
+        if at > self.last[">"]:
+            return -1
+        place = at
+        while not self.broken:
+            found = STOPS.search(self.page, place)
+            if found is None:
+                self.broken = True
+            elif found[0] == ">":
+                return found.start()
+            elif found.start() < self.last[found[0]]:
+                place = self.page.find(found[0], found.end()) + 1
+            else:
+                place = found.end()
+        return self.page.find(">", at)
+
+
 def is_boilerplate(tag: str, attributes: str) -> bool:
     """Whether an element's name, class, id or role says that it holds no main text."""
     if tag in BOILERPLATE_TAGS:
@@ -109,7 +134,7 @@ def blocks_of(page: str) -> list[Block]:
         if in_link:
             linked += len(text)
 
-    length = len(page)
+    length, ends = len(page), TagEnds(page)
     while at < length:
         found = TAG.search(page, at) if page.find(">", at) >= 0 or page.find("<!", at) >= 0 else None
         if found is None:
@@ -118,9 +143,14 @@ def blocks_of(page: str) -> list[Block]:
         if found.start() > at:
             add(page[at: found.start()])
         at = found.end()
-        closing, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+        closing, name = found[1], found[2]
         if not name:
             continue
+        end = ends.end(at)
+        if end < 0:
+            add(found[0])
+            continue
+        attributes, at = page[at:end], end + 1
         name = name.lower()
         if name in RAW and not closing:
             if not attributes.rstrip().endswith("/"):
