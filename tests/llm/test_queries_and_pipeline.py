@@ -31,13 +31,14 @@ def folder(spark, tmp_path_factory):
 
 def test_every_operator_has_one_query():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in queries.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in queries.QUERIES
 
 
 @pytest.mark.parametrize("name,table", [
     ("op1_simhash_near_dedup", "documents"), ("op2_url_filters", "pages"), ("op3_quality_classifier", "documents"),
     ("op5_bpe_round_trip", "documents"), ("op6_html_extraction", "pages"), ("op7_token_counts", "documents"),
     ("op8_quality_rules", "documents"), ("op9_warc", "pages"), ("op10_embedding_near_dedup", "embeddings"),
+    ("op12_line_dedup", "documents"),
 ])
 def test_queries_give_one_row_per_given_row(spark, folder, name, table):
     key = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id"}[table]
