@@ -120,3 +120,30 @@ def test_neighbours_rows_and_bounds(posts, labelled):
     empty = QN.fit_post_quality(posts([]), posts([], "tweet_id string, quality int"))
     assert [r["score"] for r in QN.score_post_neighbours(posts([("1", "any")]), empty).collect()] == [0.5]
     assert QN.score_post_neighbours(posts([]), empty).collect() == []
+
+
+def test_bounds_of_the_fit_hold_whatever_repeats(posts, labelled):
+    rows = [("hot", f"please tell me {k} when") for k in range(5000)] + [("long", "x " * 30_000)] + labelled[:40]
+    table = posts(rows)
+    labels = posts([("hot", 1), ("hot", 1), ("long", 0)] + [(i, int(i[0] == "g")) for i, _ in labelled[:40]], "tweet_id string, quality int")
+    assert len(QN.fit_post_quality(table, labels, most_labelled=10).labels) == 10
+    assert len(QN.fit_post_quality(table, labels).labels) == 42
+    assert len(QN.fit_post_quality(table, labels, most_bytes=300_000).labels) == 41  # the long text is left out
+    total = sum(len(t) for _, t in labelled[:40])
+    some = QN.fit_post_quality(table, labels.filter("tweet_id like 'g%'"), most_bytes=16_000)
+    assert 0 < len(some.labels) < 40 and total > 16_000
+
+
+def test_products_by_rows_equal_those_of_the_whole_matrix():
+    rng = random.Random(4)
+    texts = [good_text(rng, rng.randint(0, 40)) for _ in range(600)]
+    places = {t: k for k, t in enumerate(sorted({t for x in texts for t in QN.text_terms(x)})[:300])}
+    idf = np.linspace(1, 2, len(places))
+    whole = np.zeros((len(texts), len(places)))
+    for r, x in enumerate(texts):
+        for term, w in QN.text_terms(x).items():
+            if term in places:
+                whole[r, places[term]] = w * idf[places[term]]
+    rows, base = QN._SparseRows(texts, places, idf), np.random.default_rng(1).standard_normal((len(places), 5)).astype(np.float32)
+    assert np.allclose(rows.times(base), whole @ base, atol=1e-4)
+    assert np.allclose(rows.transposed_times_itself_times(base), whole.T @ (whole @ base), rtol=1e-3, atol=1e-2)

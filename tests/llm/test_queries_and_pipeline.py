@@ -83,3 +83,28 @@ def test_near_dedup_stage_drops_a_planted_near_copy(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id in (1, 2, 300, 301)")
     got = {r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, folder).collect()}
     assert got == {1, 2}
+
+
+CLASHING = "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, row_ string, score double, votes string, kept string"
+
+
+def test_stages_on_nulls_repeats_and_clashing_columns(spark, folder):
+    given = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = [(k, given[k], "en", None, None, "r", "s", 0.5, "v", "k") for k in (1, 1, 2, 6, 300)]
+    rows += [(None, given[3], None, "s", 1, None, None, None, None, None), (7, None, "en", "s", 1, "r", "s", 0.5, "v", "k"), (8, "", "en", "s", 1, "r", "s", 0.5, "v", "k")]
+    docs = spark.createDataFrame(rows, CLASHING)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), folder).collect() == []
+        got = stage(spark, docs, folder)
+        if name == "best_fit_packing":
+            assert sorted((r["doc_id"] or -1) for r in got.collect()) == sorted((r[0] or -1) for r in rows)
+            continue
+        assert got.columns == docs.columns
+        kept = list(map(tuple, got.collect()))
+        assert set(kept) <= set(rows)
+        if name == "quality_rules":
+            assert not any(r[0] in (7, 8) for r in kept)
+        if name == "quality_classifier":
+            assert sorted(str(r[0]) for r in kept) == sorted(["1", "1", "2", "300", "None", "7", "8"])
+        if name == "simhash_near_dedup":
+            assert sorted(str(r[0]) for r in kept) == sorted(["1", "2", "6", "None", "7"])

@@ -10,11 +10,12 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadweave.llm.pretokens import slices
 from threadweave.schema import require_columns
+from threadweave.session import cut_lineage
 
 # Characters by kind: letters, capitals, digits; other marks stand for themselves.
 _KINDS = bytes(
@@ -117,34 +118,66 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(length > 0, length, 1)
 
 
+class _SparseRows:
+    """Weights of texts by terms, kept sparse; made dense a few rows at a time for products."""
+
+    STEP = 256
+
+    def __init__(self, texts: list[str], places: dict[bytes, int], idf: np.ndarray):
+        self.shape = (len(texts), len(idf))
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for low in range(0, len(texts), self.STEP):
+            row, place, weight = [], [], []
+            for r, text in enumerate(texts[low: low + self.STEP]):
+                for term, w in text_terms(text).items():
+                    p = places.get(term)
+                    if p is not None:
+                        row.append(r)
+                        place.append(p)
+                        weight.append(w * idf[p])
+            self.parts.append((np.array(row, np.int16), np.array(place, np.int32), np.array(weight, np.float32)))
+
+    def _dense(self) -> Iterator[np.ndarray]:
+        for number, (row, place, weight) in enumerate(self.parts):
+            rows = np.zeros((min(self.STEP, self.shape[0] - number * self.STEP), self.shape[1]), np.float32)
+            rows[row, place] = weight
+            yield rows
+
+    def times(self, base: np.ndarray) -> np.ndarray:
+        return np.concatenate([rows @ base for rows in self._dense()])
+
+    def transposed_times_itself_times(self, base: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(base)
+        for rows in self._dense():
+            out += rows.T @ (rows @ base)
+        return out
+
+
 def fit_neighbours(
     texts: list[str], labels: list[int], dimensions: int = 64, vocabulary_size: int = 6000, k: int = 15,
     sharpness: float = 24.0, seed: int = 7,
 ) -> NeighbourModel:
     """Latent-semantic vectors of labelled texts: inverse document frequencies and a truncated
     singular value decomposition by randomised subspace iteration."""
-    bags = [text_terms(t) for t in texts]
-    frequency = Counter(term for bag in bags for term in bag)
+    frequency: Counter = Counter()
+    for text in texts:
+        frequency.update(text_terms(text).keys())
     kept = sorted(frequency, key=lambda t: (-frequency[t], t))[:vocabulary_size]
     places = {term: p for p, term in enumerate(kept)}
-    idf = np.array([np.log((1 + len(bags)) / (1 + frequency[t])) + 1 for t in kept])
-    matrix = np.zeros((len(bags), len(kept)), np.float32)
-    for row, bag in enumerate(bags):
-        for term, weight in bag.items():
-            p = places.get(term)
-            if p is not None:
-                matrix[row, p] = weight * idf[p]
+    idf = np.array([np.log((1 + len(texts)) / (1 + frequency[t])) + 1 for t in kept])
+    del frequency
+    matrix = _SparseRows(texts, places, idf)
     rank = min(dimensions, *matrix.shape)
     if rank:
         base = np.random.default_rng(seed).standard_normal((len(kept), min(rank + 16, *matrix.shape))).astype(np.float32)
         for _ in range(4):
-            base, _ = np.linalg.qr(matrix.T @ (matrix @ base))
-        _, _, right = np.linalg.svd(matrix @ base, full_matrices=False)
+            base, _ = np.linalg.qr(matrix.transposed_times_itself_times(base))
+        _, _, right = np.linalg.svd(matrix.times(base), full_matrices=False)
         projection = idf[:, None] * (base @ right[:rank].T).astype(np.float64)
     else:
         projection = np.zeros((len(kept), 1))
     model = NeighbourModel(places, projection, np.zeros((0, projection.shape[1])), np.array(labels, float), k, sharpness)
-    step = 256
+    step = 64
     model.vectors = np.concatenate(
         [model.embed(texts[low: low + step]) for low in range(0, len(texts), step)] or [model.vectors]
     )
@@ -153,25 +186,32 @@ def fit_neighbours(
 
 def fit_post_quality(
     posts: DataFrame, labels: DataFrame, label_column: str = "quality", most_labelled: int = 4000,
-    id_column: str = "tweet_id", text_column: str = "text", **settings,
+    most_bytes: int = 32 << 20, id_column: str = "tweet_id", text_column: str = "text", **settings,
 ) -> NeighbourModel:
-    """A model from labelled posts: at most ``most_labelled``, chosen by a hash of the id.
+    """A model from labelled posts: at most ``most_labelled``, chosen by a hash of the id, of ``most_bytes`` of text in all.
 
-    Rows whose label or id is null teach nothing. The choice is made on ids before texts are read, so
-    only the chosen posts' texts reach the driver.
+    Rows whose label or id is null teach nothing, nor do texts of more than a sixteenth of ``most_bytes``. The choice is
+    made on ids before texts are read; of rows that share an id and label the smallest text is taken, before anything
+    reaches the driver, so both bounds hold whatever repeats. No labelled posts: a model without votes.
     """
     require_columns(posts, [id_column, text_column], "posts")
     require_columns(labels, [id_column, label_column], "labels")
     chosen = (
         labels.select(F.col(id_column).alias("post"), F.col(label_column).cast("int").alias("label"))
-        .filter("post is not null and label is not null")
+        .filter("post is not null and label is not null").distinct()
         .orderBy(F.xxhash64("post"), "post", "label").limit(most_labelled)
     )
     texts = posts.select(F.col(id_column).alias("post"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
-    # The broadcast side has at most most_labelled narrow rows.
-    rows = texts.join(F.broadcast(chosen), "post").collect()
-    rows.sort(key=lambda r: (str(r["post"]), r["label"], r["text"]))
-    return fit_neighbours([r["text"] for r in rows], [r["label"] for r in rows], **settings)
+    texts = texts.filter(F.octet_length("text") <= most_bytes // 16)
+    # The broadcast side has at most most_labelled narrow rows; so has the window.
+    found = cut_lineage(texts.join(F.broadcast(chosen), "post").groupBy("post", "label").agg(F.min("text").alias("text")))
+    so_far = F.sum(F.octet_length("text").cast("bigint")).over(Window.orderBy(F.xxhash64("post"), "post", "label"))
+    within = found.select("post", "label", so_far.alias("bytes")).filter(F.col("bytes") <= most_bytes).select("post", "label")
+    rows = found.join(F.broadcast(within), ["post", "label"], "left_semi").collect()
+    rows.sort(key=lambda r: (str(r["post"]), r["label"]))
+    taught, marks = [r["text"] for r in rows], [r["label"] for r in rows]
+    del rows
+    return fit_neighbours(taught, marks, **settings)
 
 
 def score_post_neighbours(
