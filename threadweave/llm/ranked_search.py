@@ -188,9 +188,10 @@ def _search_block(posts: DataFrame, block: QuestionBlock, k: int, names: DataFra
     )
     best = cut_lineage(top_per_key(scored, ["question"], [F.desc("score"), id_last], k).drop("_rank", "id"))
 
-    # The k smallest ids of a bag are all that can be among the k best of a question.
-    wanted = best.select("hash", "bag", "norm").distinct()
-    members = top_per_key(bag_rows.join(wanted, ["hash", "bag", "norm"], "left_semi"), ["hash", "bag", "norm"], [id_last], k)
+    # The k smallest ids of a bag are all that can be among the k best of a question. There are at most
+    # k hashes per question of a block, so they are broadcast: rows shrink to k per bag before any shuffle.
+    wanted = F.broadcast(best.select("hash").distinct())
+    members = top_per_key(bag_rows.join(wanted, "hash", "left_semi"), ["hash", "bag", "norm"], [id_last], k)
     found = best.join(members.drop("_rank"), ["hash", "bag", "norm"])
     ranked = top_per_key(found, ["question"], [F.desc("score"), id_last], k, "rank")
     return ranked.join(names, "question").select("name", "rank", "id", "score")
