@@ -5,6 +5,7 @@ import sys
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,18 +49,20 @@ def brute_force(docs, queries, k):
     return out
 
 
-def found(spark, docs, queries, k, first_look):
+def found(spark, docs, queries, k):
     pairs = spark.createDataFrame([(d, "a", t, "r") for d, t in docs.items()], SCHEMA)
     asked = spark.createDataFrame(list(queries.items()), "query_id string, text string")
-    rows = R.retrieve_similar(asked, R.build_index(pairs), k, first_look=first_look).orderBy("query_id", "rank").collect()
+    rows = R.retrieve_similar(asked, R.build_index(pairs), k).orderBy("query_id", "rank").collect()
     out = {}
     for r in rows:
         out.setdefault(r["query_id"], []).append((r["customer_tweet_id"], round(r["similarity_score"], 9) + 0.0))
     return out
 
 
-@pytest.mark.parametrize("first_look", [1, 40, 20_000])
-def test_top_k_equals_brute_force_with_hot_words(spark, first_look):
+@pytest.mark.parametrize("portion,terms,cells", [(512, 32_768, 1 << 22), (3, 32_768, 16), (512, 9, 1 << 22)])
+def test_top_k_equals_brute_force_with_hot_words(spark, monkeypatch, portion, terms, cells):
+    for name, value in (("PORTION", portion), ("PORTION_TERMS", terms), ("CELLS", cells)):
+        monkeypatch.setattr(R, name, value)
     dice = random.Random(3)
     rare = [f"w{i}" for i in range(120)]
     docs = {
@@ -68,7 +71,7 @@ def test_top_k_equals_brute_force_with_hot_words(spark, first_look):
     }
     queries = {f"q{i}": "the and " + " ".join(dice.choices(rare, k=6)) for i in range(12)}
     queries |= {"hot": "the the and", "one": "w5", "none": "unseen words only", "same": docs["007"]}
-    assert found(spark, docs, queries, 5, first_look) == brute_force(docs, queries, 5)
+    assert found(spark, docs, queries, 5) == brute_force(docs, queries, 5)
 
 
 def test_index_round_trip_and_reserved_ids(spark, tmp_path):
@@ -87,7 +90,7 @@ def test_index_round_trip_and_reserved_ids(spark, tmp_path):
     assert len(arrays["q"]) == 5 and arrays["q"][0]["agent_text"] == "A fitter will come."
     with pytest.raises(ValueError):
         R.retrieve_scores(asked, loaded, 0)
-    R.save_index(R.RetrievalIndex(loaded.docs, loaded.vocab.drop("idf"), loaded.postings, loaded.meta), str(tmp_path / "other"))
+    R.save_index(R.RetrievalIndex(loaded.docs, loaded.vocab.drop("idf"), loaded.vectors, loaded.meta), str(tmp_path / "other"))
     with pytest.raises(ValueError, match="idf"):
         R.load_index(spark, str(tmp_path / "other"))
     with pytest.raises(ValueError, match="no support pairs"):
@@ -110,16 +113,36 @@ def test_equal_common_questions_are_scored_once(spark):
         [(f"{k:04d}", "a", " ".join(["thank", "you", "so", *dice.choices(["much", "all", "again", "now"], k=3)]), "r") for k in range(600)], SCHEMA)
     index = R.build_index(pairs)
     asked = spark.createDataFrame([(f"q{k}", "thank you so much all") for k in range(100)], "query_id string, text string")
-    seen = []
-    original = R.cut_lineage
-    R.cut_lineage = lambda df: seen.append(original(df)) or seen[-1]
+    asked_of = []
+    original = R._portions
+    R._portions = lambda terms: asked_of.extend(original(terms)) or asked_of
     try:
         rows = R.retrieve_scores(asked, index, 4).collect()
     finally:
-        R.cut_lineage = original
+        R._portions = original
     assert len(rows) == 400 and len({(r["doc_id"], r["rank"]) for r in rows}) == 4
-    scored = [df for df in seen if df.columns == ["question", "doc_id", "score"]]
-    assert len(scored) == 1 and scored[0].count() <= 600
+    assert [len(p.names) for p in asked_of] == [1]
+
+
+def test_blocks_that_cannot_reach_the_best_are_not_scored():
+    dice = np.random.default_rng(5)
+    known = np.arange(200, dtype=np.int64)
+    docs = [np.sort(dice.choice(260, n, replace=False)) for n in np.sort(dice.integers(2, 90, 4000))]
+    weights = [v / np.linalg.norm(v) for v in (dice.random(len(d)) + 0.1 for d in docs)]
+    asked = np.zeros((20, 200))
+    for row in asked:
+        row[dice.choice(200, 5, replace=False)] = dice.random(5)
+    ids = [f"{k:05d}{R.SEPARATOR}a" for k in range(len(docs))]
+    search = R._Search(R._Portion([f"q{k}" for k in range(20)], [None] * 19 + ["00003"], known, asked), 3)
+    for low in range(0, 4000, 700):
+        part = slice(low, low + 700)
+        search.take(ids[part], np.array([len(d) for d in docs[part]]), np.concatenate(docs[part]), np.concatenate(weights[part]))
+    for q, row in enumerate(asked):
+        full = [(-round(sum(row[t] * w for t, w in zip(d, v) if t < 200), 12), i) for d, v, i in zip(docs, weights, ids)]
+        want = sorted(x for x in full if x[0] < 0 and not (q == 19 and x[1].startswith("00003")))[:3]
+        assert [i for _, i in search.best[q]] == [i for _, i in want]
+        assert [s for s, _ in search.best[q]] == pytest.approx([s for s, _ in want], abs=1e-11)
+    assert search.n_scored < 0.4 * 20 * 4000
 
 
 def test_vocabulary_and_weights(spark):

@@ -2,42 +2,53 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadweave import fixed_values as FV
 from threadweave.functions.normalize import has_text
-from threadweave.operators.common import top_per_key
-from threadweave.operators.tfidf import hashed_frequencies, unit_weights, vocabulary
+from threadweave.operators.common import bind, top_per_key
+from threadweave.operators.tfidf import hashed_frequencies, unit_weights, vocabulary, with_hashed_runs
 from threadweave.operators.weak_training import exclude_ids
 from threadweave.schema import require_columns
-from threadweave.session import cut_lineage
+from threadweave.session import cut_lineage, import_on_workers
 
 # Bounds compare sums taken in different orders; this covers their rounding.
 SLACK = 1e-9
-# Postings a query may touch in the first look, which only fixes a lower bound.
-FIRST_LOOK = 5_000
+DIGITS = 12  # scores that agree in so many are equal, and go by id
+BLOCK = 8  # documents of a block, which are alike in length
+# Questions are asked in portions of at most so many of them and of their terms, so what goes to the tasks is bounded.
+PORTION, PORTION_TERMS = 512, 32_768
+BROADCAST_TERMS = 1_000_000  # of 24 bytes each
+CELLS = 1 << 22  # of a table of documents by terms, held at a time
 SEPARATOR = "\x1f"  # between the ids of a pair
 
 
 @dataclass
 class RetrievalIndex:
-    """``docs``: one row per pair; ``vocab``: term, df, idf, top_w; ``postings``: term, id, w.
+    """``docs``: one row per pair; ``vocab``: term, df, idf; ``vectors``: the terms and weights of a pair.
 
-    A term is the 64-bit hash of a word or word pair.
+    A term is the 64-bit hash of a word or word pair. Vectors lie in the order of their length: long
+    texts have small weights only, short ones few terms, so what a few neighbours can score at most
+    is near to what they do.
     """
 
     docs: DataFrame
     vocab: DataFrame
-    postings: DataFrame
+    vectors: DataFrame
     meta: DataFrame
 
     TABLES = {
         "docs": FV.RETRIEVAL_COLUMNS,
-        "vocab": ["term", "df", "idf", "top_w"],
-        "postings": ["doc_id", "term", "w"],
+        "vocab": ["term", "df", "idf"],
+        "vectors": ["doc_id", "terms", "weights"],
         "meta": ["n_documents", "n_features", "method", "max_ngram", "min_df", "excluded_golden"],
     }
 
@@ -62,31 +73,39 @@ def build_index(
     pairs: DataFrame, reserved: DataFrame | None = None, min_df: int = FV.TFIDF_MIN_DF
 ) -> RetrievalIndex:
     """R2. Index tables of a pair table."""
-    docs = cut_lineage(pairs_for_retrieval(pairs, reserved).withColumn("doc_id", _doc_id()))
+    rows = pairs_for_retrieval(pairs, reserved).withColumn("doc_id", _doc_id())
+    counted = cut_lineage(with_hashed_runs(rows, "customer_text"))  # one pass over the texts
+    docs = counted.drop("runs")
     n_documents = docs.count()
     if not n_documents:
         raise ValueError("no support pairs left to index")
-    frequencies = cut_lineage(hashed_frequencies(docs, "doc_id", "customer_text"))
+    frequencies = counted.select("doc_id", F.inline("runs"))
     vocab = cut_lineage(vocabulary(frequencies, F.lit(n_documents), min_df))
-    postings = cut_lineage(unit_weights(frequencies, vocab, "doc_id").select("doc_id", "term", "w"))
-    # The largest weight of each term in any document bounds what it can add to a score.
-    vocab = cut_lineage(vocab.join(postings.groupBy("term").agg(F.max("w").alias("top_w")), "term"))
+    # A vocabulary of checked size is sent to the frequencies, a larger one meets them by a shuffle.
+    known = F.broadcast(vocab) if vocab.count() <= BROADCAST_TERMS else vocab.hint("shuffle_hash")
+    weighted = frequencies.join(known, "term").select("doc_id", F.struct("term", (F.col("tf") * F.col("idf")).alias("raw")).alias("entry"))
+    vectors = cut_lineage(_by_length(weighted.groupBy("doc_id").agg(F.collect_list("entry").alias("entries"))))
     meta = vocab.agg(F.count(F.lit(1)).alias("n_features")).select(
         F.lit(n_documents).cast("bigint").alias("n_documents"), "n_features",
         F.lit("tfidf_cosine").alias("method"), F.lit(FV.TFIDF_MAX_N).alias("max_ngram"),
         F.lit(min_df).alias("min_df"), F.lit(reserved is not None).alias("excluded_golden"),
     )
-    return RetrievalIndex(docs, vocab, postings, meta)
+    return RetrievalIndex(docs, vocab, vectors, meta)
+
+
+def _by_length(rows: DataFrame) -> DataFrame:
+    """Vectors of length one, in the order of the length they had, which a text's size decides."""
+    squares = F.aggregate("entries", F.lit(0.0), lambda total, e: total + e["raw"] * e["raw"])
+    sized = bind(rows, size=F.sqrt(squares)).select(
+        "doc_id", "size", F.col("entries.term").alias("terms"), F.transform("entries.raw", lambda raw: raw / F.col("size")).alias("weights")
+    )
+    return sized.repartitionByRange("size", "doc_id").sortWithinPartitions("size", "doc_id").drop("size")
 
 
 def save_index(index: RetrievalIndex, path: str) -> None:
-    """S10. Postings lie sorted by term, so a lookup of few terms reads few row groups."""
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    index.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/postings")
-    index.meta.write.mode("overwrite").parquet(f"{path}/meta")
+    """S10. Vectors stay in the order of their length."""
+    for name in RetrievalIndex.TABLES:
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_index(spark: SparkSession, path: str) -> RetrievalIndex:
@@ -97,59 +116,136 @@ def load_index(spark: SparkSession, path: str) -> RetrievalIndex:
     docs = tables["docs"]
     if "doc_id" not in docs.columns:
         docs = docs.withColumn("doc_id", _doc_id())
-    return RetrievalIndex(docs, tables["vocab"], tables["postings"], tables["meta"])
+    return RetrievalIndex(docs, tables["vocab"], tables["vectors"], tables["meta"])
 
 
-def _scored(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Sum of weight products per (question, document) over the given terms, without the asker's own documents."""
-    return (
-        terms.select("question", "own", "term", "qw").join(postings, "term").filter(_foreign())
-        .groupBy("question", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("score"))
-    )
+@dataclass
+class _Portion:
+    """Some questions: their names, the message each must not find, and weights by question and term."""
+
+    names: list[str]
+    owns: list[str | None]
+    terms: np.ndarray
+    weights: np.ndarray
+
+
+def _portions(terms: DataFrame) -> Iterator[_Portion]:
+    """Questions with terms of the index, portion by portion; the driver holds one portion at a time."""
+
+    def packed(rows: list) -> _Portion:
+        known = np.unique(np.concatenate([np.array(r["terms"], np.int64) for r in rows]))
+        weights = np.zeros((len(rows), len(known)))
+        for k, r in enumerate(rows):
+            weights[k, np.searchsorted(known, np.array(r["terms"], np.int64))] = r["weights"]
+        return _Portion([r["question"] for r in rows], [r["own"] for r in rows], known, weights)
+
+    rows, held = [], 0
+    for row in terms.toLocalIterator():
+        if rows and (len(rows) == PORTION or held + len(row["terms"]) > PORTION_TERMS):
+            yield packed(rows)
+            rows, held = [], 0
+        rows.append(row)
+        held += len(row["terms"])
+    if rows:
+        yield packed(rows)
+
+
+class _Search:
+    """The k best documents of each question of a portion among those a task has seen."""
+
+    def __init__(self, portion: _Portion, k: int):
+        self.portion, self.k = portion, k
+        self.best: list[list[tuple[float, str]]] = [[] for _ in portion.names]
+        self.floor = np.full(len(portion.names), np.finfo(float).tiny)  # what a score must reach
+        self.step = max(BLOCK, CELLS // len(portion.terms) // BLOCK * BLOCK)
+        self.owned = any(own is not None for own in portion.owns)
+        self.n_scored = 0
+
+    def take(self, ids: list[str], sizes: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> None:
+        """More documents: their ids, numbers of terms, and all their terms and weights in a row."""
+        known = self.portion.terms
+        place = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+        asked = known[place] == terms
+        row = np.repeat(np.arange(len(ids)), sizes)[asked]
+        place, weights = place[asked], weights[asked]
+        ends = np.searchsorted(row, np.arange(0, len(ids) + self.step, self.step))
+        for number, low in enumerate(range(0, len(ids), self.step)):
+            part = slice(ends[number], ends[number + 1])
+            table = np.zeros((min(self.step, len(ids) - low), len(known)))
+            table[row[part] - low, place[part]] = weights[part]
+            # The largest weight of each term in a block bounds the score of any document in it.
+            tops = np.maximum.reduceat(table, np.arange(0, len(table), BLOCK), axis=0)
+            bounds = tops @ self.portion.weights.T
+            for block in np.argsort(-bounds.max(axis=1), kind="stable"):
+                hopeful = np.flatnonzero(bounds[block] >= self.floor - SLACK)
+                if len(hopeful):
+                    at = slice(block * BLOCK, (block + 1) * BLOCK)
+                    self._score(ids[low + at.start: low + at.stop], table[at], np.flatnonzero(tops[block]), hopeful)
+
+    def _score(self, ids: list[str], table: np.ndarray, terms: np.ndarray, hopeful: np.ndarray) -> None:
+        self.n_scored += len(ids) * len(hopeful)
+        scores = np.round(table[:, terms] @ self.portion.weights[np.ix_(hopeful, terms)].T, DIGITS)
+        if self.owned:
+            messages = [i.split(SEPARATOR, 1)[0] for i in ids]
+            for column, q in enumerate(hopeful):
+                own = self.portion.owns[q]
+                if own is not None:
+                    scores[[k for k, m in enumerate(messages) if m == own], column] = 0.0
+        for row, column in zip(*np.nonzero(scores >= self.floor[hopeful])):
+            q = hopeful[column]
+            insort(self.best[q], (-float(scores[row, column]), ids[row]))
+            if len(self.best[q]) >= self.k:
+                del self.best[q][self.k:]
+                self.floor[q] = max(self.floor[q], -self.best[q][-1][0])
+
+
+def _best_of_task(portion: _Portion, k: int, spark: SparkSession):
+    shared = spark.sparkContext.broadcast(portion)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = _Search(shared.value, k)
+        for batch in batches:
+            ids, terms, weights = batch.column("doc_id").to_pylist(), batch.column("terms"), batch.column("weights")
+            sizes = np.diff(terms.offsets.to_numpy())
+            search.take(ids, sizes, terms.flatten().to_numpy(), weights.flatten().to_numpy())
+        rows = [(search.portion.names[q], i, -s) for q, best in enumerate(search.best) for s, i in best]
+        columns = list(zip(*rows)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["question", "doc_id", "score"]
+        )
+
+    return run
 
 
 def _foreign() -> Column:
     """Whether a document is not of the customer message that asks."""
-    return F.col("own").isNull() | (F.substring_index("doc_id", SEPARATOR, 1) != F.col("own"))
+    return F.col("own").isNull() | ~F.col("doc_id").startswith(F.concat("own", F.lit(SEPARATOR)))
 
 
 def _filler(docs: DataFrame, k: int) -> Column:
     """The smallest ids, enough for k of them to be of other messages than any one asker's.
 
-    More than k pairs of one message are never needed, so 2k of the first k per message do.
+    Those are among the first k of each of the first k + 1 messages.
     """
-    first = top_per_key(docs.select("customer_tweet_id", "doc_id"), ["customer_tweet_id"], [F.col("doc_id")], k)
-    return first.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id")).scalar()
-
-
-def _kth_best(scored: DataFrame, k: int) -> DataFrame:
-    """Per question the k-th best score so far; no row when fewer documents were met."""
-    best = top_per_key(scored, ["question"], [F.desc("score")], k)
-    return best.filter(F.col("_rank") == k).select("question", F.col("score").alias("kth"))
+    first = F.broadcast(docs.groupBy("customer_tweet_id").agg(F.count(F.lit(1))).orderBy("customer_tweet_id").limit(k + 1))
+    own = docs.select("customer_tweet_id", "doc_id").join(first, "customer_tweet_id", "left_semi")
+    some = top_per_key(own, ["customer_tweet_id"], [F.col("doc_id")], k)
+    return some.select("doc_id").orderBy("doc_id").limit(2 * k).agg(F.collect_list("doc_id")).scalar()
 
 
 def retrieve_scores(
     queries: DataFrame, index: RetrievalIndex, k: int = 5, query_id: str = "query_id", text: str = "text",
-    first_look: int = FIRST_LOOK, own: str | None = None,
+    own: str | None = None,
 ) -> DataFrame:
     """R3. ``(query_id, doc_id, score, rank)``: the exact k best documents of every query.
 
     ``own`` names a column with the customer message a query comes from: its pairs are never found, so
     a message does not retrieve itself. Equal texts (of one message, with ``own``) are one question,
-    scored once. Common words make up most postings and the least of a
-    score, so they must not generate candidates. What terms left out can still add is bounded twice: by
-    the length of the question's part in them, as weights have length one, and by their
-    largest weight in any document (``top_w`` of the vocabulary). Two looks make use of that:
-
-    1. a question's rarest terms, up to ``first_look`` postings, give a k-th best score, a
-       lower bound of the true one;
-    2. terms are taken in, rarest first, until what is left over cannot lift a document
-       met by none of them to that bound. Documents that can still reach the k-th place
-       then get their missing terms added.
-
-    A question without such a bound takes in all its terms; no document is left out of the
-    result by the procedure. Questions with fewer than k matches are filled with score 0 in
-    id order.
+    scored once. Questions go out to the tasks in portions of bounded size, each of which reads the vectors once and
+    shuffles k rows per question and task. A task takes documents in small blocks: the largest weight of each term
+    in a block bounds what any of its documents can score, and blocks that cannot reach the k-th best score of
+    a question so far are not scored for it; no document is left out of the result by that. Questions
+    with fewer than k matches are filled with score 0 in id order.
     """
     if k < 1:
         raise ValueError("k must be >= 1")
@@ -158,57 +254,26 @@ def retrieve_scores(
         (F.col(own).cast("string") if own else F.lit(None).cast("string")).alias("own"),
     ).filter(has_text("text"))
     asked = cut_lineage(named.groupBy("text", "own").agg(F.min("query_id").alias("question")))
-    owners = asked.select("question", "own")
-    weighted = unit_weights(
-        hashed_frequencies(asked, "question", "text"), index.vocab, "question", "top_w"
-    ).join(owners, "question")
-    rare_first = Window.partitionBy("question").orderBy("df", "term")
-    before = rare_first.rowsBetween(Window.unboundedPreceding, -1)
-    onward = rare_first.rowsBetween(0, Window.unboundedFollowing)
+    weighted = unit_weights(hashed_frequencies(asked, "question", "text"), index.vocab, "question")
     terms = cut_lineage(
-        weighted.select(
-            "question", "own", "term", F.col("w").alias("qw"),
-            F.coalesce(F.sum("df").over(before), F.lit(0)).alias("postings_before"),
-            # The most this term and the ones after it can add.
-            F.least(
-                F.sqrt(F.sum(F.col("w") * F.col("w")).over(onward)), F.sum(F.col("w") * F.col("top_w")).over(onward)
-            ).alias("reach"),
-        )
-    )
-    postings = index.postings.select("term", "doc_id", "w")
-
-    bound = _kth_best(_scored(terms.filter(F.col("postings_before") < first_look), postings), k)
-    planned = terms.join(bound, "question", "left").withColumn(
-        "generates", F.col("reach") >= F.coalesce("kth", F.lit(0.0)) - SLACK
-    ).drop("kth")
-    planned = cut_lineage(planned)
-    met = cut_lineage(_scored(planned.filter("generates"), postings))
-
-    late = planned.filter("NOT generates")
-    late_reach = late.groupBy("question").agg(F.max("reach").alias("late_reach"))
-    hopeful = (
-        met.join(late_reach, "question", "left").join(_kth_best(met, k), "question", "left")
-        .filter(
-            F.col("score") + F.coalesce("late_reach", F.lit(0.0))
-            >= F.coalesce("kth", F.lit(0.0)) - SLACK
-        )
-        .select("question", "doc_id", "score", F.col("late_reach").isNotNull().alias("incomplete"))
-    )
-    missing = (
-        hopeful.filter("incomplete").select("question", "doc_id")
-        .join(late.select("question", "term", "qw"), "question")
-        .join(postings, ["term", "doc_id"])
-        .select("question", "doc_id", (F.col("qw") * F.col("w")).alias("score"))
+        weighted.groupBy("question").agg(F.collect_list(F.struct("term", "w")).alias("e"))
+        .join(asked.select("question", "own"), "question").select("question", "own", F.col("e.term").alias("terms"), F.col("e.w").alias("weights"))
     )
+    spark = import_on_workers(queries.sparkSession)
+    parts = [
+        index.vectors.mapInArrow(_best_of_task(portion, k, spark), "question string, doc_id string, score double") for portion in _portions(terms)
+    ]
+    scored = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "question string, doc_id string, score double"))
+    scored = cut_lineage(top_per_key(scored, ["question"], [F.desc("score"), F.col("doc_id")], k).drop("_rank"))
     filler = asked.select("question", "own", _filler(index.docs, k).alias("ids")).select(
         "question", "own", F.explode("ids").alias("doc_id"), F.lit(0.0).alias("score")
     ).filter(_foreign()).drop("own")
     complete = (
-        hopeful.select("question", "doc_id", "score").unionByName(missing).unionByName(filler)
+        scored.unionByName(filler)
         .groupBy("question", "doc_id").agg(F.sum("score").alias("score"))
     )
     best = top_per_key(
-        complete, ["question"], [F.round("score", 12).desc(), F.col("doc_id")], k, "rank"
+        complete, ["question"], [F.round("score", DIGITS).desc(), F.col("doc_id")], k, "rank"
     )
     # Back from questions to the queries that asked them.
     same = (named["text"] == asked["text"]) & named["own"].eqNullSafe(asked["own"])
@@ -218,10 +283,10 @@ def retrieve_scores(
 
 def retrieve_similar(
     queries: DataFrame, index: RetrievalIndex, k: int = 5, query_id: str = "query_id", text: str = "text",
-    first_look: int = FIRST_LOOK, own: str | None = None,
+    own: str | None = None,
 ) -> DataFrame:
     """R3/L6. Ranked rows with the texts of the found pairs; ``own`` as in ``retrieve_scores``."""
-    scores = retrieve_scores(queries, index, k, query_id, text, first_look, own)
+    scores = retrieve_scores(queries, index, k, query_id, text, own)
     return scores.join(index.docs, "doc_id").select(
         "query_id", "rank", *FV.RETRIEVAL_COLUMNS, F.col("score").alias("similarity_score")
     )

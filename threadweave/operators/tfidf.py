@@ -35,19 +35,25 @@ def with_grams(df: DataFrame, text: str, analyzer: str = "word", out: str = "gra
     return words.withColumn(out, grams).drop("_tokens")
 
 
-def _counted(rows: DataFrame, key: str, grams: str) -> DataFrame:
-    """``(key, term, tf)`` of rows with a term array, counted inside each row: no shuffle."""
-    ordered = bind(rows.select(key, F.col(grams).alias("_unsorted")), _terms=F.sort_array("_unsorted"))
+def _with_runs(rows: DataFrame, grams: str, out: str) -> DataFrame:
+    """Rows with a term array replaced by its distinct terms and their numbers, counted inside each row: no shuffle."""
+    kept = [c for c in rows.columns if c != grams]
+    ordered = bind(rows.withColumnRenamed(grams, "_unsorted"), _terms=F.sort_array("_unsorted"))
     begins = F.expr("filter(sequence(1, size(_terms)), i -> i = 1 or _terms[i - 1] <> _terms[i - 2])")
     marked = bind(
-        ordered.select(key, "_terms"),
+        ordered.select(*kept, "_terms"),
         _begins=F.when(F.size("_terms") > 0, begins).otherwise(F.expr("cast(array() as array<int>)")),
     )
     runs = F.expr(
         "transform(_begins, (b, k) -> named_struct('term', _terms[b - 1],"
         " 'tf', cast(coalesce(get(_begins, k + 1), size(_terms) + 1) - b as bigint)))"
     )
-    return marked.select(key, F.inline(runs))
+    return marked.select(*kept, runs.alias(out))
+
+
+def _counted(rows: DataFrame, key: str, grams: str) -> DataFrame:
+    """``(key, term, tf)`` of rows with a term array."""
+    return _with_runs(rows.select(key, grams), grams, "_runs").select(key, F.inline("_runs"))
 
 
 def _char_terms(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -65,19 +71,24 @@ def term_frequencies(df: DataFrame, key: str, text: str, analyzer: str = "word")
     return _counted(bind(grams.select(key, "_grams"), _grams=F.col("_grams")), key, "_grams")
 
 
-def hashed_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, term, tf)`` of words and word pairs, each named by its 64-bit hash.
+def with_hashed_runs(df: DataFrame, text: str, out: str = "runs") -> DataFrame:
+    """Adds an array of ``(term, tf)`` of words and word pairs, each named by its 64-bit hash.
 
     For tables that only ever compare terms: no pair is put together as text, and counting, joining and
     storing work on numbers. Two of a million terms share a hash with a chance of some 1 in 40 million.
     """
-    words = bind(df.select(key, text), _words=tfidf_tokens(F.coalesce(F.col(text), F.lit(""))))
+    words = bind(df, _words=tfidf_tokens(F.coalesce(F.col(text), F.lit(""))))
     pairs = F.expr(
         "case when size(_words) > 1 then transform(sequence(1, size(_words) - 1), i -> xxhash64(_words[i - 1], _words[i]))"
         " else cast(array() as array<bigint>) end"
     )
     singles = F.transform("_words", lambda w: F.xxhash64(w))
-    return _counted(bind(words.select(key, "_words"), _terms=F.concat(singles, pairs)), key, "_terms")
+    return _with_runs(bind(words.select(*df.columns, "_words"), _terms=F.concat(singles, pairs)).drop("_words"), "_terms", out)
+
+
+def hashed_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, term, tf)`` of hashed terms."""
+    return with_hashed_runs(df.select(key, text), text, "_runs").select(key, F.inline("_runs"))
 
 
 def vocabulary(frequencies: DataFrame, n_documents: Column, min_df: int = FV.TFIDF_MIN_DF) -> DataFrame:
