@@ -465,6 +465,54 @@ pairs AS (
 )"""
 
 
+def candidates(target: int = 200, per_intent: int = 14) -> str:
+    """The annotation sheet: queues per stratum in md5 order, filled one after the other by a recursive query."""
+    names, t = FV.TAXONOMY, "customer_text"
+    plan: list[tuple[str, str | None, int, str, str]] = []  # tag, label, quota, kind, test
+    for n in names:
+        plan += [(f"stratified:{n}", n, per_intent, "quota", f"h_{n} AND len(tags) = 1"), (f"stratified:{n}", n, per_intent, "second", f"h_{n}")]
+    plan += [(f"boundary:{n}", a, FV.BOUNDARY_QUOTA, "quota", f"h_{a} AND h_{b}") for n, a, b in FV.BOUNDARY_POOLS]
+    sim, password, lock = (re_ci(t, p) for p in (FV.SIM_PATTERN, FV.PASSWORD_PATTERN, FV.LOCK_PATTERN))
+    plan += [
+        ("boundary:connectivity_vs_sim", "network_connectivity", FV.SIM_QUOTA, "quota", sim),
+        ("boundary:account_lock", "account_access", FV.LOCK_QUOTA, "quota", f"{lock} AND NOT {password}"),
+        ("boundary:password_reset", "account_access", FV.PASSWORD_QUOTA, "quota", f"{password} AND NOT {lock}"),
+        ("vague_or_unclear", FV.UNCLEAR, FV.VAGUE_QUOTA, "quota", f"h_{FV.UNCLEAR} AND len(tags) <= 1"),
+        ("multi_problem", None, FV.MULTI_QUOTA, "quota", "len(tags) >= 2"),
+        ("residual_unmatched", FV.UNCLEAR, target, "rest", "len(tags) = 0"),
+        ("random_fill", None, target, "rest", "true"),
+    ]
+    tests = ", ".join(f"CASE WHEN {test} THEN {i} END" for i, (*_, test) in enumerate(plan))
+    array = lambda column: words([row[column] for row in plan])
+    last = len(plan) - 2
+    return f"""
+rows AS (SELECT *, customer_tweet_id || ':' || agent_tweet_id AS row_key FROM g),
+member AS (SELECT row_key, unnest(list_filter([{tests}], lambda z: z IS NOT NULL)) AS stratum FROM rows),
+queues AS (SELECT stratum, list(row_key ORDER BY md5('{FV.SEED}:' || CAST(stratum AS VARCHAR) || ':' || row_key), row_key) AS queue FROM member GROUP BY stratum),
+plan AS (SELECT unnest(range({len(plan)})) AS i, unnest([{", ".join(str(row[2]) for row in plan)}]) AS quota, unnest({array(3)}) AS kind),
+slots AS (SELECT i, quota, kind, coalesce(queue, CAST([] AS VARCHAR[])) AS queue FROM plan LEFT JOIN queues ON stratum = i),
+fill(i, used, n, short) AS (
+  SELECT CAST(-1 AS BIGINT), CAST([] AS VARCHAR[]), CAST(0 AS BIGINT), CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT i, used || got, n + len(got), want - len(got) FROM (
+    SELECT *, list_filter(queue, lambda k: NOT list_contains(used, k))[1:want] AS got FROM (
+      SELECT slots.i, fill.used, fill.n, slots.queue,
+        CASE slots.kind WHEN 'rest' THEN greatest({target} - fill.n, 0) WHEN 'second' THEN fill.short ELSE slots.quota END AS want
+      FROM fill JOIN slots ON slots.i = fill.i + 1))
+),
+taken AS (SELECT unnest(used) AS row_key, generate_subscripts(used, 1) AS place FROM fill WHERE i = {len(plan) - 1}),
+placed AS (SELECT row_key, place, (SELECT min(i) FROM fill WHERE len(used) >= place) AS stratum FROM taken),
+kept AS (SELECT row_key, stratum FROM (
+    SELECT *, row_number() OVER (ORDER BY stratum >= {last}, place) AS r, count(*) OVER () AS n FROM placed)
+  WHERE n <= {target + FV.TRIM_SLACK} OR r <= {target}),
+sheet AS (
+  SELECT 'GS-' || lpad(CAST(row_number() OVER (ORDER BY md5('{FV.SEED}:shuffle:' || row_key), row_key) AS VARCHAR), 4, '0') AS example_id,
+    customer_tweet_id, agent_tweet_id, customer_text, agent_text, tags, {array(0)}[CAST(stratum AS INT) + 1] AS sampling_tag, len(tags) >= 2 AS is_multi,
+    coalesce({array(1)}[CAST(stratum AS INT) + 1], tags[1], '{FV.UNCLEAR}') AS proposed_primary, h_{FV.UNCLEAR} AND len(tags) <= 1 AS vague
+  FROM rows JOIN kept USING (row_key)
+)"""
+
+
 def build() -> dict[str, str]:
     out: dict[str, str] = {}
     post = with_(RAW_POSTS)
@@ -551,6 +599,17 @@ def build() -> dict[str, str]:
       'MACHINE_CANDIDATE: ' || coalesce(tags[1], 'other_or_unclear') ||
       CASE WHEN len(tags) > 1 THEN ' (also_matched: ' || array_to_string(tags[2:], ',') || ')' ELSE '' END AS proposed_intent,
       coalesce(tags[1], 'other_or_unclear') AS primary_intent FROM g"""
+    sheet = with_(MESSAGES, tagged(FV.STRATIFY_PATTERNS), candidates(), recursive=True)
+    out["annotation_candidates"] = sheet + """SELECT example_id, customer_tweet_id, agent_tweet_id, customer_text, agent_text,
+      'MACHINE_CANDIDATE: ' || proposed_primary || CASE WHEN len(list_filter(tags, lambda z: z <> proposed_primary)) > 0
+        THEN ' (also_matched: ' || array_to_string(list_filter(tags, lambda z: z <> proposed_primary), ',') || ')' ELSE '' END AS proposed_intent,
+      '' AS annotator_label, '' AS annotator_notes FROM sheet"""
+    out["candidate_summary"] = sheet + f"""SELECT measure, name, count(*) AS n FROM (
+      SELECT unnest(list_filter(['n_examples', CASE WHEN is_multi THEN 'n_ambiguous_multi' END,
+        CASE WHEN proposed_primary = '{FV.UNCLEAR}' OR vague THEN 'n_vague_unclear_candidates' END,
+        CASE WHEN starts_with(sampling_tag, 'boundary') THEN 'n_boundary_tagged' END], lambda z: z IS NOT NULL)) AS measure, 'all' AS name FROM sheet
+      UNION ALL SELECT 'per_proposed_intent', proposed_primary FROM sheet
+      UNION ALL SELECT 'sampling_tag', sampling_tag FROM sheet) GROUP BY ALL"""
     names = [n for n, _ in FV.THEME_PATTERNS]
     out["theme_counts"] = with_(MESSAGES, tagged(FV.THEME_PATTERNS)) + f"""SELECT theme,
       (SELECT count(*) FROM g WHERE list_contains(CASE WHEN len(tags) = 0 THEN ['other'] ELSE tags END, theme)) AS n,
