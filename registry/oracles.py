@@ -6,6 +6,8 @@ Only fixed values (labels, patterns, word lists, texts) are shared. Views mirror
 
 from __future__ import annotations
 
+import re
+
 from registry import views as V
 from threadweave import fixed_values as FV
 
@@ -373,7 +375,8 @@ def filled(template: str, **parts: str) -> str:
     return out
 
 
-def draft_sql() -> str:
+def draft_parts() -> list[str]:
+    """From ``ev`` (example_id, r, ev_agent, agent_text) and ``msg`` (example_id, predicted_intent) to ``drafted``."""
     phrase = "replace(predicted_intent, '_', ' ')"
     first_q = "rtrim(questions[1], '?')"
     starts = re_cs(f"lower({first_q})", "^(" + "|".join(FV.DM_QUESTION_STARTS) + ")")
@@ -389,8 +392,7 @@ def draft_sql() -> str:
         f"THEN chr(10) || {filled(FV.STEPS_CONFIRM, ask=first_q)} ELSE '' END || "
         f"CASE WHEN any_dm THEN chr(10) || {q(FV.STEPS_DM_NOTE)} ELSE '' END"
     )
-    return with_(
-        FIVE,
+    return [
         f"use AS (SELECT *, trim(agent_text) AS agent FROM ev WHERE trim(agent_text) <> '')",
         snippet_steps("use", "agent"),
         f"""cue AS (SELECT *, {re_ci('agent', FV.DM_CUE)} AS dm, {re_ci('agent', FV.LINK_CUE)} AS link,
@@ -402,17 +404,80 @@ def draft_sql() -> str:
             string_agg(ev_agent, ',' ORDER BY r) FILTER (WHERE len(snippets) > 0 OR len(questions) > 0 OR dm) AS giving
             FROM cue GROUP BY example_id)""",
         f"per2 AS (SELECT *, {first_spellings('fs')} AS snippets, {first_spellings('fq')} AS questions FROM per)",
-        f"""msg AS (SELECT CAST(event_id AS VARCHAR) AS example_id, {pick(FV.TAXONOMY, 'event_id')} AS predicted_intent FROM events)""",
         """full_ AS (SELECT msg.example_id, predicted_intent, coalesce(n, 0) AS n, instructive, redirecting, any_dm,
             snippets, questions, all_ids, giving,
             CASE WHEN n IS NULL THEN 'insufficient_evidence'
               WHEN (instructive = 0 OR (redirecting >= instructive AND instructive <= greatest(1, n // 3)))
                 AND len(snippets) = 0 THEN 'dm_redirect' ELSE 'instructional' END AS draft_style
             FROM msg LEFT JOIN per2 USING (example_id))""",
-    ) + f"""SELECT example_id, draft_style,
+        f"""drafted AS (SELECT example_id, draft_style,
       CASE draft_style WHEN 'insufficient_evidence' THEN {filled(FV.NO_EVIDENCE_REPLY, intent=phrase)}
         WHEN 'dm_redirect' THEN {filled(FV.DM_REPLY, intent=phrase, ask=ask, brand=q(FV.BRAND_NAME))} ELSE {steps} END AS reply_text,
-      coalesce(giving, all_ids, '') AS cited FROM full_"""
+      coalesce(giving, all_ids, '') AS cited FROM full_)""",
+    ]
+
+
+RATES = """SELECT label AS predicted_intent, count(*) AS total,
+      count(*) FILTER (WHERE decision = 'escalate') AS escalate_count,
+      round(100.0 * count(*) FILTER (WHERE decision = 'escalate') / count(*), 6)::DOUBLE AS escalation_rate_pct FROM decided GROUP BY label"""
+
+
+def linear_parts(p: str, train: str, asked: str) -> list[str]:
+    """``{p}_predicted``: label and confidence of ``asked`` by coefficients counted over ``train``."""
+    t, b = f"{p}t", f"{p}b"
+    return [
+        grams_of(t, train, "customer_tweet_id", "customer_text"), vocab_of(t, train),
+        f"{p}_prior AS (SELECT weak_intent AS label, ln(count(*) / (SELECT count(*) FROM {train})::DOUBLE) AS intercept FROM {train} GROUP BY 1)",
+        f"""{p}_tl AS (SELECT term, weak_intent AS label, sum(tf) AS n FROM {t}_tf JOIN {t}_v USING (term)
+          JOIN {train} ON k = customer_tweet_id GROUP BY ALL)""",
+        f"""{p}_coef AS (SELECT term, label, 1.5 * ln(1.0 + (n * (SELECT sum(n) FROM {p}_tl)::DOUBLE)
+            / (sum(n) OVER (PARTITION BY term) * sum(n) OVER (PARTITION BY label))) AS weight FROM {p}_tl)""",
+        grams_of(b, asked, "example_id", "customer_text"), weights_of(b, f"{t}_v"),
+        f"""{p}_lin AS (SELECT example_id, r.label, intercept + coalesce(v, 0) AS s FROM {asked} CROSS JOIN {p}_prior r
+          LEFT JOIN (SELECT k, label, sum(w * weight) AS v FROM {b}_w JOIN {p}_coef USING (term) GROUP BY ALL) f
+          ON f.k = example_id AND f.label = r.label)""",
+        f"""{p}_soft AS (SELECT example_id, label, s, exp(s - m0) / sum(exp(s - m0)) OVER (PARTITION BY example_id) AS share,
+            rank() OVER (PARTITION BY example_id ORDER BY label) AS place
+          FROM (SELECT *, max(s) OVER (PARTITION BY example_id) AS m0 FROM {p}_lin))""",
+        f"""{p}_predicted AS (SELECT {asked}.*, x.predicted_intent, x.classifier_confidence FROM {asked} JOIN (
+          SELECT example_id, max(share) AS classifier_confidence, arg_max(label, (round(s, 9), -place)) AS predicted_intent
+          FROM {p}_soft GROUP BY example_id) x USING (example_id))""",
+    ]
+
+
+def self_training_sql() -> str:
+    return with_(
+        *LABELLED, TRAIN,
+        "open_rows AS (SELECT customer_tweet_id AS example_id, customer_text FROM weak WHERE weak_intent IS NULL AND trim(customer_text) <> '')",
+        *linear_parts("f", "train", "open_rows"),
+        "added AS (SELECT example_id, predicted_intent AS first_label, customer_text FROM f_predicted WHERE classifier_confidence >= 0.95)",
+        """more AS (SELECT customer_tweet_id, customer_text, weak_intent FROM train
+          UNION ALL SELECT example_id, customer_text, first_label FROM added)""",
+        *linear_parts("s", "more", "open_rows"),
+    ) + """SELECT example_id AS customer_tweet_id, first_label, predicted_intent, round(classifier_confidence, 6) AS classifier_confidence
+      FROM s_predicted LEFT JOIN (SELECT example_id, first_label FROM added) USING (example_id)"""
+
+
+def scoring_parts(retrieve: bool = True) -> list[str]:
+    """Conversation messages with a weak label: scored by a coefficient table, answered from evidence; ends in ``x``."""
+    again = re.sub(r"\bw(\d)\b", r"tw\1", weak("pairs")).replace("weak AS", "tweak AS")
+    parts = [
+        RAW_POSTS, SECONDS_PAIRS, *LABELLED, TRAIN, again,
+        """asked AS (SELECT agent_tweet_id AS example_id, customer_tweet_id, customer_text, weak_intent AS annotator_label
+          FROM tweak WHERE weak_intent IS NOT NULL)""",
+        *linear_parts("f", "train", "asked"),
+    ]
+    if not retrieve:
+        return parts
+    return parts + [
+        "corpus AS (SELECT customer_tweet_id || chr(31) || agent_tweet_id AS did, customer_text FROM pairs)",
+        topk("corpus", "did", "customer_text", "asked", "example_id", "customer_text", 5, "customer_tweet_id"),
+        """ev AS (SELECT query_id AS example_id, rank AS r, pairs.agent_tweet_id AS ev_agent, pairs.agent_text, score AS similarity
+          FROM ranked JOIN pairs ON doc = pairs.customer_tweet_id || chr(31) || pairs.agent_tweet_id)""",
+        "msg AS (SELECT example_id, predicted_intent FROM f_predicted)", *draft_parts(),
+        """x AS (SELECT f_predicted.*, (SELECT max(similarity) FROM ev WHERE ev.example_id = f_predicted.example_id) AS top_similarity,
+          draft_style AS reply_status, reply_text FROM f_predicted JOIN drafted USING (example_id))""",
+    ]
 
 
 # --- judging ---------------------------------------------------------------------------------
@@ -768,17 +833,23 @@ def build() -> dict[str, str]:
     snip = with_(RAW_POSTS, SECONDS_PAIRS, snippet_steps("pairs", "agent_text"))
     out["instruction_snippets"] = snip + "SELECT agent_tweet_id, array_to_string(snippets, '|') AS snippets FROM sn"
     out["clarifying_questions"] = snip + "SELECT agent_tweet_id, array_to_string(questions, '|') AS questions FROM sn"
-    out["draft_replies"] = draft_sql()
+    asking = f"msg AS (SELECT CAST(event_id AS VARCHAR) AS example_id, {pick(FV.TAXONOMY, 'event_id')} AS predicted_intent FROM events)"
+    out["draft_replies"] = with_(FIVE, asking, *draft_parts()) + "SELECT * FROM drafted"
     sim_text = "CASE WHEN top_similarity IS NULL THEN 'None' ELSE printf('%.4f', top_similarity) END"
-    out["escalation_decisions"] = with_(POLICY, RULING) + f"""SELECT example_id, decision, reason_code,
-      CASE reason_code WHEN {q(FV.REASON_UNCLEAR[0])} THEN {q(FV.REASON_UNCLEAR[1])}
+    reason = f"""CASE reason_code WHEN {q(FV.REASON_UNCLEAR[0])} THEN {q(FV.REASON_UNCLEAR[1])}
         WHEN {q(FV.REASON_LOW_CONFIDENCE[0])} THEN printf({q(FV.REASON_LOW_CONFIDENCE[1])}, classifier_confidence, 0.65::DOUBLE)
         WHEN {q(FV.REASON_WEAK_RETRIEVAL[0])} THEN printf({q(FV.REASON_WEAK_RETRIEVAL[1])}, {sim_text}, 0.30::DOUBLE)
         WHEN {q(FV.REASON_WEAK_REPLY[0])} THEN {q(FV.REASON_WEAK_REPLY[1])}
-        WHEN {q(FV.REASON_HANDOFF[0])} THEN {q(FV.REASON_HANDOFF[1])} ELSE {q(FV.REASON_AUTO[1])} END AS reason FROM decided"""
-    out["escalation_rates"] = with_(POLICY, RULING) + """SELECT label AS predicted_intent, count(*) AS total,
-      count(*) FILTER (WHERE decision = 'escalate') AS escalate_count,
-      round(100.0 * count(*) FILTER (WHERE decision = 'escalate') / count(*), 6)::DOUBLE AS escalation_rate_pct FROM decided GROUP BY label"""
+        WHEN {q(FV.REASON_HANDOFF[0])} THEN {q(FV.REASON_HANDOFF[1])} ELSE {q(FV.REASON_AUTO[1])} END AS reason"""
+    out["escalation_decisions"] = with_(POLICY, RULING) + f"SELECT example_id, decision, reason_code, {reason} FROM decided"
+    chain = with_(*scoring_parts(), RULING)
+    out["linear_predictions"] = with_(*scoring_parts(retrieve=False)) + """SELECT example_id, annotator_label, predicted_intent,
+      round(classifier_confidence, 6) AS classifier_confidence FROM f_predicted"""
+    out["self_training"] = self_training_sql()
+    out["score_messages"] = chain + f"""SELECT example_id, predicted_intent, round(classifier_confidence, 6) AS classifier_confidence,
+      round(top_similarity, 6) AS top_similarity, reply_status, reply_text, decision, reason_code, {reason} FROM decided"""
+    out["scoring_report"] = chain + RATES
+    out["escalation_rates"] = with_(POLICY, RULING) + RATES
     for name, column in (("reason_code_shares", "reason_code"), ("decision_shares", "decision")):
         out[name] = with_(POLICY, RULING) + f"""SELECT {column}, count(*) AS n,
           round(100.0 * count(*) / (SELECT count(*) FROM decided), 6)::DOUBLE AS pct FROM decided GROUP BY {column}"""

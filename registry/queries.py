@@ -20,6 +20,7 @@ from threadweave.functions.policy import decide_escalation, top_similarity
 from threadweave.functions.tokens import adjacent_pairs, char_grams, fold_accents, word_tokens
 from threadweave.operators import classifiers as C
 from threadweave.operators import metrics as M
+from threadweave.operators.linear import fit_associations
 from threadweave.operators import pairs as A
 from threadweave.operators import profile as E
 from threadweave.operators import retrieval as RT
@@ -548,11 +549,14 @@ def train_svm(spark, folder):
 
 @query
 def self_training(spark, folder):
-    """Rows the rules left open that a first model labels with confidence."""
+    """Rows the rules left open, as a second model labels them that learnt from the first one's confident labels."""
     rows = cut_lineage(_labelled(spark, folder))
-    model = C.fit_logreg(C.load_weak_training(rows))
-    added = C.pseudo_labels(model, rows.filter("weak_intent IS NULL"))
-    return added.select("customer_tweet_id", "weak_intent")
+    open_rows = rows.filter("weak_intent IS NULL")
+    second, added = C.self_train(C.load_weak_training(rows), open_rows, fit=fit_associations)
+    scored = second.predict(open_rows.drop("weak_intent")).join(
+        added.select("customer_tweet_id", F.col("weak_intent").alias("first_label")), "customer_tweet_id", "left"
+    )
+    return rounded(scored.select("customer_tweet_id", "first_label", "predicted_intent", "classifier_confidence"), "classifier_confidence")
 
 
 # --- replies, policy, judging ---------------------------------------------------------------
@@ -622,6 +626,26 @@ def lowest_similarity(spark, folder):
     return M.lowest_rows(V.policy_inputs(spark, folder), "top_similarity").select("example_id", "top_similarity")
 
 
+def _scorer(spark, folder):
+    """Coefficients of the weakly labelled messages, in closed form."""
+    return fit_associations(C.load_weak_training(_training_rows(spark, folder)))
+
+
+def _truth(spark, folder, pairs):
+    return W.weak_labels(pairs).filter("weak_intent IS NOT NULL").select(
+        F.col("agent_tweet_id").alias("example_id"), "customer_tweet_id", "customer_text",
+        F.col("weak_intent").alias("annotator_label"),
+    )
+
+
+@query
+def linear_predictions(spark, folder):
+    """Label and confidence of conversation messages by joins with a coefficient table."""
+    pairs = cut_lineage(A.support_pairs(V.posts(spark, folder), V.BRAND))
+    scored = _scorer(spark, folder).predict(_truth(spark, folder, pairs))
+    return rounded(scored.select("example_id", "annotator_label", "predicted_intent", "classifier_confidence"), "classifier_confidence")
+
+
 def _scored(spark, folder):
     """Conversation messages through the whole chain, none retrieving itself.
 
@@ -629,12 +653,7 @@ def _scored(spark, folder):
     the figures say how well it imitates the rules.
     """
     pairs = cut_lineage(A.support_pairs(V.posts(spark, folder), V.BRAND))
-    model = C.fit_logreg(C.load_weak_training(_training_rows(spark, folder)))
-    truth = W.weak_labels(pairs).filter("weak_intent IS NOT NULL").select(
-        F.col("agent_tweet_id").alias("example_id"), "customer_tweet_id", "customer_text",
-        F.col("weak_intent").alias("annotator_label"),
-    )
-    return runs.score_messages(truth, model, RT.build_index(pairs))
+    return runs.score_messages(_truth(spark, folder, pairs), _scorer(spark, folder), RT.build_index(pairs))
 
 
 @query

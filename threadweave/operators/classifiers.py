@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -192,10 +192,10 @@ def split_rows(rows: DataFrame, key: str, fraction: float = FV.VALIDATION_FRACTI
 
 
 def pseudo_labels(
-    model: IntentModel, unlabelled: DataFrame, text: str = "customer_text",
+    model, unlabelled: DataFrame, text: str = "customer_text",
     threshold: float = FV.PSEUDO_LABEL_CONFIDENCE,
 ) -> DataFrame:
-    """M15. Confident predictions on rows without a label."""
+    """M15. Confident predictions on rows without a label, of any model with ``predict``."""
     scored = model.predict(unlabelled.drop("weak_intent"), text)
     kept = [c for c in unlabelled.columns if c != "weak_intent"]
     return scored.filter(F.col("classifier_confidence") >= threshold).select(
@@ -205,10 +205,11 @@ def pseudo_labels(
 
 def self_train(
     labelled: DataFrame, unlabelled: DataFrame, text: str = "customer_text",
-    threshold: float = FV.PSEUDO_LABEL_CONFIDENCE, **fit_options,
+    threshold: float = FV.PSEUDO_LABEL_CONFIDENCE, fit: Callable | None = None, **fit_options,
 ) -> tuple[IntentModel, DataFrame]:
-    """M15. Fit, add confident predictions, fit again."""
-    first = fit_logreg(labelled, text, **fit_options)
+    """M15. Fit, add confident predictions, fit again; by logistic regression unless another ``fit`` is given."""
+    fit = fit or fit_logreg
+    first = fit(labelled, text, **fit_options)
     added = pseudo_labels(first, unlabelled, text, threshold)
     keep = [c for c in labelled.columns if c in added.columns]
-    return fit_logreg(labelled.select(*keep).unionByName(added.select(*keep)), text, **fit_options), added
+    return fit(labelled.select(*keep).unionByName(added.select(*keep)), text, **fit_options), added

@@ -14,6 +14,7 @@ from threadweave.functions.policy import decide_escalation, top_similarity
 from threadweave.functions.reply import draft_replies
 from threadweave.operators import classifiers as C
 from threadweave.operators import metrics as M
+from threadweave.operators.linear import LinearScorer
 from threadweave.operators.pairs import pair_quality_counters, support_pairs
 from threadweave.operators.retrieval import RetrievalIndex, evidence_arrays, retrieve_similar
 from threadweave.operators.threads import assign_conversation_ids, brand_conversations, conversation_table
@@ -105,7 +106,7 @@ def evaluate_models(first: C.IntentModel, second: C.IntentModel, golden: DataFra
 
 
 def score_messages(
-    messages: DataFrame, model: C.IntentModel, index: RetrievalIndex, key: str = "example_id",
+    messages: DataFrame, model: C.IntentModel | LinearScorer, index: RetrievalIndex, key: str = "example_id",
     text: str = "customer_text", k: int = 5, confidence_threshold: float = FV.CONFIDENCE_THRESHOLD,
     similarity_threshold: float = FV.SIMILARITY_THRESHOLD,
 ) -> DataFrame:
