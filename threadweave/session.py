@@ -66,10 +66,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.parquet(folder)
+    note_written(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def note_written(folder: str) -> str:
+    """Have ``drop_written`` remove this folder too."""
     if not _WRITTEN:
         atexit.register(drop_written)
     _WRITTEN.append(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return folder
 
 
 def drop_written(spark: SparkSession | None = None) -> int:
