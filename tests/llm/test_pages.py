@@ -188,6 +188,13 @@ def test_archive_round_trip(spark, posts, tmp_path):
     assert sorted(key(r[n] for n in names) for r in got) == sorted(map(key, want))
 
 
+def test_every_file_has_a_reading_task_of_its_own_partition(spark, posts, tmp_path):
+    manifest = warc.archive_pages(posts(pages_rows(), PAGES).repartition(5), str(tmp_path / "a"), shard_bytes=600, file_bytes=400).collect()
+    got = warc.read_archives(spark, str(tmp_path / "a"))
+    assert got.rdd.getNumPartitions() == len(manifest) > 5
+    assert warc.qualified(spark, str(tmp_path / "a")) == f"file:{tmp_path}/a" == warc.qualified(spark, f"file://{tmp_path}/a")
+
+
 def test_archives_are_the_same_bytes_for_the_same_table(posts, tmp_path):
     for name, parts in (("a", 2), ("b", 7)):
         warc.archive_pages(posts(pages_rows(), PAGES).repartition(parts), str(tmp_path / name), shard_bytes=600, file_bytes=400)

@@ -23,7 +23,7 @@ from threadweave.llm.token_counts import count_post_tokens
 from threadweave.llm.url_filter import LinkRule, filter_links
 from threadweave.llm.vector_dedup import near_duplicate_vectors
 from threadweave.llm.warc import archive_pages, read_archives
-from threadweave.session import checkpoint_folder, import_on_workers
+from threadweave.session import checkpoint_folder, import_on_workers, note_written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,7 +91,7 @@ def op8_quality_rules(spark, folder):
 
 @query
 def op9_warc(spark, folder):
-    archive = f"{checkpoint_folder(spark)}/archives/{uuid.uuid4().hex}"
+    archive = note_written(f"{checkpoint_folder(spark)}/archives/{uuid.uuid4().hex}")
     archive_pages(table(spark, folder, "pages"), archive)
     return read_archives(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -14,6 +14,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadweave.llm.salting import salted_join
 from threadweave.schema import require_columns
 from threadweave.session import cut_lineage
 
@@ -71,15 +72,21 @@ def page_record(page_id, url, payload, payload_bytes: int, hex_digest: str, refe
     return _record(REVISIT, fields, block)
 
 
-def shard_of(rows: DataFrame, id_column: str, size_column: str, shard_bytes: int) -> Column:
-    """The shard of a row: consecutive id ranges of about ``shard_bytes``, the same in every run.
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as Spark would take it, so that tasks write where Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def shard_of(rows: DataFrame, id_column: str, size_column: str, shard_bytes: int) -> tuple[Column, int]:
+    """The shard of a row, and how many there are: consecutive id ranges of about ``shard_bytes``, the same in every run.
 
     Ids are counted in equal ranges; a range heavier than a shard is divided further, until it fits or
     holds one id. The driver sees at most ``SPLITS`` counts for each heavy range.
     """
     low, high = rows.agg(F.min(id_column), F.max(id_column)).first()
     if low is None:
-        return F.lit(0)
+        return F.lit(0), 1
     ranges, heavy = [], [(int(low), int(high))]
     while heavy:
         width_of = [max(1, -(-(b - a + 1) // SPLITS)) for a, b in heavy]
@@ -103,7 +110,7 @@ def shard_of(rows: DataFrame, id_column: str, size_column: str, shard_bytes: int
             starts.append(a)
         filled += n
     bounds = F.array(*[F.lit(s).cast("bigint") for s in starts[1:]]) if len(starts) > 1 else F.expr("cast(array() as array<bigint>)")
-    return F.coalesce(F.size(F.filter(bounds, lambda s: s <= F.col(id_column))), F.lit(0))
+    return F.coalesce(F.size(F.filter(bounds, lambda s: s <= F.col(id_column))), F.lit(0)), len(starts)
 
 
 def archive_pages(
@@ -130,6 +137,7 @@ def archive_pages(
     empty table gives an empty manifest.
     """
     require_columns(pages, [id_column, url_column, payload_column], "pages")
+    folder = qualified(pages.sparkSession, folder)
     payload = F.coalesce(F.col(payload_column).cast("string"), F.lit(""))
     rows = pages.select(
         F.col(id_column).cast("bigint").alias("page_id"), F.col(url_column).cast("string").alias("url"),
@@ -144,18 +152,18 @@ def archive_pages(
     )
     # Payloads are shuffled once: which page is a revisit travels as narrow rows to the same shard, each
     # sorted right before the page it is about.
-    revisits = facts.join(shared, "digest").filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(
+    revisits = salted_join(facts, shared, ["digest"], ["page_id"]).filter(~F.col("page_id").eqNullSafe(F.col("first_id"))).select(
         "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("payload"), "payload_bytes",
         "digest", F.col("first_id").alias("refers_to"),
     )
-    shard = shard_of(facts, "page_id", "payload_bytes", shard_bytes).alias("shard")
+    shard, n_shards = shard_of(facts, "page_id", "payload_bytes", shard_bytes)
     laid_out = (
-        rows.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(revisits).select("*", shard)
-        .repartition("shard")
+        rows.withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(revisits).select("*", shard.alias("shard"))
+        .repartition(n_shards, "shard")
         .sortWithinPartitions("shard", "page_id", "digest", F.col("refers_to").asc_nulls_last(), "url")
     )
     manifest = cut_lineage(laid_out.mapInArrow(_writer(folder, file_bytes, archived_at), MANIFEST_FIELDS))
-    committed = cut_lineage(manifest.repartition("name").mapInArrow(_committer(folder), MANIFEST_FIELDS))
+    committed = cut_lineage(manifest.repartition(max(1, manifest.count()), "name").mapInArrow(_committer(folder), MANIFEST_FIELDS))
     listed = committed.drop("temporary")
     listed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
     return listed
@@ -296,6 +304,8 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
                     **({"payload": None if payload is None else payload.decode()} if with_payload else {}),
                 }
 
+    folder = qualified(spark, folder)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = file_system(folder)
         for batch in batches:
@@ -305,4 +315,4 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = False)
                     yield pa.RecordBatch.from_pylist(part, schema)
 
     files = spark.read.parquet(f"{folder}/manifest").select("name")
-    return files.repartition("name").mapInArrow(read, fields)
+    return files.repartition(max(1, files.count()), "name").mapInArrow(read, fields)
