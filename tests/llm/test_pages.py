@@ -134,6 +134,60 @@ def test_cut_equals_brute_force():
         assert cost(HT.source_side(content, boilerplate, edges)) == best
 
 
+LONG = "The line between the two towns was closed for most of the day, and those who had to travel were sent round by bus, which took hours."
+NAMES = ["reader-view", "post tags-politics", "notice-board-story", "content share-enabled", "entry", "comments", "sidebar", "ad", "page search"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_long_prose_survives_any_class_name(name):
+    body = "".join(f"<p>{k} {LONG}</p>" for k in range(12))
+    page = f'<body><nav><a href=/>Home</a></nav><div class="{name}"><p>Short one.</p>{body}<div class="ad">Buy two, pay one.</div></div><div class="comments"><p>{LONG}</p></div><footer>c</footer>'
+    assert HT.main_text(page) == " ".join(["Short one."] + [f"{k} {LONG}" for k in range(12)])
+
+
+def test_long_comments_go_and_formulas_stay():
+    page = f"<div id=wrap-search><div><p>{LONG}</p><p>{LONG}</p></div><div class=user-comments>{f'<p>{LONG}</p>' * 9}</div></div>"
+    assert HT.main_text(page) == f"{LONG} {LONG}"
+    assert HT.main_text("<p>The sum <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>a+b</annotation></math> is even.</p>") == "The sum a+b is even."
+
+
+def overturned(page):
+    read = HT.page_of(page)
+    weights = HT.name_weights(read)
+    signs = [HT.log_odds(b, weights[b.named]) > 0 for b in read.blocks]
+    return [(b.text, keep) for b, sign, keep in zip(read.blocks, signs, HT.content_blocks(read)) if sign != keep]
+
+
+def test_the_cut_overturns_the_classifier_both_ways():
+    items = "".join(f"<li>{k} {LONG}</li>" for k in range(3))
+    assert overturned(f"<article><ul>{items}<li><a href=/x>Its map</a></li>{items}</ul></article>") == [("Its map", True)]
+    links = "".join(f"<div><a href=/{k}>Page {k}</a></div>" for k in range(4))
+    assert overturned(f"<p>{LONG}</p><section>{links}<div>Page 5</div>{links}</section>") == [("Page 5", False)]
+
+
+def test_whole_pages_equal_the_labelling_of_least_cost():
+    rng = random.Random(11)
+    for _ in range(150):
+        page, n = "", rng.randint(1, 9)
+        for k in range(n):
+            text = " ".join(rng.choice(["<a href=/>more</a>", "word", "said, then", "it."]) for _ in range(rng.randint(1, 12)))
+            tag = rng.choice(["p", "li", "div", "h2", "div class=ad", "div class=reader-view", "aside", "article", "section"])
+            page += f"<{tag}>{text}" + (f"</{tag.split()[0]}>" if rng.random() < 0.6 else "")
+        read, flow = HT.page_of(page), {}
+        real, HT.source_side = HT.source_side, lambda *costs: flow.setdefault("costs", costs) and real(*costs)
+        try:
+            labels = HT.content_blocks(read)
+        finally:
+            HT.source_side = real
+        content, boilerplate, edges = flow["costs"]
+
+        def cost(labels):
+            return sum(boilerplate[k] if keep else content[k] for k, keep in enumerate(labels)) + sum(w for a, b, w in edges if labels[a] != labels[b])
+
+        assert cost(labels) == min(map(cost, itertools.product((False, True), repeat=len(read.blocks))))
+        assert HT.main_text(page) == " ".join(b.text for b, keep in zip(read.blocks, labels) if keep)
+
+
 def test_long_and_broken_pages_are_read_whole():
     page = "".join(f"<p>sentence number {k} is here.</p><div class=ad>buy {k}</div>" for k in range(5000))
     assert HT.main_text(page) == " ".join(f"sentence number {k} is here." for k in range(5000))
@@ -146,7 +200,7 @@ def test_long_attributes_and_many_attributes_hold_any_character():
         many = " ".join(f'a{k}="v"' for k in range(300))
         assert HT.main_text(f"<article><p {many} data-props='{value}'>Only this text is shown.</p></article>") == "Only this text is shown."
     assert HT.main_text('<p title="open>Shown to all readers.</p>') == "Shown to all readers."
-    assert "".join(b.text for b in HT.blocks_of("<p>" + '<i ">"' * 20_000 + "'")) == '"' * 20_000 + "'"
+    assert "".join(b.text for b in HT.page_of("<p>" + '<i ">"' * 20_000 + "'").blocks) == '"' * 20_000 + "'"
 
 
 def test_extract_rows(posts):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from threadweave.schema import require_columns
 
 # Fixed: elements of HTML by what they do to text.
-RAW = frozenset("script style title textarea noscript template iframe svg math select option object canvas audio video".split())
+RAW = frozenset("script style title textarea noscript template iframe svg select annotation annotation-xml canvas audio video".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "html body address article aside blockquote button center dd details dialog div dl dt fieldset figcaption figure footer"
@@ -33,6 +33,12 @@ BOILERPLATE_WORDS = frozenset(
     " notices notification pager pagination popup promo promotion related reply respond search share sharing sidebar signup"
     " skip social sponsor sponsored subscribe tags toolbar toc warning widget alert gdpr paywall reader responses feedback".split()
 )
+# What a name is made of besides says where or how an element stands, not what it holds.
+NEUTRAL_WORDS = frozenset(
+    "area bar block body bottom box center col column container content group holder id inner item items left list main outer page"
+    " panel post right row section site slot text the top unit user wrap wrapper".split()
+)
+CONTENT_WORDS = frozenset("article content entry main post prose story".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 # Comments and the like as a whole; of a tag only its start, its attributes are read by TagEnds.
@@ -41,12 +47,16 @@ STOPS = re.compile("[>\"']")
 HINTS = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 WORD_PARTS = re.compile(r"[a-z]+")
 
-# Weights of the block classifier: log-odds of being content. Set by hand from what the elements mean.
+# Weights of the block classifier: log-odds of being content, set by hand. What HTML itself declares to be no main
+# text (menus, forms, hidden parts) outweighs all else together. A name does so only if it says nothing else, as
+# "comments" does; half a name, as in "reader-view", weighs less than one long paragraph says by itself.
 WEIGHTS = {
     "bias": 0.4, "paragraph": 1.0, "heading": 0.2, "list_item": -0.2, "link_share": -4.0, "words": 2.0,
-    "sentence": 0.6, "content_container": 4.0, "boilerplate_container": -12.0,
+    "sentence": 0.6, "punctuation": 0.5, "content_container": 1.5, "name": -7.0, "declared": -9.0,
 }
 FULL_WORDS = 30  # words from which on more words say nothing more
+FULL_MARKS = 3  # the same for punctuation inside a block
+LONG_TEXT, ENOUGH_TEXT = 60, 40  # words: an element this long may be the article; what an article has at least elsewhere
 ADJACENT, SIBLING, FAR = 0.6, 0.8, 0.1
 SCALE = 1000  # capacities are whole numbers, so that flows are exact
 
@@ -59,7 +69,26 @@ class Block:
     container: int  # the nearest structural element, by number
     depth: int
     content: bool
-    boilerplate: bool
+    declared: bool  # inside an element that HTML declares to hold no main text
+    named: int = 0  # the innermost element around it whose name speaks against it, by place in Page.named
+
+    @property
+    def words(self) -> int:
+        return self.text.count(" ") + 1
+
+
+@dataclass(slots=True)
+class Named:
+    """An element whose class or id speaks against it: how strongly (0 to 1), and the next such element around it."""
+
+    strength: float
+    around: int
+
+
+@dataclass(slots=True)
+class Page:
+    blocks: list[Block]
+    named: list[Named]  # the first stands for the page
 
 
 class TagEnds:
@@ -90,30 +119,49 @@ class TagEnds:
         return self.page.find(">", at)
 
 
-def is_boilerplate(tag: str, attributes: str) -> bool:
-    """Whether an element's name, class, id or role says that it holds no main text."""
+def hints_of(attributes: str) -> Iterator[tuple[str, str]]:
+    for found in HINTS.finditer(attributes):
+        yield found[1].lower(), (found[2] or found[3] or found[4] or "").lower()
+
+
+def is_declared(tag: str, attributes: str) -> bool:
+    """Whether an element's tag, role or visibility says that it holds no main text."""
     if tag in BOILERPLATE_TAGS:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    for found in HINTS.finditer(attributes):
-        name, value = found[1].lower(), (found[2] or found[3] or found[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "role" and value.strip() in BOILERPLATE_ROLES:
-            return True
-        if name in ("class", "id") and not BOILERPLATE_WORDS.isdisjoint(WORD_PARTS.findall(value)):
-            return True
-    return False
-
-
-def blocks_of(page: str) -> list[Block]:
+    return any(
+        name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.strip() in BOILERPLATE_ROLES)
+        or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) is not None)
+        for name, value in hints_of(attributes)
+    )
+
+
+def name_evidence(tag: str, attributes: str) -> tuple[float, bool]:
+    """How strongly an element's names speak against main text (0 to 1), and whether one speaks for it.
+
+    Of each name counts which share of its words, neutral ones aside, stands for boilerplate.
+    """
+    against, favour = 0.0, False
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return against, favour
+    for name, value in hints_of(attributes):
+        if name in ("class", "id"):
+            for token in value.split():
+                words = WORD_PARTS.findall(token)
+                bad = sum(w in BOILERPLATE_WORDS for w in words)
+                if bad:
+                    against = max(against, bad / sum(w not in NEUTRAL_WORDS for w in words))
+                favour = favour or (len(words) == 1 and words[0] in CONTENT_WORDS)
+    return against, favour
+
+
+def page_of(page: str) -> Page:
     """The page's text blocks in order, with character references decoded and white space single."""
     blocks: list[Block] = []
-    # open structural elements: tag, number, content, boilerplate
-    stack: list[tuple[str, int, bool, bool]] = [("html", 0, False, False)]
+    named = [Named(0.0, 0)]
+    # open structural elements: tag, number, content, declared, named
+    stack: list[tuple[str, int, bool, bool, int]] = [("html", 0, False, False, 0)]
     parts: list[str] = []
     linked, in_link, number, at = 0, False, 0, 0
     tag_of_text = "html"
@@ -123,8 +171,8 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                _, container, content, boilerplate = stack[-1]
-                blocks.append(Block(text, tag_of_text, min(1.0, linked / len(text)), container, len(stack), content, boilerplate))
+                _, container, content, declared, name_at = stack[-1]
+                blocks.append(Block(text, tag_of_text, min(1.0, linked / len(text)), container, len(stack), content, declared, name_at))
             parts.clear()
         linked = 0
 
@@ -184,50 +232,83 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             if name not in VOID:
                 number += 1
-                _, _, content, boilerplate = stack[-1]
+                _, _, content, declared, name_at = stack[-1]
                 # A page's own header is boilerplate, an article's is not.
                 header = name == "header" and not content
-                stack.append((
-                    name, number, content or name in CONTENT_TAGS, boilerplate or header or is_boilerplate(name, attributes)
-                ))
+                against, favour = name_evidence(name, attributes)
+                if against:
+                    named.append(Named(against, name_at))
+                    name_at = len(named) - 1
+                declared = declared or header or is_declared(name, attributes)
+                stack.append((name, number, content or favour or name in CONTENT_TAGS, declared, name_at))
                 tag_of_text = name
     flush()
-    return blocks
+    return Page(blocks, named)
 
 
-def log_odds(block: Block) -> float:
-    """The classifier: how much more likely content than boilerplate, from the block alone."""
-    words = block.text.count(" ") + 1
+def name_weights(page: Page) -> list[float]:
+    """For every named element how much its own and the outer names say against its text, 0 to 1.
+
+    An element with more than half of the page's text is no addition to it: while less than ``ENOUGH_TEXT`` words lie
+    outside, its name counts in proportion to them. This goes from the outermost such element inwards.
+    """
+    own = [0] * len(page.named)
+    for b in page.blocks:
+        if not b.declared and b.link_share < 0.5:
+            own[b.named] += b.words
+    inside = own[:]
+    largest = [0] * len(own)
+    for k in range(len(own) - 1, 0, -1):  # an element comes after those around it
+        around = page.named[k].around
+        inside[around] += inside[k]
+        if not largest[around] or inside[k] >= inside[largest[around]]:
+            largest[around] = k
+    strength = [n.strength for n in page.named]
+    outside, at = own[0], largest[0]
+    while at and outside < ENOUGH_TEXT and inside[at] >= LONG_TEXT and 2 * inside[at] > inside[0]:
+        strength[at] *= outside / ENOUGH_TEXT
+        outside += own[at]
+        at = largest[at]
+    for k in range(1, len(strength)):
+        strength[k] = min(1.0, strength[k] + strength[page.named[k].around])
+    return strength
+
+
+def log_odds(block: Block, name_weight: float) -> float:
+    """The classifier: how much more likely content than boilerplate, from the block and its elements alone."""
     w = WEIGHTS
+    marks = sum(block.text.count(c) for c in ",.;:!?")
     return (
-        w["bias"] + w["words"] * min(words, FULL_WORDS) / FULL_WORDS + w["link_share"] * block.link_share
+        w["bias"] + w["words"] * min(block.words, FULL_WORDS) / FULL_WORDS + w["link_share"] * block.link_share
         + w["paragraph"] * (block.tag in ("p", "blockquote", "pre")) + w["heading"] * (block.tag in HEADINGS)
         + w["list_item"] * (block.tag == "li") + w["sentence"] * (block.text[-1] in ".!?:;\"')”»…")
-        + w["content_container"] * block.content + w["boilerplate_container"] * block.boilerplate
+        + w["punctuation"] * min(marks, FULL_MARKS) / FULL_MARKS + w["content_container"] * block.content
+        + w["name"] * name_weight + w["declared"] * block.declared
     )
 
 
-def content_blocks(blocks: list[Block]) -> list[bool]:
+def content_blocks(page: Page) -> list[bool]:
     """The labelling of least cost.
 
     A block's classifier costs are its terminal capacities. Smoothness edges join neighbours in page
     order, weaker across containers, and consecutive blocks of one parent's parent (DOM proximity).
     """
-    odds = [log_odds(b) for b in blocks]
+    blocks, against = page.blocks, name_weights(page)
+    odds = [log_odds(b, against[b.named]) for b in blocks]
     as_content = [round(SCALE * math.log1p(math.exp(min(30.0, x)))) for x in odds]  # cost of saying boilerplate
     as_boilerplate = [round(SCALE * math.log1p(math.exp(min(30.0, -x)))) for x in odds]
     edges: list[tuple[int, int, int]] = []
-    last_at_depth: dict[tuple[int, bool, bool], int] = {}
+    last_in_place: dict[tuple[int, bool, bool, int], int] = {}
     for k, b in enumerate(blocks):
+        place = (b.depth, b.content, b.declared, b.named)
         if k:
             a = blocks[k - 1]
-            alike = (a.content, a.boilerplate) == (b.content, b.boilerplate)
+            alike = (a.content, a.declared, a.named) == place[1:]
             edges.append((k - 1, k, round(SCALE * (ADJACENT if alike else FAR))))
-        near = (b.depth, b.content, b.boilerplate)
-        before = last_at_depth.get(near)
+        before = last_in_place.get(place)
         if before is not None:
             edges.append((before, k, round(SCALE * SIBLING / (1 + 0.1 * (k - before)))))
-        last_at_depth[near] = k
+        last_in_place[place] = k
     return source_side(as_content, as_boilerplate, edges)
 
 
@@ -297,8 +378,8 @@ def source_side(from_source: list[int], to_sink: list[int], edges: list[tuple[in
 
 def main_text(page: str) -> str:
     """The content blocks of a page joined by one space."""
-    blocks = blocks_of(page)
-    return " ".join(b.text for b, keep in zip(blocks, content_blocks(blocks)) if keep)
+    read = page_of(page)
+    return " ".join(b.text for b, keep in zip(read.blocks, content_blocks(read)) if keep)
 
 
 def extract_main_text(
@@ -309,7 +390,8 @@ def extract_main_text(
     The library's posts hold no HTML, so this takes any table with an id, a url and a page. A page
     becomes text blocks with character references decoded and white space single; a classifier gives each
     block its cost as content and as boilerplate, and a minimum cut labels all blocks of the page at
-    once. Content blocks are joined in order by one space; nothing else is dropped, whatever the length.
+    once. An element's class and id are one bounded feature among those of the text, so that long prose
+    stays under any name. Content blocks are joined in order by one space; nothing else is dropped, whatever the length.
 
     Null or empty pages, and pages without content: empty text, 0 characters. Unclosed tags, comments and
     scripts are read as browsers do. Null ids and repeated rows stay; other columns are not read; an
