@@ -4,6 +4,8 @@ import base64
 import hashlib
 import itertools
 import random
+import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import pytest
@@ -78,18 +80,104 @@ def test_few_labels_of_many_links_reject_a_pure_template(posts):
     assert {(r["verdict"], round(r["purity"], 3)) for r in got} == {("block", round(12 / 14, 3))}
 
 
-@pytest.mark.parametrize("levels", [3, 8])
-def test_links_that_differ_from_the_fourth_segment_on_are_judged_apart(posts, levels):
+def test_links_that_differ_from_the_fourth_segment_on_are_judged_apart(posts):
     stem = "http://h.org/en/blog/2024"
     rules = [UF.LinkRule("block", "h.org", f"/en/blog/2024/casino/x/{k}") for k in range(5)]
     rules += [UF.LinkRule("allow", "h.org", f"/en/blog/2024/news2/y/{k}") for k in range(5)]
     urls = [f"{stem}/{kind}/{k}" for kind in ("casino/x", "news2/y") for k in range(60)] + [f"{stem}/$/deep/" + "/".join("abcdefghijkl")]
-    got = UF.filter_links(posts([(u, u) for u in urls], "tweet_id string, url string"), rules, levels=levels).collect()
+    got = UF.filter_links(posts([(u, u) for u in urls], "tweet_id string, url string"), rules).collect()
     assert len(got) == len(urls)
     assert {(r["path"].split("/")[4], r["verdict"]) for r in got} == {("casino", "block"), ("news2", "allow"), ("$", "allow")}
     assert all(r["template"].endswith("/" + UF.END) for r in got)
 
 
+def test_links_that_differ_in_the_ninth_segment_only_are_judged_apart(posts):
+    rules = [UF.LinkRule("block", "h.org", f"/a/b/c/d/e/f/g/h/bad/{k}/") for k in range(50)]
+    urls = [f"http://h.org/a/b/c/d/e/f/g/h/{kind}/{k}/" for kind in ("good", "bad") for k in range(200)]
+    got = UF.filter_links(posts([(u, u) for u in urls], "tweet_id string, url string"), rules).collect()
+    assert {(r["path"].split("/")[9], r["verdict"]) for r in got} == {("good", "allow"), ("bad", "block")}
+
+
+def test_other_languages_of_a_small_host_are_not_judged_by_labels_of_some(posts):
+    rules = [UF.LinkRule("block", "net", f"/{lang}/") for lang in ("es", "fr")]
+    urls = [f"http://small.net/{lang}/{lang}-story{k}" for lang in ("de", "en", "es", "fr") for k in range(4)]
+    got = UF.filter_links(posts([(u, u) for u in urls + urls], "tweet_id string, url string"), rules).collect()
+    assert len(got) == 32
+    assert {(r["path"][1:3], r["verdict"]) for r in got} == {("de", "allow"), ("en", "allow"), ("es", "block"), ("fr", "block")}
+
+
+def slow_kind(segment):
+    ending = re.search(r"\.[a-z]{1,5}$", segment)
+    stem, ending = (segment[: ending.start()], ending[0]) if ending else (segment, "")
+    if re.fullmatch("[0-9]+", stem):
+        return "{number}" + ending
+    if re.fullmatch("[0-9a-fA-F-]{8,}", stem):
+        return "{hash}" + ending
+    return ("{mixed}" if re.search("[0-9]", stem) else "{word}") + ending
+
+
+def slow_templates(paths, level=0, stem=""):
+    """``path: template`` of one host; ``paths`` gives each path's label or None."""
+    parts = {p: [s for s in p.split("/") if s] for p in paths}
+    segment = {p: parts[p][level] if level < len(parts[p]) else UF.END for p in paths}
+    counts = Counter(segment.values())
+    kind = {s: UF.END if s == UF.END else slow_kind(s) for s in counts}
+    pools = {k: [counts[s] for s in counts if kind[s] == k] for k in kind.values()}
+    branch = {}
+    for s, n in counts.items():
+        mean = sum(pools[kind[s]]) / len(pools[kind[s]])
+        branch[s] = s if mean >= 1.5 or n > mean + 4 * mean ** 0.5 else kind[s]
+    members = {}
+    for p in paths:
+        members.setdefault(branch[segment[p]], []).append(p)
+    labels = {b: [paths[p] for p in m if paths[p]] for b, m in members.items()}
+    all_labels = sum(labels.values(), [])
+    similar = []
+    for b, found in labels.items():
+        if found and b != UF.END:
+            pooled = all_labels.count("block") / len(all_labels)
+            gap = abs(found.count("block") / len(found) - pooled)
+            if gap <= 1.96 * (pooled * (1 - pooled) / len(found)) ** 0.5:
+                similar.append(b)
+    if len(similar) > 1:
+        members[UF.ANY] = sum((members.pop(b) for b in similar), [])
+    out = {}
+    for b, m in members.items():
+        known = sum(paths[p] is not None for p in m)
+        going = [p for p in m if len(parts[p]) > level and 0 < known < len(m)]
+        if going:
+            out |= slow_templates({p: paths[p] for p in going}, level + 1, f"{stem}/{b}")
+        for p in set(m) - set(going):
+            ended = len(parts[p]) <= level
+            out[p] = f"{stem}/{b}" if ended else "/".join([f"{stem}/{b}", *map(slow_kind, parts[p][level + 1:]), UF.END])
+    return out
+
+
+def test_tree_equals_a_plain_one_on_random_links(posts):
+    rng, urls = random.Random(8), []
+    for _ in range(900):
+        depth = rng.randint(0, 6)
+        words = [rng.choice(["en", "de", "blog", "shop", str(rng.randint(1, 400)), f"p{rng.randint(1, 9)}.html", f"{rng.getrandbits(40):010x}"]) for _ in range(depth)]
+        urls.append(f"http://h{rng.randint(1, 5)}.org/" + "/".join(words))
+    rules = [UF.LinkRule(v, h, p) for v, h, p in [("block", "h1.org", "/en/blog"), ("allow", "h1.org", "/en/de"), ("block", "org", "/shop/"), ("allow", "org", "/shop/en"), ("block", "org", "/blog/shop"), ("allow", "h2.org", "/de")]]
+    got = UF.filter_links(posts([(u, u) for u in urls], "tweet_id string, url string"), rules).collect()
+    hosts = {}
+    for u in urls:
+        host, path = slow_parts(u)
+        fitting = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        hosts.setdefault(host, {})[path] = max(fitting, key=lambda r: len(r.name)).verdict if fitting else None
+    expected = {}
+    for host, paths in hosts.items():
+        templates = slow_templates(paths)
+        for path, label in paths.items():
+            known = [paths[p] for p in paths if templates[p] == templates[path] and paths[p]]
+            purity = (known.count("block") + 2) / (len(known) + 4)
+            expected[host, path] = (templates[path], purity, label or ("block" if purity >= 0.8 else "allow"))
+    assert len(got) == len(urls) and len({e[0] for e in expected.values()}) > 40
+    assert {(r["host"], r["path"]): (r["template"], r["purity"], r["verdict"]) for r in got} == expected
+    assert any(hosts[h][p] is None and e[2] == "block" for (h, p), e in expected.items())
+
+
 def test_links_of_posts(posts):
     got = UF.post_links(posts([("1", "see https://t.co/x1 and http://a.b/c?d now"), ("2", None), ("3", "none")])).collect()
     assert [tuple(r) for r in got] == [("1", "https://t.co/x1"), ("1", "http://a.b/c?d")]

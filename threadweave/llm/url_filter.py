@@ -75,84 +75,97 @@ def segment_kind(segment: Column) -> Column:
 
 def filter_links(
     links: DataFrame, rules: Sequence[LinkRule], id_column: str = "tweet_id", url_column: str = "url",
-    levels: int = 8, literal_urls: int = 20, literal_share: float = 0.01, smoothing: float = 4.0,
-    reject_from: float = 0.8, z: float = 1.96,
+    repeats: float = 1.5, outlier: float = 4.0, smoothing: float = 4.0, reject_from: float = 0.8, z: float = 1.96,
 ) -> DataFrame:
     """One row per link: the id, ``host, path, rule, verdict, template, purity``.
 
     The longest fitting rule decides; its name stands in ``rule`` and it labels the link. The others
-    are judged by their path template. Per host a tree grows level by level: a segment that
-    holds at least ``literal_urls`` links and ``literal_share`` of its parent's stays literal, all others
-    become wildcards of their kind. Sibling branches whose labelled block rates do not differ from
-    their parent's pooled rate (two-sided test at ``z``) merge; branches without labels do not. A template
-    is rejected if its purity, the share of blocks among its labelled links smoothed towards one half
-    with weight ``smoothing``, reaches ``reject_from``, whatever share of its links has labels: the smoothing
-    guards against few labels. A template without labels is allowed. The tree grows until no link
-    has a segment left; after ``levels`` levels all remaining segments become wildcards of their kinds in one step.
+    are judged by their path template. Per host a tree of the distinct paths grows level by level. At each place the
+    segments of one kind are variable, and become a wildcard of their kind, if they hardly repeat: fewer than
+    ``repeats`` paths to a segment. A single segment stays literal there too if its paths exceed the mean by more than
+    ``outlier`` standard deviations of a random (Poisson) count. Sibling branches, two at least, whose labelled block
+    rates do not differ from their parent's pooled rate (two-sided test at ``z``) merge; branches without labels do not.
+    A template is rejected if its purity, the share of blocks among its labelled paths smoothed towards one half
+    with weight ``smoothing``, reaches ``reject_from``, whatever share of its paths has labels: the smoothing
+    guards against few labels. A template without labels is allowed.
+
+    The tree grows as long as a branch holds paths with and without label: the rounds are as many as the segments
+    that such paths share. In other branches nothing is left to tell apart, so all further segments become
+    wildcards in one step.
 
     Null urls and those without ``://`` have empty host and path, no rule, and are allowed. Null ids and
-    repeated rows stay; other columns are not read; an empty table gives an empty result. Rows of a
-    hot host are counted by segment before they are shuffled; what is joined back is salted.
+    repeated rows stay; other columns are not read; an empty table gives an empty result. Repeats of a path are
+    one in the tree, rows of a hot host are counted by segment before they are shuffled, and what is joined back is salted.
     """
     require_columns(links, [id_column, url_column], "links")
     url = F.col(url_column).cast("string")
-    rows = links.select(F.col(id_column).alias("_id"), link_host(url).alias("host"), link_path(url).alias("path"))
-    rows = rows.withColumn("_rule", matching_rule(rules, F.col("host"), F.col("path")))
+    given = cut_lineage(links.select(F.col(id_column).alias("_id"), link_host(url).alias("host"), link_path(url).alias("path")))
+    rows = given.select("host", "path").distinct().withColumn("_rule", matching_rule(rules, F.col("host"), F.col("path")))
     rows = rows.select(
-        "_id", "host", "path", F.col("_rule.name").alias("rule"), F.col("_rule.verdict").alias("label"),
+        "host", "path", F.col("_rule.name").alias("rule"), F.col("_rule.verdict").alias("label"),
         F.expr("array_remove(split(path, '/'), '')").alias("_segments"), F.lit("").alias("template"),
     )
-    parts, level = [], 0
-    while level < levels:
+    done, level = [], 0
+    while not (level and rows.isEmpty()):
         rows = cut_lineage(rows.withColumn("_segment", F.coalesce(F.get("_segments", F.lit(level)), F.lit(END))))
-        rows = cut_lineage(_grow(rows, literal_urls, literal_share, z))
-        parts.append(rows.filter(F.size("_segments") <= level))
-        rows = rows.filter(F.size("_segments") > level)
+        grown = cut_lineage(_grow(rows, repeats, outlier, z))
         level += 1
-        if rows.isEmpty():
-            break
-    tail = F.transform(F.slice("_segments", level + 1, F.greatest(F.size("_segments"), F.lit(1))), segment_kind)
-    rows = rows.withColumn("template", F.concat_ws("/", "template", tail, F.lit(END)))
-    for part in parts:
+        ended = F.size("_segments") < level
+        tail = F.transform(F.slice("_segments", level + 1, F.greatest(F.size("_segments"), F.lit(1))), segment_kind)
+        whole = F.when(ended, F.col("template")).otherwise(F.concat_ws("/", "template", tail, F.lit(END)))
+        done.append(grown.filter(ended | ~F.col("_open")).withColumn("template", whole).drop("_open"))
+        rows = grown.filter(~ended & F.col("_open")).drop("_open")
+    rows = done[0]
+    for part in done[1:]:
         rows = rows.unionByName(part)
     rows = cut_lineage(rows)
     labelled, blocked = F.count("label"), F.count_if(F.col("label") == BLOCK)
     purity = rows.groupBy("host", "template").agg(
         ((blocked + smoothing / 2) / (labelled + smoothing)).alias("purity"),
     )
-    judged = salted_join(rows, purity, ["host", "template"], ["_id", "path"])
     by_template = F.when((F.col("host") != "") & (F.col("purity") >= reject_from), BLOCK).otherwise(ALLOW)
-    return judged.select(
-        F.col("_id").alias(id_column), "host", "path", "rule", F.coalesce("label", by_template).alias("verdict"),
-        "template", "purity",
+    judged = salted_join(rows, purity, ["host", "template"], ["path"]).select(
+        "host", "path", "rule", F.coalesce("label", by_template).alias("verdict"), "template", "purity"
+    )
+    return salted_join(given, judged, ["host", "path"], ["_id"]).select(
+        F.col("_id").alias(id_column), "host", "path", "rule", "verdict", "template", "purity"
     )
 
 
-def _grow(rows: DataFrame, literal_urls: int, literal_share: float, z: float) -> DataFrame:
-    """Add one level to every link's template."""
+def _grow(rows: DataFrame, repeats: float, outlier: float, z: float) -> DataFrame:
+    """Add one level to every path's template; ``_open`` says whether its branch holds paths with and without label."""
     at = ["host", "template"]
     labelled, blocked = F.count("label").alias("labelled"), F.count_if(F.col("label") == BLOCK).alias("blocked")
-    segments = cut_lineage(rows.groupBy(*at, "_segment").agg(F.count(F.lit(1)).alias("urls"), labelled, blocked))
-    parents = segments.groupBy(*at).agg(
-        F.sum("urls").alias("all_urls"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")
+    kind = F.when(F.col("_segment") == END, F.lit(END)).otherwise(segment_kind(F.col("_segment")))
+    segments = cut_lineage(
+        rows.groupBy(*at, "_segment").agg(F.count(F.lit(1)).alias("paths"), labelled, blocked).withColumn("_kind", kind)
     )
-    literal = (F.col("urls") >= literal_urls) & (F.col("urls") >= literal_share * F.col("all_urls"))
-    named = salted_join(segments, parents, at, ["_segment"]).withColumn(
-        "branch", F.when((F.col("_segment") == END) | literal, F.col("_segment")).otherwise(segment_kind(F.col("_segment")))
+    kinds = segments.groupBy(*at, "_kind").agg((F.sum("paths") / F.count(F.lit(1))).alias("mean"))
+    literal = (F.col("mean") >= repeats) | (F.col("paths") > F.col("mean") + outlier * F.sqrt("mean"))
+    named = salted_join(segments, kinds, [*at, "_kind"], ["_segment"]).withColumn(
+        "branch", F.when(literal, F.col("_segment")).otherwise(F.col("_kind"))
     )
-    pooled = F.col("all_blocked") / F.col("all_labelled")
-    gap = F.abs(F.col("blocked") / F.col("labelled") - pooled)
-    similar = (F.col("labelled") > 0) & (gap <= z * F.sqrt(pooled * (1 - pooled) / F.col("labelled")))
     branches = named.groupBy(*at, "branch").agg(
-        F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"),
-        F.first("all_labelled").alias("all_labelled"), F.first("all_blocked").alias("all_blocked"),
-    ).select(
-        *at, "branch",
-        F.when((F.col("branch") != END) & (F.col("all_labelled") > 0) & (F.col("labelled") > 0), similar)
-        .otherwise(F.lit(False)).alias("merged"),
+        *[F.sum(c).alias(c) for c in ("paths", "labelled", "blocked")], (F.first("_kind") == END).alias("ends")
     )
-    steps = salted_join(named, branches, [*at, "branch"], ["_segment"]).select(
-        *at, "_segment", F.when(F.col("merged"), F.lit(ANY)).otherwise(F.col("branch")).alias("_step")
+    parents = branches.groupBy(*at).agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+    pooled = F.try_divide("all_blocked", "all_labelled")  # null without labels
+    gap = F.abs(F.try_divide("blocked", "labelled") - pooled)
+    similar = ~F.col("ends") & (gap <= z * F.sqrt(F.try_divide(pooled * (1 - pooled), F.col("labelled"))))
+    tested = cut_lineage(
+        salted_join(branches, parents, at, ["branch"]).select(
+            *at, "branch", "paths", "labelled", F.coalesce(similar, F.lit(False)).alias("similar")
+        )
     )
-    joined = salted_join(rows, steps, [*at, "_segment"], ["_id", "path"])
+    siblings = tested.filter("similar").groupBy(*at).agg(
+        F.count(F.lit(1)).alias("siblings"), F.sum("paths").alias("all_paths"), F.sum("labelled").alias("all_labelled")
+    ).filter("siblings > 1")
+    merged = F.col("similar") & F.col("siblings").isNotNull()
+    of_branch = tested.join(siblings, at, "left").select(
+        *at, "branch", F.when(merged, F.lit(ANY)).otherwise(F.col("branch")).alias("_step"),
+        F.when(merged, F.col("all_paths")).otherwise(F.col("paths")).alias("paths"),
+        F.when(merged, F.col("all_labelled")).otherwise(F.col("labelled")).alias("labelled"),
+    ).select(*at, "branch", "_step", ((F.col("labelled") > 0) & (F.col("labelled") < F.col("paths"))).alias("_open"))
+    steps = salted_join(named.select(*at, "branch", "_segment"), of_branch, [*at, "branch"], ["_segment"])
+    joined = salted_join(rows, steps.drop("branch"), [*at, "_segment"], ["path"])
     return joined.withColumn("template", F.concat("template", F.lit("/"), "_step")).drop("_segment", "_step")
