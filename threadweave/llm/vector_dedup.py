@@ -17,7 +17,6 @@ from threadweave.session import cut_lineage
 
 HASH_BITS = 63  # random hashes concatenated to one sort key
 SEED = 20_011
-PASS_COST = 9  # comparisons a vector takes in a pass, in windows: blocks of 512 rows meet 512 and the window
 
 
 def unit_rows(flat: np.ndarray, dimensions: int) -> np.ndarray:
@@ -171,14 +170,11 @@ def exact_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     return tile_pairs(members, tile, ("key", "vector")).mapInArrow(link, "a bigint, b bigint")
 
 
-def all_links(
-    distinct: DataFrame, passes: int, window: int, block: int, threshold: float, exact_rows: int, exact_tile: int
-) -> DataFrame:
-    """Links ``a, b`` of all labels: by batches of sorted passes until a batch joins nothing more, or exactly.
+def all_links(distinct: DataFrame, passes: int, window: int, block: int, threshold: float) -> DataFrame:
+    """Links ``a, b`` of all labels: by batches of sorted passes until a batch joins nothing more.
 
-    A label (and length) of at most ``exact_rows`` vectors is compared as a whole. Each other one gets further
-    batches as long as the last one joined components of it; once its passes cost as much as comparing all
-    its pairs, they are compared instead. So crowds get as many passes as they need.
+    Each label (and length) gets further batches as long as the last one joined components of it, so crowds get as
+    many passes as they need. A label that one window holds as a whole has been compared pair by pair after one batch.
     """
     at = ["label", "dims"]
     sized = distinct.select("key", "label", F.size("vector").alias("dims"), "vector")
@@ -186,12 +182,10 @@ def all_links(
         sized.groupBy(*at).agg(F.count(F.lit(1)).alias("n")).withColumn("component", F.monotonically_increasing_id())
     )
     rows = cut_lineage(salted_join(sized, groups, at, ["key"]).select("key", "label", "vector", "n", "component"))
-    large = rows.filter(F.col("n") > exact_rows)
-    exact, links = rows.filter(F.col("n") <= exact_rows), None
-    joined = groups.select("component", F.lit(0).cast("bigint").alias("joins")) if not large.isEmpty() else None
-    number = 0
-    while joined is not None:
-        found = cut_lineage(window_links(large, passes, window, block, threshold, number))
+    going, links, number = rows, None, 0
+    joined = groups.select("component", F.lit(0).cast("bigint").alias("joins"))
+    while links is None or not going.isEmpty():
+        found = cut_lineage(window_links(going, passes, window, block, threshold, number))
         links = found if links is None else cut_lineage(links.unionByName(found))
         number += 1
         # A node that is not its component's smallest stands for one join.
@@ -202,14 +196,19 @@ def all_links(
             now.join(joined.withColumnRenamed("joins", "before"), "component", "left")
             .filter(F.col("joins") > F.coalesce("before", F.lit(0))).select("component")
         )
-        going = cut_lineage(salted_join(large, more, ["component"], ["key"]).select(large.columns))
-        costly = F.col("n") / 2 <= number * passes * PASS_COST * window
-        exact = exact.unionByName(going.filter(costly))
-        large, joined = going.filter(~costly), now
-        if large.isEmpty():
-            break
-    every = exact_links(exact.select("component", "key", "vector"), threshold, exact_tile)
-    return every if links is None else every.unionByName(links)
+        going = cut_lineage(
+            salted_join(going, more, ["component"], ["key"]).filter(F.col("n") > window + 1).select(rows.columns)
+        )
+        joined = now
+    return links
+
+
+def compared_links(distinct: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Links ``a, b`` of all labels by comparing every pair of a label."""
+    groups = distinct.select("label", F.size("vector").alias("dims")).distinct().withColumn("component", F.monotonically_increasing_id())
+    sized = distinct.select("key", "label", F.size("vector").alias("dims"), "vector")
+    rows = cut_lineage(salted_join(sized, groups, ["label", "dims"], ["key"]).select("component", "key", "vector"))
+    return exact_links(rows, threshold, tile)
 
 
 def count_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
@@ -250,20 +249,18 @@ def count_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
 
 def near_duplicate_vectors(
     vectors: DataFrame, threshold: float = 0.98, passes: int = 8, window: int = 64, block: int = 4096, tile: int = 1024,
-    exact_rows: int = 32_768, exact_tile: int = 4096, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
+    exact: bool = False, exact_tile: int = 4096, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
 ) -> DataFrame:
     """The id of every vector with ``n_links``, ``component_id`` and ``kept`` (the id is its component's).
 
     The library's posts carry no dense vectors, so this takes any table with an integer id, an array of
     numbers and a label. Vectors of one label and length link at a cosine of ``threshold`` or more in double
-    precision. Equal vectors are one from the start. Labels of at most ``exact_rows`` distinct vectors are
-    compared pair by pair. In larger ones the vectors are ordered by ``HASH_BITS`` concatenated random hashes in
-    each of ``passes`` passes and each is compared with the ``window`` next ones; batches of such passes
-    follow until one joins nothing more in the label, or all its pairs are compared once that is cheaper.
-    The verified links are united to components (``component_id`` is the smallest id), and
-    inside a component every pair is compared exactly, so ``n_links`` counts all of a vector's direct links
-    there, copies included. Links are real; in a label above ``exact_rows``, one between two components that no
-    pass has joined when a whole batch finds nothing is missed.
+    precision. Equal vectors are one from the start. The vectors are ordered by ``HASH_BITS`` concatenated random
+    hashes in each of ``passes`` passes and each is compared with the ``window`` next ones; batches of such passes
+    follow, with new hashes, until one joins nothing more in the label. The verified links are united to components
+    (``component_id`` is the smallest id), and inside a component every pair is compared exactly, so ``n_links`` counts
+    all of a vector's direct links there, copies included. Links are real; one between two components that no
+    pass has joined when a whole batch finds nothing is missed. With ``exact`` all pairs of a label are compared instead.
 
     Null or zero vectors, null labels, and null, infinite or NaN components link with nothing: 0 links,
     a component of their own. Null ids: the row stays, with null component if no linked row has an id,
@@ -284,7 +281,9 @@ def near_duplicate_vectors(
         rows.filter(good).groupBy("label", "vector").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("smallest"))
         .withColumn("key", F.monotonically_increasing_id())
     )
-    links = cut_lineage(all_links(distinct, passes, window, block, threshold, exact_rows, exact_tile))
+    links = cut_lineage(
+        compared_links(distinct, threshold, exact_tile) if exact else all_links(distinct, passes, window, block, threshold)
+    )
     groups = connected_components(links, "a", "b").select(F.col("node").alias("key"), "component")
     members = cut_lineage(groups.join(distinct, "key"))
     lowest = members.groupBy("component").agg(F.min("smallest").alias("component_id"))
