@@ -849,6 +849,16 @@ def build() -> dict[str, str]:
     out["score_messages"] = chain + f"""SELECT example_id, predicted_intent, round(classifier_confidence, 6) AS classifier_confidence,
       round(top_similarity, 6) AS top_similarity, reply_status, reply_text, decision, reason_code, {reason} FROM decided"""
     out["scoring_report"] = chain + RATES
+    for name, column in (("scored_reason_shares", "reason_code"), ("scored_decision_shares", "decision")):
+        out[name] = chain + f"""SELECT {column}, count(*) AS n,
+          round(100.0 * count(*) / (SELECT count(*) FROM decided), 6)::DOUBLE AS pct FROM decided GROUP BY {column}"""
+    out["scored_metrics"] = with_(
+        *scoring_parts(retrieve=False),
+        "t AS (SELECT example_id, annotator_label AS truth, predicted_intent AS pred FROM f_predicted)", per_label("pred"),
+    ) + """SELECT round(sum(hit) / sum(support)::DOUBLE, 6) AS accuracy, round(avg(precision), 6) AS macro_precision,
+      round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, CAST(sum(support) AS BIGINT) AS n_examples FROM pm"""
+    out["scored_lowest_similarity"] = chain + """SELECT example_id, round(top_similarity, 6) AS top_similarity FROM decided
+      ORDER BY round(top_similarity, 6) NULLS LAST, example_id LIMIT 10"""
     out["escalation_rates"] = with_(POLICY, RULING) + RATES
     for name, column in (("reason_code_shares", "reason_code"), ("decision_shares", "decision")):
         out[name] = with_(POLICY, RULING) + f"""SELECT {column}, count(*) AS n,
@@ -874,4 +884,13 @@ def build() -> dict[str, str]:
         f"""msg AS (SELECT CAST(event_id AS VARCHAR) AS example_id, {pick(V.MESSAGES, 'event_id')} AS customer_text,
           {pick(FV.TAXONOMY, 'event_id')} AS predicted_intent FROM events)""",
     ) + f"SELECT example_id, {prompt} AS prompt, coalesce(ids, '') AS valid_ids FROM msg LEFT JOIN b USING (example_id)"
+    shown = f"printf({q(FV.EVIDENCE_BLOCK)}, rank, p.agent_tweet_id, p.customer_tweet_id, score, p.customer_text, p.agent_text)"
+    asked = f"printf({q(FV.JUDGE_PROMPT)}, a.customer_text, predicted_intent, reply_status, decision, coalesce(blocks, 'None'), reply_text)"
+    out["scored_judge_requests"] = with_(
+        *scoring_parts(), RULING,
+        f"""shown AS (SELECT query_id AS example_id, string_agg({shown}, chr(10) || chr(10) ORDER BY rank) AS blocks,
+          string_agg(p.agent_tweet_id, ',' ORDER BY rank) AS ids
+          FROM ranked JOIN pairs p ON doc = p.customer_tweet_id || chr(31) || p.agent_tweet_id GROUP BY query_id)""",
+    ) + f"""SELECT example_id, {asked} AS prompt, coalesce(ids, '') AS valid_ids
+      FROM decided JOIN (SELECT example_id, customer_text FROM asked) a USING (example_id) LEFT JOIN shown USING (example_id)"""
     return out

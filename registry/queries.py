@@ -671,6 +671,41 @@ def scoring_report(spark, folder):
     return rounded(report["rates_by_intent"], "escalation_rate_pct")
 
 
+def _scored_report(spark, folder):
+    return runs.decision_report(cut_lineage(_scored(spark, folder).drop("evidence")))
+
+
+@query
+def scored_reason_shares(spark, folder):
+    """Why messages are escalated or answered, over the whole chain."""
+    return rounded(_scored_report(spark, folder)["reasons"], "pct")
+
+
+@query
+def scored_decision_shares(spark, folder):
+    return rounded(_scored_report(spark, folder)["decisions"], "pct")
+
+
+@query
+def scored_metrics(spark, folder):
+    """How well the chain's intents imitate the weak rules."""
+    return rounded(_scored_report(spark, folder)["metrics"], "accuracy", "macro_precision", "macro_recall", "macro_f1")
+
+
+@query
+def scored_lowest_similarity(spark, folder):
+    """The messages whose best evidence is the weakest; equal to six digits counts as equal."""
+    rows = rounded(_scored(spark, folder).select("example_id", "top_similarity"), "top_similarity")
+    return M.lowest_rows(rows, "top_similarity")
+
+
+@query
+def scored_judge_requests(spark, folder):
+    """Prompts on drafted replies with the evidence that retrieval found for them."""
+    rows = runs.judge_requests(_scored(spark, folder))
+    return rows.select("example_id", "prompt", F.array_join("valid_evidence_ids", ",").alias("valid_ids"))
+
+
 def _judged(spark, folder):
     return J.judge_status(J.parse_judgements(V.judge_answers(spark, folder)))
 
