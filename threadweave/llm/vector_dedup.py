@@ -170,11 +170,10 @@ def exact_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     return tile_pairs(members, tile, ("key", "vector")).mapInArrow(link, "a bigint, b bigint")
 
 
-def all_links(distinct: DataFrame, passes: int, window: int, block: int, threshold: float) -> DataFrame:
-    """Links ``a, b`` of all labels: by batches of sorted passes until a batch joins nothing more.
+def all_links(distinct: DataFrame, passes: int, window: int, block: int, threshold: float, quiet: int) -> DataFrame:
+    """Links ``a, b`` of all labels: by batches of sorted passes until ``quiet`` batches in a row join nothing more.
 
-    Each label (and length) gets further batches as long as the last one joined components of it, so crowds get as
-    many passes as they need. A label that one window holds as a whole has been compared pair by pair after one batch.
+    Each label (and length) gets further batches until then, so crowds get as many passes as they need. A label that one window holds as a whole has been compared pair by pair after one batch.
     """
     at = ["label", "dims"]
     sized = distinct.select("key", "label", F.size("vector").alias("dims"), "vector")
@@ -183,23 +182,23 @@ def all_links(distinct: DataFrame, passes: int, window: int, block: int, thresho
     )
     rows = cut_lineage(salted_join(sized, groups, at, ["key"]).select("key", "label", "vector", "n", "component"))
     going, links, number = rows, None, 0
-    joined = groups.select("component", F.lit(0).cast("bigint").alias("joins"))
+    state = groups.select("component", F.lit(0).cast("bigint").alias("before"), F.lit(0).alias("still"))
     while links is None or not going.isEmpty():
         found = cut_lineage(window_links(going, passes, window, block, threshold, number))
         links = found if links is None else cut_lineage(links.unionByName(found))
         number += 1
         # A node that is not its component's smallest stands for one join.
         nodes = connected_components(links, "a", "b").filter("component <> node").select(F.col("node").alias("key"))
-        now = rows.select("key", "component").join(nodes, "key").groupBy("component").agg(F.count(F.lit(1)).alias("joins"))
-        now = cut_lineage(now)
-        more = cut_lineage(
-            now.join(joined.withColumnRenamed("joins", "before"), "component", "left")
-            .filter(F.col("joins") > F.coalesce("before", F.lit(0))).select("component")
+        joins = rows.select("key", "component").join(nodes, "key").groupBy("component").agg(F.count(F.lit(1)).alias("joins"))
+        now = F.coalesce("joins", F.lit(0).cast("bigint"))
+        state = cut_lineage(
+            state.join(joins, "component", "left")
+            .select("component", now.alias("before"), F.when(now > F.col("before"), 0).otherwise(F.col("still") + 1).alias("still"))
         )
+        more = state.filter(F.col("still") < quiet).select("component")
         going = cut_lineage(
             salted_join(going, more, ["component"], ["key"]).filter(F.col("n") > window + 1).select(rows.columns)
         )
-        joined = now
     return links
 
 
@@ -249,7 +248,7 @@ def count_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
 
 def near_duplicate_vectors(
     vectors: DataFrame, threshold: float = 0.98, passes: int = 8, window: int = 64, block: int = 4096, tile: int = 1024,
-    exact: bool = False, exact_tile: int = 4096, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
+    quiet: int = 3, exact: bool = False, exact_tile: int = 4096, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label",
 ) -> DataFrame:
     """The id of every vector with ``n_links``, ``component_id`` and ``kept`` (the id is its component's).
 
@@ -257,10 +256,10 @@ def near_duplicate_vectors(
     numbers and a label. Vectors of one label and length link at a cosine of ``threshold`` or more in double
     precision. Equal vectors are one from the start. The vectors are ordered by ``HASH_BITS`` concatenated random
     hashes in each of ``passes`` passes and each is compared with the ``window`` next ones; batches of such passes
-    follow, with new hashes, until one joins nothing more in the label. The verified links are united to components
+    follow, with new hashes, until ``quiet`` in a row join nothing more in the label. The verified links are united to components
     (``component_id`` is the smallest id), and inside a component every pair is compared exactly, so ``n_links`` counts
     all of a vector's direct links there, copies included. Links are real; one between two components that no
-    pass has joined when a whole batch finds nothing is missed. With ``exact`` all pairs of a label are compared instead.
+    pass has joined when that many batches find nothing is missed. With ``exact`` all pairs of a label are compared instead.
 
     Null or zero vectors, null labels, and null, infinite or NaN components link with nothing: 0 links,
     a component of their own. Null ids: the row stays, with null component if no linked row has an id,
@@ -282,7 +281,7 @@ def near_duplicate_vectors(
         .withColumn("key", F.monotonically_increasing_id())
     )
     links = cut_lineage(
-        compared_links(distinct, threshold, exact_tile) if exact else all_links(distinct, passes, window, block, threshold)
+        compared_links(distinct, threshold, exact_tile) if exact else all_links(distinct, passes, window, block, threshold, quiet)
     )
     groups = connected_components(links, "a", "b").select(F.col("node").alias("key"), "component")
     members = cut_lineage(groups.join(distinct, "key"))
