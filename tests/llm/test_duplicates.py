@@ -1,5 +1,6 @@
 """Near-duplicate posts and vectors, and components, against brute force."""
 
+import math
 import random
 import re
 
@@ -192,11 +193,53 @@ def test_bands_find_pairs_at_similarity_of_eight_tenths():
     found = 0
     for _ in range(1000):
         common, a, b = ([rng.getrandbits(64) for _ in range(n)] for n in (80, 10, 10))
-        left, right = shingle_dedup.band_codes([common + a, common + b], 20, 4)
-        found += any(x == y for x, y in zip(left, right))
+        (left, right), sketches = shingle_dedup.band_codes([common + a, common + b], 20, 4)
+        apart = differing_bits(*sketches)
+        found += any(x == y for x, y in zip(left, right)) and apart <= shingle_dedup.sketch_radius(0.8, 80)
     assert found >= 998
 
 
+def differing_bits(a, b):
+    return sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(a, b, strict=True))
+
+
+def test_sketches_rule_out_pairs_that_share_a_passage():
+    """Texts of one long passage and own words: similarity 0.25, often in one bucket, seldom near by sketch."""
+    rng = random.Random(10)
+    radius, passed, bits = shingle_dedup.sketch_radius(0.8, 80), 0, 0
+    for _ in range(1000):
+        passage, a, b = ([rng.getrandbits(64) for _ in range(n)] for n in (40, 60, 60))
+        apart = differing_bits(*shingle_dedup.band_codes([passage + a, passage + b], 20, 4)[1])
+        passed, bits = passed + (apart <= radius), bits + apart
+    assert passed <= 60
+    assert abs(bits / 1000 - 80 * 0.375) < 1
+
+
+def test_radius_of_sketches_follows_the_binomial_tail():
+    for similarity, bits in ((0.8, 80), (0.5, 64), (1.0, 80)):
+        radius, differ = shingle_dedup.sketch_radius(similarity, bits), (1 - similarity) / 2
+        tail = [math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k) for k in range(bits + 1)]
+        assert sum(tail[radius + 1:]) <= shingle_dedup.MISSED + 1e-12
+        assert radius == 0 or sum(tail[radius:]) > shingle_dedup.MISSED
+
+
+def test_crowd_around_one_passage_equals_brute_force(posts):
+    """Hundreds of texts with one long passage, few of them near copies of each other."""
+    rng = random.Random(11)
+    words = [f"v{k}" for k in range(2000)]
+    passage = rng.choices(words, k=60)
+    rows = [" ".join(passage + rng.choices(words, k=rng.randint(20, 60))) for _ in range(250)]
+    for k in range(0, 40):
+        copy = rows[k].split()
+        copy[rng.randrange(60, len(copy))] = "changed"
+        rows.append(" ".join(copy))
+    sets = [shingle_set(t) for t in rows]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    table = posts(list(enumerate(rows)), "tweet_id bigint, text string").repartition(3)
+    got = {r["tweet_id"]: r["component_id"] for r in shingle_dedup.near_duplicate_texts(table).collect()}
+    assert got == smallest_reachable(range(len(rows)), near)
+
+
 @pytest.mark.parametrize("exact", [False, True])
 def test_pairs_inside_a_crowd_are_found(posts, exact):
     """Planted pairs in one label whose vectors all have a mutual cosine of about 0.95; fixed passes find a part."""
