@@ -212,6 +212,21 @@ def test_split_equals_a_full_ranking(spark):
         assert [m[2] for m in members] == ["validation"] * n + ["train"] * (len(members) - n)
 
 
+def test_cut_is_narrowed_until_few_rows_are_ranked(spark):
+    """One class of all rows: the radix steps go down to buckets of at most ten rows, the split stays a full ranking."""
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") > 0, "one").alias("weak_intent"))
+    cuts = L.split_cuts(rows, "weak_intent", "k", 0.2, 42, bucket_digits=1, most_ranked=10).collect()
+    assert len(cuts) == 1 and cuts[0]["n"] <= 10 and 0 < cuts[0]["_left"] <= cuts[0]["n"]
+    got = {(r["k"], r["split"]) for r in L.stratified_split(rows, "weak_intent", "k", 0.2, 42, bucket_digits=1, most_ranked=10).collect()}
+    import hashlib
+    ranked = sorted((str(k) for k in range(1, 3000)), key=lambda k: (hashlib.md5(f"42:one:{k}".encode()).hexdigest(), k))
+    n = int(0.2 * len(ranked) + 0.5)
+    assert got == {(k, "validation" if at < n else "train") for at, k in enumerate(ranked)} | {("0", "train")}
+    same = spark.range(40).select(F.lit("x").alias("k"), F.lit("one").alias("weak_intent"))
+    assert L.stratified_split(same, "weak_intent", "k", 0.2, most_ranked=10).filter("split = 'validation'").count() == 8
+    assert L.stratified_split(rows.limit(0), "weak_intent", "k").count() == 0
+
+
 def test_weak_training_excludes_reserved_ids(spark):
     text = "@AcmeHelp my battery drains overnight"
     pairs = spark.createDataFrame(

@@ -10,7 +10,7 @@ from threadweave.operators.retrieval import build_index
 from threadweave.operators.tfidf import with_grams
 from threadweave.operators.weak_training import class_weights
 from threadweave.plans import runs
-from threadweave.streaming.incremental import label_stream, stream_posts
+from threadweave.streaming.incremental import first_posts, label_stream, stream_posts
 
 TEMPLATES = [  # one per label, in the order of the labels
     "battery performance got poor", "slow charging by any plug", "the upgrade keeps failing at verifying update", "boot loop every morning",
@@ -121,3 +121,24 @@ def test_labels_on_a_file_stream(spark, tmp_path):
     query.awaitTermination(120)
     got = {r["tweet_id"]: r["weak_intent"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"1": "battery_drain", "3": None}
+
+
+def test_first_row_of_an_id_on_a_file_stream(spark, tmp_path):
+    """An id repeated in one file, in a later micro-batch and after a restart gives one row; undated posts count too."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+
+    def arrive(name, *rows):
+        (folder / name).write_text(",".join(FV.POST_COLUMNS) + "\n" + "".join(f"{r}\n" for r in rows))
+
+    def run():
+        query = label_stream(
+            first_posts(stream_posts(spark, str(folder), files_per_batch=1)), str(tmp_path / "out"), str(tmp_path / "state")
+        )
+        query.awaitTermination(180)
+        return sorted((r["tweet_id"], r["text"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    arrive("a.csv", "1.0,u,True,,first,,", "1,u,True,,again,,", "2,u,True,Tue Oct 31 22:10:47 +0000 2017,dated,,")
+    assert run() == [("1", "first"), ("2", "dated")]
+    arrive("b.csv", "1,u,True,,later,,", "2,u,True,,later,,", "3,u,True,Tue Oct 31 22:10:47 +0000 2006,old,,")
+    assert run() == [("1", "first"), ("2", "dated"), ("3", "old")]

@@ -111,6 +111,13 @@ def test_file_to_pairs(spark, shop):
     assert len(everything) == 9 and everything["7001"]["text"] == "The kettle leaks" and everything["7004"]["created_at"].minute == 30
 
 
+def test_csv_is_parsed_once_for_a_brand(spark, shop):
+    plan = S.load_posts(spark, shop, BRAND)._jdf.queryExecution().optimizedPlan().toString()
+    assert "csv" not in plan and "parquet" in plan
+    raw = S.read_posts_csv(spark, shop)._jdf.queryExecution().optimizedPlan().toString()
+    assert raw.count("csv") == 1
+
+
 def test_torn_records_fail_loudly_without_multiline(spark, shop, tmp_path):
     with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
         prepare_pairs(spark, shop, BRAND, multiline=False)

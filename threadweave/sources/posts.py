@@ -9,6 +9,7 @@ from threadweave import fixed_values as FV
 from threadweave.functions import normalize as N
 from threadweave.operators.common import top_per_key
 from threadweave.schema import require_columns
+from threadweave.session import cut_lineage
 
 
 def null_words(df: DataFrame) -> DataFrame:
@@ -97,9 +98,13 @@ def first_per_id(posts: DataFrame, order: str = "ingest_seq") -> DataFrame:
 
 
 def load_posts(spark: SparkSession, path: str, brand: str | None = None, multiline: bool = True) -> DataFrame:
-    """S3/S4. All posts of a CSV, or only those linked to a brand."""
+    """S3/S4. All posts of a CSV, or only those linked to a brand.
+
+    The brand's reduction looks at the posts four times and joins on their row numbers, so the CSV is parsed once into
+    a table that holds the numbers as the scan gave them.
+    """
     posts = normalize_posts(read_posts_csv(spark, path, multiline))
-    return first_per_id(posts) if brand is None else brand_linked(posts, brand)
+    return first_per_id(posts) if brand is None else brand_linked(cut_lineage(posts), brand)
 
 
 def brand_seed_ids(posts: DataFrame, brand: str) -> DataFrame:
