@@ -759,12 +759,12 @@ def build() -> dict[str, str]:
         "SELECT term, df, round(idf, 6) AS idf FROM c_v"
     out["tfidf_weights"] = with_(grams_of("c", "documents", "doc_id"), vocab_of("c", "documents"), weights_of("c", "c_v")) + \
         "SELECT k AS doc_id, term, round(w, 6) AS w FROM c_w"
-    out["char_gram_counts"] = with_(chars_of("c", "benchmark", "item_id")) + "SELECT k AS item_id, term, tf FROM c_tf"
+    out["char_gram_counts"] = with_(chars_of("c", "documents", "doc_id")) + "SELECT k AS doc_id, term, tf FROM c_tf"
     out["char_tfidf_vocabulary"] = with_(chars_of("c", "documents", "doc_id"), vocab_of("c", "documents")) + \
         "SELECT term, df, round(idf, 6) AS idf FROM c_v"
     union = """c_tf AS (SELECT k, 'w:' || term AS term, tf FROM w_tf UNION ALL SELECT k, 'c:' || term, tf FROM g_tf)"""
     out["word_and_char_vocabulary"] = with_(
-        grams_of("w", "benchmark", "item_id"), chars_of("g", "benchmark", "item_id"), union, vocab_of("c", "benchmark")
+        grams_of("w", "documents", "doc_id"), chars_of("g", "documents", "doc_id"), union, vocab_of("c", "documents")
     ) + "SELECT term, df, round(idf, 6) AS idf FROM c_v"
     out["unfolded_ligatures"] = "SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents"
     out["tfidf_topk"] = with_(topk("(SELECT CAST(doc_id AS VARCHAR) AS did, text FROM documents)", "did", "text",

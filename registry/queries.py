@@ -383,8 +383,8 @@ def unfolded_ligatures(spark, folder):
 
 @query
 def word_and_char_vocabulary(spark, folder):
-    """Terms of the union of words, word pairs and character n-grams of every benchmark text."""
-    return rounded(TF.fit_tfidf(V.spread_table(spark, folder, "benchmark"), "item_id", "text", "word+char")[0], "idf")
+    """Terms of the union of words, word pairs and character n-grams of every document."""
+    return rounded(TF.fit_tfidf(V.spread_table(spark, folder, "documents"), "doc_id", "text", "word+char")[0], "idf")
 
 
 @query
@@ -401,8 +401,8 @@ def tfidf_weights(spark, folder):
 
 @query
 def char_gram_counts(spark, folder):
-    """Character n-grams of every benchmark text with their counts."""
-    return TF.term_frequencies(V.table(spark, folder, "benchmark"), "item_id", "text", "char")
+    """Character n-grams of every document with their counts."""
+    return TF.term_frequencies(V.spread_table(spark, folder, "documents"), "doc_id", "text", "char")
 
 
 @query
